@@ -80,4 +80,113 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op3_url_filters, op4_mixing, op5_secret_scans, op8_simhash, op9_decontamination, op10_topk)
 }
 
-ORACLE: dict[str, str] = {}
+OP3_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM u
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    greatest(0.05::DOUBLE, CASE WHEN length(text) > 0
+      THEN pow(length(translate(text, '!#$%&*|<>{}[]\^~@=+_/0123456789', ''))::DOUBLE / length(text), 4.0) ELSE 0.05::DOUBLE END) AS w
+  FROM documents
+), k AS (
+  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || size::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5)
+    / 4503599627370496.0::DOUBLE) / w AS es_key
+  FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM s
+), l AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS level FROM w
+), f AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS fill
+  FROM l
+), g AS (
+  SELECT *, first_value(CASE WHEN fill < level THEN fill END IGNORE NULLS)
+    OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final
+  FROM f
+), t AS (
+  SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target FROM g
+), p AS (
+  SELECT k.doc_id, k.size, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.es_key, k.doc_id NULLS FIRST, k.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (epochs * size + greatest(0, least(size, floor(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken
+FROM p
+"""
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words, row_number() OVER () AS r
+  FROM documents
+), i AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), wi AS (
+  SELECT DISTINCT item, least(13, len(words)) AS m, array_to_string(words[a:a + least(13, len(words)) - 1], ' ') AS win
+  FROM (SELECT item, words, unnest(generate_series(1, len(words) - least(13, len(words)) + 1)) AS a FROM i WHERE len(words) > 0)
+), wd AS (
+  SELECT r, a, m, array_to_string(words[a:a + m - 1], ' ') AS win
+  FROM (SELECT r, words, m, unnest(generate_series(1, len(words) - m + 1)) AS a
+        FROM d, (SELECT DISTINCT m FROM wi) WHERE len(words) >= m)
+), hits AS (
+  SELECT wd.r, wd.a, wd.m, wi.item FROM wd JOIN wi ON wd.m = wi.m AND wd.win = wi.win
+), w AS (
+  SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(generate_series(a, a + m - 1)) AS pos FROM hits) GROUP BY r
+), it AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(w.n_hit, 0)::BIGINT AS n_hit, coalesce(it.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(it.items, '')) AS items_sha256,
+  coalesce(w.n_hit, 0) > 0 AND 20 * coalesce(w.n_hit, 0) >= len(d.words) AS contaminated
+FROM d LEFT JOIN w ON d.r = w.r LEFT JOIN it ON d.r = it.r
+"""
+
+OP10_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_url_filters": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op9_decontamination": OP9_SQL,
+    "op10_topk": OP10_SQL,
+}
