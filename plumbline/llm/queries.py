@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import fold, read_table
 from .decontam import contamination
+from .langid import identify_languages
 from .mixing import mix
+from .quality import score_quality
 from .secrets import KINDS, find_secrets
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 from .topk import integer_vectors, top_k
 from .url_filter import filter_urls
 
@@ -24,6 +27,19 @@ URL_RULES = [
 ]
 
 
+#: Scores from which on op2 and op6 predict label 1.
+DECISION = 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = score_toxicity(docs, labels, ["doc_id"], learn_from=fold("doc_id", 4) != 2)
+    return scored.select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted")
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -52,6 +68,21 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = score_quality(docs, labels, ["doc_id"], learn_from=fold("doc_id", 5) != 0)
+    return scored.select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted")
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify_languages(docs, ["doc_id"], learn_from=fold("doc_id", 4) != 2)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,7 +108,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_url_filters, op4_mixing, op5_secret_scans, op8_simhash, op9_decontamination, op10_topk)
+    for f in (
+        op2_toxicity, op3_url_filters, op4_mixing, op5_secret_scans, op6_quality, op7_language_id, op8_simhash, op9_decontamination, op10_topk,
+    )
 }
 
 OP3_SQL = r"""
