@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, read_table
 from .decontam import contamination
+from .html_extract import extract_main_text
 from .langid import identify_languages
 from .mixing import mix
 from .quality import score_quality
@@ -31,6 +32,12 @@ URL_RULES = [
 DECISION = 0.3
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extract_main_text(pages, ["page_id", "url"])
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -109,7 +116,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_toxicity, op3_url_filters, op4_mixing, op5_secret_scans, op6_quality, op7_language_id, op8_simhash, op9_decontamination, op10_topk,
+        op1_html_extraction, op2_toxicity, op3_url_filters, op4_mixing, op5_secret_scans, op6_quality, op7_language_id, op8_simhash, op9_decontamination, op10_topk,
     )
 }
 
