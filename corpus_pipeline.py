@@ -1,8 +1,97 @@
-"""The corpus pipeline. Not filled yet."""
+"""The corpus pipeline: language ID, near-duplicate removal, decontamination, secret scan, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept. All stages but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import fold, read_table, written
+from plumbline.llm.decontam import contamination
+from plumbline.llm.langid import identify_languages
+from plumbline.llm.mixing import mix
+from plumbline.llm.secrets import find_secrets, redact
+from plumbline.llm.simhash import near_duplicates
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document of which no language holds this share of the letters is rejected.
+MIN_LANGUAGE_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those of no main language; lang becomes the predicted language."""
+    found = identify_languages(docs.select(*COLUMNS), COLUMNS, learn_from=fold("doc_id", 4) != 2)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that of the smallest doc_id (of repeated ids the smallest row)."""
+    groups = near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id")
+    ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id"))
+    once = ids.where((F.col("n") == 1) & (F.col("doc_id") == F.col("component_id"))).select("doc_id")
+    single = docs.join(once, "doc_id", "left_semi").select(*COLUMNS)
+    # Ids that are null or repeated: the smallest row of each group that bears the group's name, combined on the map side.
+    repeated = written(ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("id")), "repeated")
+    if repeated.isEmpty():
+        return single
+    heads = near_duplicates(docs.select(*COLUMNS), keep=COLUMNS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = heads.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    least = heads.groupBy("group_fp").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return single.unionByName(least.select(*COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return contamination(docs, read_table(spark, sf_dir, "benchmark"), COLUMNS).where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; live secrets in its text are replaced by [SECRET], widely copied examples are left. n_chars follows."""
+    found = find_secrets(docs.select(*COLUMNS), COLUMNS)
+    live = F.transform(F.filter("secrets", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))
+    marked = found.select(*COLUMNS, live.alias("spans"))
+    clean = marked.where(F.size("spans") == 0).select(*COLUMNS)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.to_pydict()
+            rows["text"] = [redact(t, [(s["a"], s["b"]) for s in spans]) for t, spans in zip(rows["text"], rows.pop("spans"), strict=True)]
+            rows["n_chars"] = [None if t is None else len(t) for t in rows["text"]]
+            yield pa.RecordBatch.from_pydict({c: rows[c] for c in COLUMNS}, schema=pa.schema([batch.schema.field(c) for c in COLUMNS]))
+
+    dirty = marked.where(F.size("spans") > 0).mapInArrow(run, docs.select(*COLUMNS).schema)
+    return clean.unionByName(dirty)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the words that the mix takes of them and their complete epochs; documents not taken go."""
+    mixed = mix(docs.select("doc_id", "source", "text"))
+    return mixed.where(F.col("taken") > 0).select(
+        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken", "epochs"
+    )
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("scan_secrets", scan_secrets),
+    ("mix_sources", mix_sources),
+]
+
+#: Language models, SimHash and secret ownership are beyond SQL here; tests/llm tests the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each one's result is written and read again as the next one's input."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
