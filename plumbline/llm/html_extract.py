@@ -436,7 +436,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
                 p.open("figure", True)
                 p.leaf("figcaption", True, words(2, 9))
                 p.out.append("</figure>")
-            elif r.random() < 0.7:
+            else:
+                boilerplate(p, "in")
+            if r.random() < 0.12:
                 boilerplate(p, "in")
         if inner:
             p.out.append("</div>")

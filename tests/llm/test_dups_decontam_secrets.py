@@ -1,0 +1,182 @@
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from plumbline.llm import decontam, secrets, simhash
+from plumbline.llm.components import connected_components
+
+
+def plain_fingerprint(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps, radius=4):
+    x = np.array(sorted(set(fps)), dtype=np.uint64)
+    label = list(range(len(x)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= radius) + i + 1:
+            a, b = find(i), find(int(j))
+            label[max(a, b)] = min(a, b)
+    return {int(v): find(i) for i, v in enumerate(x)}
+
+
+def test_covering_masks_never_miss():
+    masks = simhash.covering_masks()
+    assert len(masks) == 31
+    r = random.Random(3)
+    for _ in range(5000):
+        diff = sum(1 << i for i in r.sample(range(64), r.randint(1, 4)))
+        hit = [t for t, m in enumerate(masks) if not m & diff]
+        assert hit
+        fine = simhash.divided_masks(masks)
+        assert all(any(not fine[t * 5 + j] & diff for j in range(5)) for t in hit)
+
+
+def test_fingerprints_match_the_plain_way():
+    r = random.Random(5)
+    texts = [None, "", " \t", "One", "One two three", "One two three FOUR", "É é A  b\x0bc\x85d e f", " ".join(r.choice("abcdefgh") * r.randint(1, 40) for _ in range(900))]
+    raw = [None if t is None else t.encode() for t in texts]
+    got = simhash.majority([simhash.shingle_hashes(t) for t in raw])
+    assert [int(x) for x in got] == [plain_fingerprint(t) for t in texts]
+
+
+@pytest.mark.parametrize("bucket", [8192, 3])
+def test_links_match_all_pairs(spark, bucket):
+    r = random.Random(bucket)
+    fps = [r.getrandbits(64) for _ in range(60)]
+    for base in fps[:8]:
+        chain = base
+        for _ in range(25):
+            for b in r.sample(range(64), r.randint(0, 5)):
+                chain ^= 1 << b
+            fps.append(chain)
+    fps = sorted(set(fps) | {0, (1 << 64) - 1, 1 << 63})
+    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
+    edges = simhash.fingerprint_links(df, max_bucket=bucket)
+    roots = {r["node"] % 2**64: r["root"] % 2**64 for r in connected_components(edges).collect()}
+    want = plain_components(fps)
+    groups, mine = {}, {}
+    for x in fps:
+        groups.setdefault(want[x], set()).add(x)
+        mine.setdefault(roots.get(x, x), set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_near_duplicates(spark, odd_docs, no_docs, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    fp = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows}
+    root = plain_components(fp.values())
+    least = {}
+    for i, x in sorted(fp.items()):
+        least.setdefault(root[x], i)
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert {i: (r["fp"] % 2**64, r["component_id"]) for i, r in got.items()} == {i: (x, least[root[x]]) for i, x in fp.items()}
+    odd = simhash.near_duplicates(odd_docs).collect()
+    assert len(odd) == 11
+    assert {r["component_id"] for r in odd if r["doc_id"] in (2, 3, 4)} == {2}
+    assert {r["component_id"] for r in odd if r["doc_id"] in (5, 9)} == {5}
+    assert [r["component_id"] for r in odd if r["doc_id"] is None] == [None]
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5), (-3, 9), (9, -3)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(101, 161)}, **{i: 7 for i in range(200, 260)}, 9: -3}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_hits(text, items, window=13):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    w = words(text)
+    hit, found = set(), set()
+    for item, t in items:
+        x = words(t)
+        m = min(window, len(x))
+        for a in range(len(x) - m + 1 if m else 0):
+            for i in range(len(w) - m + 1):
+                if w[i : i + m] == x[a : a + m]:
+                    hit.update(range(i, i + m))
+                    found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("max_words", [10**6, 2])
+def test_contamination_matches_brute_force(spark, odd_docs, max_words):
+    r = random.Random(9)
+    vocabulary = ["the", "of", "a", "é", "x1", "naïve"]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, say(n)) for i, n in enumerate([1, 2, 5, 12, 13, 14, 40, 41])] + [(10, None), (None, "a the"), (11, ""), (12, "..."), (4, say(20))]
+    items += [items[5]]
+    docs = [(i, say(n) + " " + items[r.randrange(8)][1] + "\n" + say(n)) for i, n in enumerate([0, 3, 20, 200] * 8)]
+    docs += [(90, None), (91, ""), (92, "..."), (93, items[6][1].upper().replace(" ", ", ")), (93, items[6][1])]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    df = spark.createDataFrame([(i, t, "clash", 3) for i, t in docs], "doc_id int, text string, n_words string, n_hit int")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["hit_items"], r["contaminated"]) for r in decontam.contamination(df, bench, ["doc_id"], max_words=max_words).collect())
+    known = [(i, t) for i, t in dict.fromkeys(items) if i is not None]
+    want = []
+    for i, t in docs:
+        n, h, found = plain_hits(t, known)
+        want.append((i, n, h, found, h > 0 and 20 * h >= n))
+    assert got == sorted(want)
+    clean = decontam.contamination(odd_docs, bench.limit(0), ["doc_id"]).collect()
+    assert len(clean) == 11 and not any(r["contaminated"] for r in clean)
+    assert decontam.contamination(odd_docs.limit(0), bench, ["doc_id"], max_words=max_words).count() == 0
+
+
+def plain_secrets(t):
+    out = []
+    key = r"(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else "_?" for c in w) for w in ("password", "passwd", "secret", "token", "api_key")) + ")"
+    for m in re.finditer(key + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or ""):
+        out += [("assign", *m.span())] * (len(m[2]) >= 6)
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t or "") if len(m[0]) >= 24]
+    return sorted(out, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
+
+
+def test_base_secrets_match_the_plain_way():
+    hexa = "0123456789abcdef" * 3
+    texts = [
+        None, "", "password=abc password=abcdef", "PassWord' : 'a.b-c/d+e=", "api_key=token=secret=abcdef", f"x{hexa}y{hexa[:23]}Z{hexa[:24]}",
+        "AKIA" + "A" * 15, "AKIA" + "A" * 16 + "AKIA" + "B" * 20, "ſecret=abcdef toKen=abcdef", "é" * 50 + f"apikey: {hexa} token:\n{hexa}", "secret =  \"=====\" secret\"=\"-_-_-_",
+    ]
+    for t in texts:
+        assert [s[:3] for s in secrets.scan(t) if s[0] != "entropy"] == plain_secrets(t)
+
+
+def test_ownership_separates_examples_from_live(spark, odd_docs, no_docs):
+    live, example = "Zx9Qw7Lm3Kp5Rt8Vb2Nc4", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
+    rows = [(i, f"see {example} and password=changeme{i % 2}", f"o{i % 9}") for i in range(40)]
+    rows += [(100, f"mine {live}", "o1"), (101, f"mine {live}", "o1"), (102, None, None), (103, "", None), (103, "", None), (None, f"é {live}", "o1")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id int, text string, source string, secrets string")
+    got = secrets.find_secrets(df, ["doc_id"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        kinds = [(s["kind"], s["live"]) for s in r["secrets"]]
+        if r["doc_id"] is None or r["doc_id"] in (100, 101):
+            assert kinds == [("entropy", True)]
+            s = r["secrets"][0]
+            assert (s["n_owners"], s["n_repos"], s["end"] - s["start"]) == (1, 3, len(live))
+        elif r["doc_id"] < 100:
+            assert kinds == [("assign", False)]
+        else:
+            assert kinds == []
+    assert len(secrets.find_secrets(odd_docs, ["doc_id"]).collect()) == 11
+    assert secrets.find_secrets(no_docs, ["doc_id"]).count() == 0
+    assert secrets.redact("a SECRET b", [(2, 8), (4, 8)]) == "a [SECRET] b" and secrets.redact(None, [(1, 2)]) is None
