@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Rows of one key range of a source, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Targets are broadcast up to this counted number of sources (about 60 bytes each); beyond it the join shuffles.
 BROADCAST_SOURCES = 100_000
 #: Characters that prose has few of; their share lowers a document's weight.
