@@ -29,18 +29,19 @@ def src_02_tsv_missing(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, event_type FROM events")
 def src_04_json_folder(t: Tables) -> DataFrame:
-    """A folder of JSON arrays: each user's events are one array."""
+    """A folder of JSON arrays of at most fifty records each."""
     path = files.scratch_path(t.spark, "json")
-    t.events.groupBy("user_id").agg(F.to_json(F.collect_list(F.struct("event_id", "event_type"))).alias("value")).select("value").write.option("lineSep", "\n").text(path)
+    chunk = F.floor(C("event_id") / 50)
+    t.events.groupBy(chunk.alias("c")).agg(F.to_json(F.collect_list(F.struct("event_id", "event_type"))).alias("value")).select("value").write.text(path)
     rows = t.spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<event_id: bigint, event_type: string>>")).alias("e"))
     return rows.select("e.*")
 
 
 @query("SELECT o_custkey::VARCHAR AS repo, o_orderkey AS line FROM orders")
 def src_05_keyed_findings(t: Tables) -> DataFrame:
-    """Objects {repo: [finding]}."""
+    """Objects {repo: [finding]}; a repository's findings come in runs, so no object grows without bound."""
     path = files.scratch_path(t.spark, "keyed")
-    per = t.orders.groupBy(C("o_custkey").cast("string").alias("repo")).agg(F.collect_list(F.struct(C("o_orderkey").alias("line"))).alias("f"))
+    per = t.orders.groupBy(C("o_custkey").cast("string").alias("repo"), F.floor(C("o_orderkey") / 1000)).agg(F.collect_list(F.struct(C("o_orderkey").alias("line"))).alias("f"))
     per.select(F.to_json(F.map_from_arrays(F.array("repo"), F.array("f"))).alias("value")).write.text(path)
     rows = t.spark.read.text(path).select(F.explode(F.from_json("value", "map<string, array<struct<line: bigint>>>")).alias("repo", "fs"))
     return rows.select("repo", F.explode("fs").alias("f")).select("repo", "f.line")
@@ -170,6 +171,71 @@ def gen_04_malicious_inputs(t: Tables) -> DataFrame:
     return t.spark.range(1, 41).select("id", F.concat(F.repeat(F.lit("a"), C("id").cast("int")), F.lit("!")).alias("input"))
 
 
+@query("SELECT n_nationkey AS id, n_name AS rule FROM nation")
+def src_03_json_array(t: Tables) -> DataFrame:
+    """Files that each hold one JSON array of records (a region's nations), read with a given schema."""
+    path = files.scratch_path(t.spark, "arrays")
+    rows = F.to_json(F.collect_list(F.struct(C("n_nationkey").alias("id"), C("n_name").alias("rule"))))
+    t.nation.groupBy(C("n_regionkey").alias("file")).agg(rows.alias("value")).write.partitionBy("file").text(path)
+    return files.read_json_arrays(t.spark, path, "id long, rule string").select("id", "rule")
+
+
+@query("SELECT i AS id, 'user' || i::VARCHAR || '@example.org' AS email, CASE WHEN i % 7 = 0 THEN NULL ELSE 'bio ' || i::VARCHAR END AS bio, '{\"n\":' || i::VARCHAR || '}' AS meta, strftime(TIMESTAMP '2024-01-01' + to_days((i % 365)::INT), '%Y-%m-%d') AS day FROM range(1, 2001) r(i)")
+def gen_03_wide_users(t: Tables) -> DataFrame:
+    """Users from a series: nullable text, JSON, dates by interval."""
+    i = C("id").cast("string")
+    day = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((C("id") % 365).cast("int"))
+    return t.spark.range(1, 2001).select(
+        "id", F.concat(F.lit("user"), i, F.lit("@example.org")).alias("email"), F.when(C("id") % 7 != 0, F.concat(F.lit("bio "), i)).alias("bio"),
+        F.to_json(F.struct(C("id").alias("n"))).alias("meta"), F.date_format(day, "yyyy-MM-dd").alias("day"),
+    )
+
+
+@query()
+def gen_01_seeded_inputs(t: Tables) -> DataFrame:
+    """Items (id, value, active) and a matrix cell per id from one seeded stream; tests hold the stream."""
+    from ..functions.prng import mulberry32
+
+    n = 1000
+    draws = mulberry32(42, 3 * n).reshape(n, 3)
+    rows = [(k, int(a * 1000), bool(b < 0.5), int(c * 256)) for k, (a, b, c) in enumerate(draws.tolist())]
+    return t.spark.createDataFrame(rows, "id long, value int, active boolean, cell int")
+
+
+@query("SELECT '| ' || event_type || ' | ' || n::VARCHAR || ' |' AS line FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def snk_06_markdown(t: Tables) -> DataFrame:
+    """A small summary rendered as a Markdown table; its body lines."""
+    n = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type")
+    body = files.markdown_table(n).split("\n")[2:]
+    return t.spark.createDataFrame([(x,) for x in body], "line string")
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def snk_08_partitioned_output(t: Tables) -> DataFrame:
+    """Output written by partition; a rerun overwrites only the partitions it holds, so a scan can resume."""
+    path = files.scratch_path(t.spark, "partitioned")
+    s = t.supplier.join(t.nation, C("s_nationkey") == C("n_nationkey")).select("s_suppkey", "n_name", "n_regionkey")
+    for part in (s.filter("n_regionkey < 2"), s.filter("n_regionkey >= 1")):
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("n_regionkey").parquet(path)
+    return t.spark.read.schema("s_suppkey long, n_name string, n_regionkey int").parquet(path).select("s_suppkey", "n_name")
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS keys FROM orders")
+def snk_10_batched_insert(t: Tables) -> DataFrame:
+    """Writes in files of at most 1,000 records."""
+    path = files.scratch_path(t.spark, "batched")
+    t.orders.select("o_orderkey").write.option("maxRecordsPerFile", 1000).parquet(path)
+    return t.spark.read.schema("o_orderkey long").parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN p_size::VARCHAR || ' B' ELSE printf('%.1f KB', floor(p_size * 10 / 10.0::DOUBLE + 0.5) / 10) END AS label FROM part")
+def udf_02_metric_labels(t: Tables) -> DataFrame:
+    """Formatters looked up by metric."""
+    kb = F.format_string("%.1f KB", F.floor(C("p_size") * 10 / F.lit(10.0) + 0.5) / 10)
+    formats = {"small": F.concat(C("p_size").cast("string"), F.lit(" B")), "large": kb}
+    return t.part.select("p_partkey", F.when(C("p_size") < 10, formats["small"]).otherwise(formats["large"]).alias("label"))
+
+
 @query()
 def ctl_02_plan_node(t: Tables) -> DataFrame:
     """The first operator of a plan, by query."""

@@ -1,6 +1,6 @@
 """Streaming extensions over an event table: windowed counts with a watermark, and a held-resource counter per user.
 
-The reference has no streaming engine; these are additions, not parity.
+These are extensions beside the batch queries.
 """
 
 from __future__ import annotations
