@@ -21,7 +21,7 @@ DEFAULTS: dict[str, object] = {
     "kind": "pool", "seed": 42, "duration": 30_000.0, "interval": 10.0, "burst": 1, "burst_interval": 0.0, "limit": 20, "hold": 50.0, "jitter": 10.0,
     "timeout": 500.0, "leak": 0.0, "error": 0.0, "leak_on_error": False, "keep_alive": False, "heap_limit": 512 * 1024 * 1024.0, "item_bytes": 0.0,
     "stream_type": "read", "timer_type": "interval", "timer_interval": 1000.0, "timer_lifetime": 5000.0, "emitters": 1, "per_component": 1, "emit_hz": 10.0,
-    "listener_type": "on", "max_listeners": 10, "latency_limit": -1.0,
+    "listener_type": "on", "max_listeners": 10, "latency_limit": -1.0, "rate": 10.0,
 }
 
 RESULT = (
@@ -167,7 +167,7 @@ def timers(cell: dict) -> dict:
     leaked = made = failed = calls = 0
     exhausted, latest = None, 0.0
     strict, end, period = cell["latency_limit"] >= 0, cell["duration"], cell["timer_interval"]
-    for now in arrival_times(end, max(1, rounded(1000 / cell["interval"]))):
+    for now in arrival_times(end, max(1, rounded(1000 / cell["rate"]))):
         late = min(250.0, leaked * (1000 / period) * 0.01) if interval and period > 0 else 0.0
         latest = max(latest, late)
         full = leaked * cell["item_bytes"] >= cell["heap_limit"]
@@ -195,7 +195,7 @@ def listeners(cell: dict) -> dict:
     exhausted, latest = None, 0.0
     strict, end = cell["latency_limit"] >= 0, cell["duration"]
     emits = deque(arrival_times(end, 1000 / cell["emit_hz"])) if cell["emit_hz"] > 0 else deque()
-    for now in arrival_times(end, max(1, rounded(1000 / cell["interval"]))):
+    for now in arrival_times(end, max(1, rounded(1000 / cell["rate"]))):
         while emits and emits[0] <= now:
             emits.popleft()
             calls += leaked

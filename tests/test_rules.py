@@ -137,9 +137,9 @@ def test_simulator_invariants():
         r = simulate({"kind": kind, "leak": 0.05, "error": 0.1, "leak_on_error": True, "interval": 5.0, "item_bytes": 1000.0})
         assert r["succeeded"] + r["failed"] == r["total"] and r["peak"] <= 20 and r["leaked"] <= 20
     assert simulate({"kind": "pool", "interval": 100.0, "jitter": 0.0})["exhausted_at"] is None
-    stopped = simulate({"kind": "timer", "interval": 50.0, "leak": 0.2, "latency_limit": 1.0, "item_bytes": 10.0})
+    stopped = simulate({"kind": "timer", "rate": 50.0, "leak": 0.2, "latency_limit": 1.0, "item_bytes": 10.0})
     assert stopped["exhausted_at"] is not None and stopped["failed"] > 0
-    assert simulate({"kind": "listener", "interval": 50.0, "leak": 0.5, "per_component": 3})["callbacks"] > 0
+    assert simulate({"kind": "listener", "rate": 50.0, "leak": 0.5, "per_component": 3})["callbacks"] > 0
 
 
 def explain(df) -> str:
