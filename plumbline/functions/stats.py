@@ -7,28 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def percentile_interp(x: Column, p: float) -> Column:
-    """Linear interpolation at p (n - 1)."""
-    return F.percentile(x, p)
+def percentiles(df: DataFrame, keys: list[str], value: str, wanted: list[tuple[float, str, str]]) -> DataFrame:
+    """Exact percentiles of each group, as (p, rule, name) asks; nulls are left out.
 
-
-def percentile_nearest(x: str, p: float) -> Column:
-    """Nearest rank: the ceil(p n)-th value."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})")
-
-
-def percentile_floor(df: DataFrame, keys: list[str], value: str, ps: list[tuple[float, str]]) -> DataFrame:
-    """The value at 0-based position min(floor(n p), n - 1) of each group.
-
-    By distinct value and count, never by a list of all of a group's values, so a hot
-    group costs its distinct values.
+    Rules, for n sorted values: `floor` takes the 0-based position min(floor(n p), n - 1), `nearest` the
+    ceil(n p)-th value, `interp` interpolates at p (n - 1). All work on distinct values and their
+    counts, sorted in a window that can spill; no aggregation buffer holds a group's values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy(*keys)
-    order = w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    run = counts.withColumn("__to", F.sum("__c").over(order)).withColumn("__n", F.sum("__c").over(w))
-    at = lambda p: F.least(F.floor(F.col("__n") * F.lit(p)), F.col("__n") - 1)
-    return run.groupBy(*keys).agg(*[F.min(F.when(F.col("__to") > at(p), F.col(value))).alias(name) for p, name in ps])
+    run = counts.withColumn("__to", F.sum("__c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(w))
+    n = F.col("__n")
+    at = lambda pos: F.min(F.when(F.col("__to") > pos, F.col(value)))  # noqa: E731  the value at a 0-based position
+    columns = []
+    for p, rule, name in wanted:
+        if rule == "floor":
+            columns.append(at(F.least(F.floor(n * F.lit(p)), n - 1)).alias(name))
+        elif rule == "nearest":
+            columns.append(at(F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0))).alias(name))
+        else:
+            pos = (n - 1) * F.lit(p)
+            low, high, part = at(F.floor(pos)), at(F.ceil(pos)), F.first(pos - F.floor(pos))
+            columns.append((low + (high - low) * part).alias(name))
+    return run.groupBy(*keys).agg(*columns)
+
+
+def percentile_floor(df: DataFrame, keys: list[str], value: str, ps: list[tuple[float, str]]) -> DataFrame:
+    """The value at 0-based position min(floor(n p), n - 1) of each group."""
+    return percentiles(df, keys, value, [(p, "floor", name) for p, name in ps])
 
 
 def median_upper(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -12,6 +12,8 @@ from ..sources.tables import Tables, require
 from .registry import query
 from .relational import PRIORITIES
 
+C = F.col
+
 
 @query(
     """SELECT o_orderkey, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items FROM orders LEFT JOIN (
@@ -125,10 +127,10 @@ def join_13_any_case(t: Tables) -> DataFrame:
     """SELECT s.sample, l.quality FROM (SELECT min(doc_id) AS loc, unnest(list(doc_id)) AS sample FROM documents GROUP BY md5(text)) s JOIN labels l ON l.doc_id = s.loc"""
 )
 def join_14_two_hops(t: Tables) -> DataFrame:
-    """Sample -> location (the first document of its text) -> label."""
-    places = t.documents.select("doc_id", F.md5("text").alias("k")).groupBy("k").agg(F.min("doc_id").alias("loc"), F.collect_list("doc_id").alias("samples"))
-    hop = places.select("loc", F.explode("samples").alias("sample"))
-    return hop.join(t.labels.select(F.col("doc_id").alias("loc"), "quality"), "loc").select("sample", "quality")
+    """Sample -> location (the first document of its text) -> label; no list of a text's samples is built."""
+    d = t.documents.select(C("doc_id").alias("sample"), F.md5("text").alias("k"))
+    hop = d.join(d.groupBy("k").agg(F.min("sample").alias("loc")), "k")
+    return hop.join(t.labels.select(C("doc_id").alias("loc"), "quality"), "loc").select("sample", "quality")
 
 
 @query("SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value > 100) WHERE user_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

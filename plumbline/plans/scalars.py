@@ -145,10 +145,11 @@ def mth_05_mulberry32(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", first("p_partkey").alias("draw"))
 
 
-@query("SELECT p_partkey, ((p_partkey * 2654435761) & 4294967295)::BIGINT % 1000 AS bucket FROM part WHERE p_partkey < 3000000")
+@query("SELECT p_partkey, ((p_partkey::DOUBLE * 2654435761.0::DOUBLE)::BIGINT & 4294967295)::BIGINT % 1000 AS bucket FROM part")
 def mth_06_spread_hash(t: Tables) -> DataFrame:
-    """Seeds below three million: there the double product is exact and equals the integer one."""
-    return t.part.filter("p_partkey < 3000000").select("p_partkey", ((C("p_partkey") * 2654435761).bitwiseAND(4294967295) % 1000).alias("bucket"))
+    """The product is a double before it is cut to 32 bits."""
+    product = (C("p_partkey").cast("double") * F.lit(2654435761.0)).cast("bigint")
+    return t.part.select("p_partkey", (product.bitwiseAND(4294967295) % 1000).alias("bucket"))
 
 
 @query("SELECT l_orderkey, list_sum(list_transform(list_filter(list(l_linenumber), lambda x: x % 2 = 1), lambda x: x * 2))::BIGINT AS odd_doubled FROM lineitem GROUP BY 1 HAVING len(list_filter(list(l_linenumber), lambda x: x % 2 = 1)) > 0")
@@ -189,10 +190,10 @@ def arr_05_matrix_sum(t: Tables) -> DataFrame:
 
 @query("SELECT shard, count(*)::BIGINT AS n FROM (SELECT (row_number() OVER (ORDER BY s_suppkey) - 1) % 4 AS shard FROM supplier) GROUP BY 1")
 def arr_06_round_robin(t: Tables) -> DataFrame:
-    from pyspark.sql import Window as W
+    from ..operators.windows import running_total
 
-    n = F.row_number().over(W.orderBy("s_suppkey")) - 1
-    return t.supplier.select(F.pmod(n, F.lit(4)).cast("bigint").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    n = running_total(t.supplier.select("s_suppkey", F.lit(1).alias("one")), "s_suppkey", "one", "n")
+    return n.select(F.pmod(C("n") - 1, F.lit(4)).cast("bigint").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT string_agg(event_type || '=' || n::VARCHAR, ',' ORDER BY n DESC, event_type) AS counts FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")

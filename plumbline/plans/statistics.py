@@ -29,7 +29,7 @@ def st_01_mean(t: Tables) -> DataFrame:
 
 @query(f"SELECT o_orderpriority, round(median(ms), 9) AS median FROM {TRIALS} GROUP BY 1")
 def st_02a_median(t: Tables) -> DataFrame:
-    return trials(t).groupBy(*KEY).agg(F.round(F.median("ms"), 9).alias("median"))
+    return stats.percentiles(trials(t), KEY, "ms", [(0.5, "interp", "median")]).withColumn("median", F.round("median", 9))
 
 
 @query(f"SELECT o_orderpriority, list_sort(list(ms))[floor(count(*) / 2.0)::INT + 1] AS median_upper FROM {TRIALS} GROUP BY 1")
@@ -49,12 +49,12 @@ def st_03b_sd_population(t: Tables) -> DataFrame:
 
 @query(f"SELECT o_orderpriority, round(quantile_cont(ms, 0.95), 9) AS p95_interp FROM {TRIALS} GROUP BY 1")
 def st_04a_p95_interp(t: Tables) -> DataFrame:
-    return trials(t).groupBy(*KEY).agg(F.round(stats.percentile_interp(F.col("ms"), 0.95), 9).alias("p95_interp"))
+    return stats.percentiles(trials(t), KEY, "ms", [(0.95, "interp", "p95_interp")]).withColumn("p95_interp", F.round("p95_interp", 9))
 
 
 @query(f"SELECT o_orderpriority, list_sort(list(ms))[ceil(0.95 * count(*))::INT] AS p95_nearest FROM {TRIALS} GROUP BY 1")
 def st_04b_p95_nearest(t: Tables) -> DataFrame:
-    return trials(t).groupBy(*KEY).agg(stats.percentile_nearest("ms", 0.95).alias("p95_nearest"))
+    return stats.percentiles(trials(t), KEY, "ms", [(0.95, "nearest", "p95_nearest")])
 
 
 @query(f"SELECT o_orderpriority, list_sort(list(ms))[least(floor(count(*) * 0.95)::INT, count(*)::INT - 1) + 1] AS p95_floor FROM {TRIALS} GROUP BY 1")

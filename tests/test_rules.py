@@ -65,8 +65,8 @@ def test_three_percentiles_and_two_medians(spark):
     d = spark.createDataFrame([("a", float(x)) for x in (10, 20, 30, 40)] + [("b", 5.0)] + [("n", None)], "k string, x double")
     got = {r["k"]: r for r in stats.percentile_floor(d, ["k"], "x", [(0.5, "m"), (0.95, "p"), (1.0, "top")]).collect()}
     assert (got["a"]["m"], got["a"]["p"], got["a"]["top"], got["b"]["m"]) == (30.0, 40.0, 40.0, 5.0) and "n" not in got
-    r = d.filter("k = 'a'").agg(stats.percentile_interp(F.col("x"), 0.5), stats.percentile_nearest("x", 0.5)).first()
-    assert tuple(r) == (25.0, 20.0)
+    r = stats.percentiles(d.filter("k = 'a'"), ["k"], "x", [(0.5, "interp", "i"), (0.5, "nearest", "n"), (0.95, "interp", "j"), (0.0, "nearest", "z")]).first()
+    assert (r["i"], r["n"], r["z"]) == (25.0, 20.0, 10.0) and r["j"] == pytest.approx(38.5)
 
 
 def test_effect_sizes_on_degenerate_groups(spark):
