@@ -194,12 +194,20 @@ def gather(x: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.nda
     return x[at], mask, at
 
 
-def window_logits(net: Network, x: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def part_of(t: Tokens, lo: int, hi: int) -> Tokens:
+    """Tokens lo to hi with their letters."""
+    a, b = int(t.at[lo]), int(t.at[hi - 1] + t.size[hi - 1])
+    return Tokens(t.word[lo:hi], t.gram[a:b], t.prefix[a:b], t.at[lo:hi] - a, t.size[lo:hi], t.first)
+
+
+def window_logits(net: Network, t: Tokens, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Logit of each window (starts in ascending order). LANES windows at a time, so vectors exist for those only."""
     out = np.empty(len(start), dtype=np.float32)
     for a in range(0, len(start), LANES):
-        part = slice(a, a + LANES)
-        w, mask, _ = gather(x, start[part], length[part])
-        out[part] = net.forward(w, mask)
+        s, n = start[a : a + LANES], length[a : a + LANES]
+        lo, hi = int(s[0]), int((s + n).max())
+        w, mask, _ = gather(net.inputs(part_of(t, lo, hi)), s - lo, n)
+        out[a : a + LANES] = net.forward(w, mask)
     return out
 
 
@@ -251,7 +259,7 @@ def train(rows: list[tuple[str | None, int]], rate_of_one: float | None = None,
     strength = np.array([odds[a : a + n].max() for a, n in zip(start, length, strict=True)])
     for epoch in range(epochs):
         if epoch in (3, 6, 9):
-            strength = window_logits(net, net.inputs(t), start, length)
+            strength = window_logits(net, t, start, length)
         order = np.lexsort((-strength, text))
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(text[order], text[order])
@@ -264,7 +272,7 @@ def train(rows: list[tuple[str | None, int]], rate_of_one: float | None = None,
             step += 1
             part = chosen[a : a + 128]
             _descend(net, t, start[part], length[part], toxic[part].astype(np.float32), moments, step, rate)
-    z = highest(window_logits(net, net.inputs(t), start, length), text, len(y))
+    z = highest(window_logits(net, t, start, length), text, len(y))
     use = held if held.any() else ~held
     net.slope, net.shift = platt(z[use], y[use])
     net.shift += prior_shift(rate_of_one, y[use])
@@ -313,7 +321,7 @@ def _adam(p, grad, moment, rows, step, rate) -> None:
 def score_texts(net: Network, texts: list[str | None]) -> np.ndarray:
     t = tokens_of(texts)
     start, length, text = windows_of(t.first)
-    z = highest(window_logits(net, net.inputs(t), start, length), text, len(texts))
+    z = highest(window_logits(net, t, start, length), text, len(texts))
     return 1 / (1 + np.exp(-np.clip(net.slope * z + net.shift, -30, 30)))
 
 
