@@ -20,10 +20,11 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, written
+from .decontam import union_spans
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(
@@ -40,6 +41,8 @@ MIN_ENTROPY = 3.5
 #: Owners from which on a value is a widely copied example.
 EXAMPLE_OWNERS = 5
 SALTS = 32
+#: What stands in a redacted text for a secret.
+MARK = "[SECRET]"
 
 
 def entropy(s: str) -> float:
@@ -110,14 +113,9 @@ def find_secrets(docs: DataFrame, keep: list[str], owner: str = "source", repo:
     """
     need = list(dict.fromkeys([*keep, owner, repo]))
     own = written(candidates(docs, need, text).withColumn("__row", F.monotonically_increasing_id()), "candidates")
-    stats = ownership(own.where(F.size("found") > 0), owner, repo).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    rows = (
-        own.where(F.size("found") > 0)
-        .select("__row", F.explode("found").alias("f"))
-        .select("__row", "f.*", F.pmod("__row", F.lit(SALTS)).cast("int").alias("salt"))
-    )
+    some = own.where(F.size("found") > 0)
+    stats = ownership(some, owner, repo).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = some.select("__row", F.explode("found").alias("f")).select("__row", "f.*", F.pmod("__row", F.lit(SALTS)).cast("int").alias("salt"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     judged = (
         rows.join(stats, ["hash", "salt"])
@@ -131,19 +129,18 @@ def find_secrets(docs: DataFrame, keep: list[str], owner: str = "source", repo:
             ).alias("secrets")
         )
     )
-    kind = judged.schema["secrets"].dataType
-    return own.join(judged, "__row", "left").select(
-        *[F.col(f"`{c}`") for c in keep], F.coalesce("secrets", F.array().cast(kind)).alias("secrets")
-    )
+    empty = F.array().cast(judged.schema["secrets"].dataType)
+    columns = [F.col(f"`{c}`") for c in keep]
+    # Rows without candidates, nearly all, meet no shuffle.
+    clean = own.where(F.size("found") == 0).select(*columns, empty.alias("secrets"))
+    return clean.unionByName(some.join(judged, "__row", "left").select(*columns, F.coalesce("secrets", empty).alias("secrets")))
+
+
+def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
+    """`text` with each of `spans` (structs start, end; may overlap) replaced by the mark, from the last to the first."""
+    whole = F.reverse(union_spans(spans))
 
+    def cut(t: Column, s: Column) -> Column:
+        return F.concat(F.substring(t, F.lit(1), s["start"].cast("int")), F.lit(mark), F.substring(t, (s["end"] + 1).cast("int"), F.length(t)))
 
-def redact(text: str | None, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str | None:
-    """`text` with each merged span replaced."""
-    if text is None or not spans:
-        return text
-    out, at = [], 0
-    for a, b in sorted(spans):
-        if a >= at:
-            out += [text[at:a], mark]
-        at = max(at, b)
-    return "".join(out) + text[at:]
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(whole, text, cut))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, secrets, simhash
 from plumbline.llm.components import connected_components
@@ -179,4 +180,7 @@ def test_ownership_separates_examples_from_live(spark, odd_docs, no_docs):
             assert kinds == []
     assert len(secrets.find_secrets(odd_docs, ["doc_id"]).collect()) == 11
     assert secrets.find_secrets(no_docs, ["doc_id"]).count() == 0
-    assert secrets.redact("a SECRET b", [(2, 8), (4, 8)]) == "a [SECRET] b" and secrets.redact(None, [(1, 2)]) is None
+    spans = "array<struct<start: bigint, end: bigint>>"
+    t = spark.createDataFrame([("é SECRET b", [(2, 8), (4, 8)]), ("xABy", [(1, 2), (2, 3)]), ("plain", []), (None, [(0, 1)]), ("ab", [(0, 2)])], f"t string, s {spans}")
+    out = [r[0] for r in t.select(secrets.redacted(F.col("t"), F.col("s"))).collect()]
+    assert out == ["é [SECRET] b", "x[SECRET]y", "plain", None, "[SECRET]"]
