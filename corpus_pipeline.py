@@ -13,12 +13,12 @@ from plumbline.llm.common import fold, read_table, written
 from plumbline.llm.decontam import contamination
 from plumbline.llm.langid import identify_languages
 from plumbline.llm.mixing import mix
-from plumbline.llm.secrets import find_secrets, redact
+from plumbline.llm.secrets import find_secrets, redacted
 from plumbline.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document of which no language holds this share of the letters is rejected.
-MIN_LANGUAGE_SHARE = 0.5
+#: A document whose language holds less than this share of the letters is in no language and is rejected.
+MIN_LANGUAGE_SHARE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,21 +52,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; live secrets in its text are replaced by [SECRET], widely copied examples are left. n_chars follows."""
     found = find_secrets(docs.select(*COLUMNS), COLUMNS)
-    live = F.transform(F.filter("secrets", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))
-    marked = found.select(*COLUMNS, live.alias("spans"))
-    clean = marked.where(F.size("spans") == 0).select(*COLUMNS)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = batch.to_pydict()
-            rows["text"] = [redact(t, [(s["a"], s["b"]) for s in spans]) for t, spans in zip(rows["text"], rows.pop("spans"), strict=True)]
-            rows["n_chars"] = [None if t is None else len(t) for t in rows["text"]]
-            yield pa.RecordBatch.from_pydict({c: rows[c] for c in COLUMNS}, schema=pa.schema([batch.schema.field(c) for c in COLUMNS]))
-
-    dirty = marked.where(F.size("spans") > 0).mapInArrow(run, docs.select(*COLUMNS).schema)
-    return clean.unionByName(dirty)
+    live = F.transform(F.filter("secrets", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    text = redacted(F.col("text"), F.col("spans"))
+    return found.withColumn("spans", live).withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
