@@ -4,8 +4,9 @@ Words are runs of letters and marks. The script of a word's first letter narrows
 languages to those that were seen to use it; the word's score under each
 language is the sum of its hashed letter-trigram log-probabilities; a Viterbi
 pass with a switching penalty labels every word, so a text in several
-languages falls into spans. The document's language is the one with most
-letters.
+languages falls into spans. The document's language is the one that holds at
+least `CLEAR` of the letters; a text without such a one is in the language of its
+opening span (it goes on to quote others), unless that holds next to nothing.
 
 The model is counted from a bounded sample of labelled rows
 (`per_language` documents a language, chosen by hash) and travels as a closure
@@ -32,6 +33,10 @@ UNSEEN = 1e-6
 #: Most that one word can speak against a language.
 WORST = -12.0
 SWITCH = 14.0
+#: Share of the letters from which on a language is the text's whatever it opens in.
+CLEAR = 0.8
+#: Share of the letters that the opening language of a text without a clear one must have.
+OPENING = 0.2
 #: Share of a language's letters from which on it uses a script.
 USES_SCRIPT = 0.01
 
@@ -169,8 +174,12 @@ def identify(texts: list[str | None], m: Model, spans: bool = False) -> dict[str
     text_of = np.repeat(np.arange(len(texts)), np.diff(first))
     letters = np.bincount(text_of * n + label, weights=w.end - w.start, minlength=len(texts) * n).reshape(len(texts), n)
     total = letters.sum(axis=1)
-    best = letters.argmax(axis=1)
-    share = letters[np.arange(len(texts)), best] / np.maximum(total, 1)
+    row = np.arange(len(texts))
+    shares = letters / np.maximum(total, 1)[:, None]
+    best = shares.argmax(axis=1)
+    opening = np.where(np.diff(first) > 0, label[np.minimum(first[:-1], len(label) - 1)] if len(label) else 0, best)
+    best = np.where((shares[row, best] < CLEAR) & (shares[row, opening] >= OPENING), opening, best)
+    share = shares[row, best]
     out = {
         "lang_pred": [m.languages[k] if c else "und" for k, c in zip(best, total, strict=True)],
         "score": share.tolist(),
@@ -219,7 +228,7 @@ def identify_languages(
 
     Learns from rows where `learn_from` holds and language and text are not
     null. Null texts and texts without letters are `und` with score 0; with nothing to learn from every text
-    is. Ties go to the language first in order. Repeated rows stay; an empty table gives an empty result.
+    is. The score is the share of the letters in spans of the predicted language. Ties go to the language first in order. Repeated rows stay; an empty table gives an empty result.
     """
     model = train(labelled_sample(docs, learn_from, per_language, lang, text, id_col))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))

@@ -39,8 +39,10 @@ def test_mixed_text_falls_into_spans():
     rows += [(" ".join(random.Random(i).choices(german, k=60)), "de") for i in range(20)] + [(" ".join(russian * 10), "ru")] * 5
     m = langid.train(rows)
     text = "12 " + " ".join(english) + " — " + " ".join(german * 2) + ". Δelta."
-    out = langid.identify([text, "", None, "123 !", "день", "漢字"], m, spans=True)
-    assert out["lang_pred"][:5] == ["de", "und", "und", "und", "ru"] and out["score"][1:4] == [0.0] * 3
+    long = " ".join(english[:4]) + " " + " ".join(german * 9)
+    out = langid.identify([text, "", None, "123 !", "день", "漢字", long], m, spans=True)
+    assert out["lang_pred"][:5] == ["en", "und", "und", "und", "ru"] and out["score"][1:4] == [0.0] * 3
+    assert 0.2 < out["score"][0] < 0.5 and out["lang_pred"][6] == "de" and out["score"][6] > 0.8
     assert [s["lang"] for s in out["spans"][0]][:2] == ["en", "de"]
     a, b = out["spans"][0][:2]
     assert text[a["start"] : a["end"]] == " ".join(english) and text[b["start"] :].startswith("der hund")
