@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def map_text(
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("__text"))
             raw = column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary())
-            sizes = [n or 0 for n in pa.compute.binary_length(raw).to_pylist()]
+            sizes = [n or 0 for n in pc.binary_length(raw).to_pylist()]
             for a, b in slices(sizes):
                 part = batch.slice(a, b - a)
                 texts = (raw if binary else column).slice(a, b - a).to_pylist()
@@ -107,8 +108,6 @@ def map_text(
                     arrays + [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()], names=[*keep, *made]
                 )
 
-    import pyarrow.compute  # noqa: F401  used as pa.compute on the executors
-
     text_batches(df)
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, out_schema)
 

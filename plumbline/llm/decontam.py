@@ -14,10 +14,8 @@ grows with the data.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,15 +205,3 @@ def union_spans(spans):
         ).otherwise(F.concat(acc, F.array(s)))
 
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), lambda a, s: step(a, s).cast(kind))
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-def hit_words(n_words: int, spans) -> np.ndarray:
-    """The hit flags of one document's words."""
-    out = np.zeros(n_words, dtype=bool)
-    for s in spans:
-        out[s["start"] : s["end"]] = True
-    return out

@@ -151,14 +151,10 @@ def parse(page: str | None) -> Tree:
     return tree
 
 
-def numbers(x: float) -> float:
-    return float(np.log1p(x)) / 8
-
-
 def features(tree: Tree) -> np.ndarray:
     """(elements, FEATURES): tag group, attribute words, lengths, link density, depth and place, hidden, constant."""
     n = len(tree.tag)
-    own, linked = np.zeros(n), np.zeros(n)
+    own = np.zeros(n)
     place = np.full(n, -1.0)
     seen = 0
     for e, s in tree.pieces:
@@ -168,14 +164,13 @@ def features(tree: Tree) -> np.ndarray:
             if place[e] < 0:
                 place[e] = seen
             seen += k
-    below, links, depth = own.copy(), np.zeros(n), np.zeros(n)
+    below, depth = own.copy(), np.zeros(n)
     in_link = np.zeros(n, dtype=bool)
     for e in range(1, n):
         p = tree.parent[e]
         depth[e] = depth[p] + 1
         in_link[e] = in_link[p] or tree.tag[e] == "a"
-    linked = np.where(in_link, own, 0.0)
-    links = linked.copy()
+    links = np.where(in_link, own, 0.0)
     for e in range(n - 1, 0, -1):
         p = tree.parent[e]
         below[p] += below[e]

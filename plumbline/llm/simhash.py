@@ -144,7 +144,7 @@ def link_pass(keyed: DataFrame, masks: list[int], radius: int, max_bucket: int |
             cut = np.flatnonzero((t[1:] != t[:-1]) | (keys[1:] != keys[:-1])) + 1
             starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(x)]))
             size = ends - starts
-            a, b, at = [], [], []
+            a, b = [], []
             two = starts[size == 2]
             p, q = x[two], x[two + 1]
             near = np.bitwise_count(p ^ q) <= radius
