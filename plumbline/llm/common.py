@@ -8,6 +8,7 @@ slices of a batch for the vectorised kernels.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,35 +19,69 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that carries whole texts.
-TEXT_ROWS_PER_BATCH = 1000
+#: Bytes and rows of one Arrow batch that carries whole texts (a longer text is a batch of its own).
+TEXT_BYTES_PER_BATCH = 8 << 20
+TEXT_ROWS_PER_BATCH = 4000
 #: UTF-8 bytes of text that one kernel call works on.
 TEXT_BYTES_PER_SLICE = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local folder only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master (one machine, as in tests) may go without; it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plumbline-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder as Parquet and read it back.
+#: Name of the attribute that holds a written table's path.
+_PATH = "_plumbline_path"
+
+
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write `df` to the shared folder as Parquet (a folder for each value of `by`) and read it back.
 
     The table survives the loss of any executor. An empty frame stays readable
-    because the schema is given.
+    because the schema is given. It stays until `discard` removes it or the folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that no result reads any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, _PATH, None):
+            context = t.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key that holds over one in HEAVY of all rows is joined by broadcast; there are fewer than HEAVY such keys.
+HEAVY = 1000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` joined with `facts` (one row a key, with `__n`, the key's rows in `rows`, `total` in all); no task meets a heavy key.
+
+    Keys over total / HEAVY rows, fewer than HEAVY of them, are broadcast and their rows are not
+    shuffled; the others are light enough for a plain join. `__n` is dropped.
+    """
+    heavy = F.broadcast(facts.where(F.col("__n") * HEAVY > total).drop("__n"))
+    light = facts.where(F.col("__n") * HEAVY <= total).drop("__n")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """Keep Arrow batches of whole texts small; returns `df` for chaining."""
+    """Keep Arrow batches of whole texts small, by bytes and rows; returns `df` for chaining."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES_PER_BATCH))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
     return df
 
@@ -116,7 +151,7 @@ _TABLES: dict[str, np.ndarray] = {}
 
 
 def unicode_tables() -> dict[str, np.ndarray]:
-    """Per code point: lower case, and the classes letter (L*, M*), upper, digit. Made once per process."""
+    """Per code point: lower case, and the class: 1 letter, 2 upper-case letter, 3 digit, 4 space, 5 punctuation or symbol, 6 mark. Made once per process."""
     if not _TABLES:
         import unicodedata
 
@@ -127,7 +162,9 @@ def unicode_tables() -> dict[str, np.ndarray]:
                 continue
             ch = chr(c)
             cat = unicodedata.category(ch)
-            if cat[0] in "LM":
+            if cat[0] == "M":
+                kind[c] = 6
+            elif cat[0] == "L":
                 kind[c] = 2 if cat in ("Lu", "Lt") else 1
                 if kind[c] == 2:
                     lower = ch.lower()

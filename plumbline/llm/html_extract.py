@@ -1,19 +1,23 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
-Every element of a page is content or not. Unary potentials read its tag, the
-words of its class, id and role, text length, link density and place; parent-child
-potentials couple the labels along the tree's edges. Sum-product messages run
+Every element of a page is on the way to content (content itself, or an element that holds
+some) or not. Unary potentials read its tag, the words of its class, id and role, text length,
+link density, place, and what the page says about it: whether it is in or beside an article
+element or the part with most paragraph text, follows a heading of comments, or speaks like a notice.
+Parent-child potentials couple the labels along the tree's edges. Sum-product messages run
 upward (leaves to root) and downward, and give each element's exact marginal.
 The text of elements with a marginal over one half, in page order, is the main text.
 
-The potentials are trained by gradient ascent on labelled pages
-(`labelled_pages`, made from a rule with a fixed seed: articles amid menus, headers, sidebars,
-notices, adverts, forms, comments and footers in many markups). The weights (a few kB)
-travel as a closure. Extraction is one pass without a shuffle; pages are never cut.
+The potentials are trained by gradient ascent on labelled pages (`labelled_pages`, made from
+a rule with a fixed seed: articles in named, neutral, nested or no containers, tables, bare or
+plain text, amid menus, headers, sidebars, notices, adverts, forms, comments and footers). The
+weights (a few kB) travel as a closure. Extraction is one pass without a shuffle; parsing is linear in a
+page's length, and pages are never cut.
 """
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import random
 import re
@@ -51,7 +55,7 @@ SCOPES = frozenset("html body table td th ul ol dl div section article aside mai
 TAG_GROUPS = [
     ("article",), ("main",), ("nav", "menu"), ("header", "hgroup"), ("footer",), ("aside",), ("form", "fieldset", "select", "option", "button", "input", "label", "legend", "dialog"),
     ("script", "noscript", "template", "iframe"), ("style",), ("head", "title", "meta", "link"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("p", "blockquote", "pre"), ("ul", "ol", "dl"),
-    ("li", "dt", "dd"), ("table", "tbody", "thead", "tr", "td", "th", "tfoot", "caption"), ("div",), ("section",), ("a",), ("figure", "figcaption"), ("textarea",),
+    ("li", "dt", "dd"), ("table", "tbody", "thead", "tr", "td", "th", "tfoot", "caption"), ("div",), ("section",), ("a",), ("figure", "figcaption"), ("textarea",), ("svg", "math", "canvas", "object", "audio", "video", "map"), ("body", "html", "#root"),
 ]
 GROUP_OF = {t: k for k, ts in enumerate(TAG_GROUPS) for t in ts}
 #: Words of class, id and role values, by what they speak for.
@@ -68,14 +72,28 @@ WORD_GROUPS = [
     ("meta", "byline", "author", "date", "tags", "tag", "category", "categories", "hidden"),
 ]
 WORD_OF = {w: k for k, ws in enumerate(WORD_GROUPS) for w in ws}
-NUMBERS = 8
-FEATURES = len(TAG_GROUPS) + len(WORD_GROUPS) + NUMBERS + 2
-
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z|(?=<))""",
-    re.S,
+#: Tags and word groups (by position) whose inside does not count when the part with most paragraph text is sought.
+POOR_TAGS = frozenset("nav menu footer aside form select button script style noscript template iframe head title svg textarea".split())
+POOR_WORDS = frozenset((0, 1, 2, 3, 4, 6, 7))
+ARTICLE_WORDS = 8
+PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 ul ol dl table figure b i em strong span a br".split())
+#: How a heading of reader comments begins.
+TALK = re.compile(
+    r"\W*(?:\d+\W+)?(?:leave a |post a |reader |user |write a )?(?:comments?|repl(?:y|ies)|responses?|discussion|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)\b.{0,24}\Z",
+    re.I | re.S,
+)
+#: Words of notices, adverts and legal lines.
+NOTICE = re.compile(
+    r"©|\b(?:copyright|all rights reserved|cookies?|advertisement|sponsored|subscribe|newsletter|sign (?:up|in)|log ?in|privacy policy|terms of (?:use|service)|share this|follow us|"
+    r"related (?:posts|articles|stories)|read (?:more|also)|skip to|werbung|anzeige|publicité|publicidad|tous droits|alle rechte|todos los derechos)\b",
+    re.I,
 )
-ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NUMBERS, CONTEXT = 8, 10
+FEATURES = len(TAG_GROUPS) + len(WORD_GROUPS) + NUMBERS + CONTEXT + 2
+
+#: A tag up to its `>`; quoted values only follow `=`. Possessive throughout, so it never goes back over a character.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>="']++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(>?)""")
+ATTRIBUTE = re.compile(r"""(?i)(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -90,120 +108,198 @@ class Tree:
     pieces: list[tuple[int, str | None]] = field(default_factory=list)
 
 
+class Stack:
+    """Open elements, with the places of each tag, so that finding the one to close takes no walk."""
+
+    def __init__(self, tree: Tree):
+        self.tree, self.open, self.places = tree, [0], {"#root": [0]}
+
+    def push(self, element: int) -> None:
+        self.places.setdefault(self.tree.tag[element], []).append(len(self.open))
+        self.open.append(element)
+
+    def close(self, names, bound=()) -> None:
+        """Close the innermost of `names` and all within it, unless one of `bound` is further in."""
+        at = max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+        if not at or any((p := self.places.get(n)) and p[-1] > at for n in bound if n not in names):
+            return
+        element, edge = self.open[at], False
+        while len(self.open) > at:
+            tag = self.tree.tag[self.open.pop()]
+            self.places[tag].pop()
+            edge |= tag in BLOCKS
+        if edge:
+            self.tree.pieces.append((element, None))
+
+
+LISTS = frozenset("ul ol dl table select html".split())
+_ENDS: dict[str, re.Pattern] = {}
+
+
 def parse(page: str | None) -> Tree:
-    """A tree from any text, well formed or not; unclosed elements end with their parents, stray end tags do nothing."""
-    tree = Tree(["#root"], [""], [-1])
-    stack, at = [0], 0
-    text, tag = page or "", tree.tag
-
-    def close(names, bound=SCOPES) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if tag[stack[k]] in names:
-                if any(tag[e] in BLOCKS for e in stack[k:]):
-                    tree.pieces.append((stack[k], None))
-                del stack[k:]
-                return
-            if tag[stack[k]] in bound:
-                return
+    """A tree from any text, well formed or not, in time linear in its length.
 
+    Unclosed elements end with their parents, stray end tags do nothing. As in browsers, a tag that the page's end
+    cuts off is dropped, and a `<` that begins no tag is text.
+    """
+    tree = Tree(["#root"], [""], [-1])
+    stack, text, at = Stack(tree), page or "", 0
     n = len(text)
     while at < n:
-        m = TOKEN.search(text, at)
-        if not m:
-            tree.pieces.append((stack[-1], html_lib.unescape(text[at:])))
+        begin = text.find("<", at)
+        while 0 <= begin < n - 1 and not (text[begin + 1] in "!?/" or text[begin + 1].isascii() and text[begin + 1].isalpha()):
+            begin = text.find("<", begin + 1)
+        if begin < 0 or begin == n - 1:
+            begin = n
+        if begin > at:
+            tree.pieces.append((stack.open[-1], html_lib.unescape(text[at:begin])))
+        if begin == n:
             break
-        if m.start() > at:
-            tree.pieces.append((stack[-1], html_lib.unescape(text[at : m.start()])))
-        at = m.end()
-        ending, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        m = TAG.match(text, begin)
+        if not m:  # a comment, declaration or instruction
+            closer = "-->" if text.startswith("<!--", begin) else "]]>" if text.startswith("<![CDATA[", begin) else ">"
+            if text.startswith(("<!-->", "<!--->"), begin):
+                closer = ">"
+            end = text.find(closer, begin + (4 if closer == "-->" else 2))
+            at = end + len(closer) if end >= 0 else n
             continue
-        name = name.lower()
+        at = m.end()
+        if not m[4]:
+            break
+        ending, name, attrs = m[1], m[2].lower(), m[3]
         if ending:
-            if name == "p" and not any(tag[e] == "p" for e in stack):
-                tree.pieces.append((stack[-1], None))
-            elif name != "br":
-                close({name}, frozenset())
+            if name == "br" or name == "p" and not stack.places.get("p"):
+                tree.pieces.append((stack.open[-1], None))
             else:
-                tree.pieces.append((stack[-1], None))
+                stack.close((name,))
             continue
-        if name in ENDS_P:
-            close({"p"})
+        if name in ENDS_P and stack.places.get("p"):
+            stack.close(("p",), SCOPES)
         if name in CLOSES:
-            close(CLOSES[name], frozenset(("ul", "ol", "dl", "table", "select", "html")) if name != "body" else frozenset())
+            stack.close(CLOSES[name], LISTS if name != "body" else ())
         if name in BLOCKS:
-            tree.pieces.append((stack[-1], None))
-        tag.append(name)
+            tree.pieces.append((stack.open[-1], None))
+        element = len(tree.tag)
+        tree.tag.append(name)
         tree.attrs.append(attrs)
-        tree.parent.append(stack[-1])
+        tree.parent.append(stack.open[-1])
         if name in VOID or attrs.endswith("/") and name not in BLOCKS and name not in RAW:
             continue
-        element = len(tag) - 1
-        if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(text, at)
-            inside = text[at : end.start() if end else n]
-            if name in ("title", "textarea"):
-                inside = html_lib.unescape(inside)
-            tree.pieces += [(element, inside), (element, None)] if name in BLOCKS else [(element, inside)]
-            at = end.end() if end else n
+        if name not in RAW:
+            stack.push(element)
             continue
-        stack.append(element)
+        if name not in _ENDS:
+            _ENDS[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I)
+        end = _ENDS[name].search(text, at)
+        inside = text[at : end.start() if end else n]
+        if name in ("title", "textarea"):
+            inside = html_lib.unescape(inside)
+        tree.pieces += [(element, inside), (element, None)] if name in BLOCKS else [(element, inside)]
+        at = end.end() if end else n
     return tree
 
 
 def features(tree: Tree) -> np.ndarray:
-    """(elements, FEATURES): tag group, attribute words, lengths, link density, depth and place, hidden, constant."""
+    """(elements, FEATURES): tag group, attribute words, lengths, link density, depth and place, the page's context, hidden, constant."""
     n = len(tree.tag)
-    own = np.zeros(n)
-    place = np.full(n, -1.0)
+    tag, parent = tree.tag, tree.parent
+    own, place = [0] * n, [-1.0] * n
+    says: dict[int, str] = {}
     seen = 0
     for e, s in tree.pieces:
         if s:
             k = len(s) - s.count(" ")
-            own[e] += k
             if place[e] < 0:
                 place[e] = seen
+            if own[e] < 200:
+                says[e] = says.get(e, "") + s[:200]
+            own[e] += k
             seen += k
-    below, depth = own.copy(), np.zeros(n)
-    in_link = np.zeros(n, dtype=bool)
-    for e in range(1, n):
-        p = tree.parent[e]
-        depth[e] = depth[p] + 1
-        in_link[e] = in_link[p] or tree.tag[e] == "a"
-    links = np.where(in_link, own, 0.0)
-    for e in range(n - 1, 0, -1):
-        p = tree.parent[e]
-        below[p] += below[e]
-        links[p] += links[e]
-        if place[p] < 0 or 0 <= place[e] < place[p]:
-            place[p] = place[e]
-    f = np.zeros((n, FEATURES))
     tags, words = len(TAG_GROUPS), len(WORD_GROUPS)
+    b = tags + words
+    c = b + NUMBERS
+    f = np.zeros((n, FEATURES))
+    poor, in_link, inside = [False] * n, [False] * n, [False] * n
+    depth = [0] * n
     for e in range(n):
-        k = GROUP_OF.get(tree.tag[e])
-        if k is not None:
+        p = parent[e]
+        if p >= 0:
+            depth[e], poor[e], in_link[e], inside[e] = depth[p] + 1, poor[p], in_link[p], inside[p]
+        t = tag[e]
+        if (k := GROUP_OF.get(t)) is not None:
             f[e, k] = 1
+        poor[e] |= t in POOR_TAGS
+        in_link[e] |= t == "a"
+        inside[e] |= t in ("article", "main")
         if tree.attrs[e]:
             for m in ATTRIBUTE.finditer(tree.attrs[e]):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("hidden", "aria-hidden", "style"):
                     if name == "hidden" or value == "true" or re.search(r"display\s*:\s*none", value):
-                        f[e, tags + words + NUMBERS] = 1
+                        f[e, c + CONTEXT] = 1
+                        poor[e] = True
                     continue
+                if name == "role" and value == "main":
+                    inside[e] = True
                 for w in WORDS.findall(value):
-                    g = WORD_OF.get(w.lower())
-                    if g is not None:
+                    if (g := WORD_OF.get(w.lower())) is not None:
                         f[e, tags + g] = 1
-    b = tags + words
+                        poor[e] |= g in POOR_WORDS
+            if f[e, tags + ARTICLE_WORDS] and not poor[e] and t in ("div", "section", "td"):
+                inside[e] = True
+    below, links = list(own), [k if a else 0 for k, a in zip(own, in_link, strict=True)]
+    mass = [0.0 if x or a else float(k) for k, x, a in zip(own, poor, in_link, strict=True)]
+    article = [0] * n  # text of articles within
+    for e in range(n - 1, 0, -1):
+        p = parent[e]
+        below[p] += below[e]
+        links[p] += links[e]
+        if not poor[e]:
+            mass[p] += (below[e] - links[e]) if tag[e] in PARAGRAPHS else 0.7 * mass[e]
+        article[p] += below[e] if inside[e] and not inside[p] else article[e]
+        if place[p] < 0 or 0 <= place[e] < place[p]:
+            place[p] = place[e]
+    holders = [e for e in range(n) if not poor[e] and tag[e] not in PARAGRAPHS]
+    top = max(holders, key=lambda e: (mass[e], e), default=0)
+    upward = set()
+    e = top
+    while e >= 0:
+        upward.add(e)
+        e = parent[e]
+    in_top, talk = [False] * n, [False] * n
+    talked: set[int] = set()  # parents in which a heading of comments was met
+    for e in range(n):
+        p = parent[e]
+        in_top[e] = e == top or p >= 0 and in_top[p]
+        talk[e] = p >= 0 and (talk[p] or p in talked)
+        if p >= 0 and tag[e][0] == "h" and tag[e] in ("h2", "h3", "h4", "h5", "h6") and own[e] < 60 and TALK.match(says.get(e, "")):
+            talk[e] = True
+            talked.add(p)
+        if own[e] and own[e] < 200 and not inside[e] and NOTICE.search(says[e]):
+            f[e, c + 3] = 1  # in an article such words are its own
+        t = tag[e]
+        if p >= 0 and t not in BLOCKS and own[p] > below[e]:
+            f[e, c + 7] = 1  # amid the text of its parent
+        f[e, c + 8] = poor[e]
+        f[e, c + 9] = poor[e] and (p < 0 or not poor[p])
     total = max(1.0, below[0])
-    f[:, b] = np.log1p(own) / 8
-    f[:, b + 1] = np.log1p(below) / 8
-    f[:, b + 2] = links / np.maximum(below, 1)
-    f[:, b + 3] = below / total
+    below_, own_ = np.array(below, dtype=float), np.array(own, dtype=float)
+    f[:, b] = np.log1p(own_) / 8
+    f[:, b + 1] = np.log1p(below_) / 8
+    f[:, b + 2] = np.array(links) / np.maximum(below_, 1)
+    f[:, b + 3] = below_ / total
     f[:, b + 4] = np.minimum(depth, 12) / 12
     f[:, b + 5] = np.maximum(place, 0) / total
-    f[:, b + 6] = below == 0
-    f[:, b + 7] = own > 80
+    f[:, b + 6] = below_ == 0
+    f[:, b + 7] = own_ > 80
+    holds = np.array(article) > 0
+    inside_ = np.array(inside)
+    f[:, c] = inside_
+    f[:, c + 1] = bool(holds.any() or inside_.any() and below_[inside_].any()) & ~inside_ & ~holds
+    f[:, c + 2] = talk
+    f[:, c + 4] = in_top
+    f[sorted(upward), c + 5] = 1
+    f[:, c + 6] = holds
     f[:, -1] = 1
     return f
 
@@ -265,12 +361,17 @@ class Model:
     a: np.ndarray
 
 
-def train(pages: list[tuple[str, list[bool]]] | None = None, rounds: int = 200) -> Model:
-    """Fit on (html, content flag of each element) pages by Adam on the trees' log-likelihood."""
-    pages = labelled_pages() if pages is None else pages
+@functools.cache
+def trained() -> Model:
+    """The model of the rule's pages, made once a process."""
+    return train(labelled_pages())
+
+
+def train(pages: list[tuple[str, list[bool]]], rounds: int = 200) -> Model:
+    """Fit on (html, flag of the root and each element) pages by Adam on the trees' log-likelihood."""
     trees = [parse(h) for h, _ in pages]
     f, _ = forest(trees)
-    y = np.concatenate([[False, *flags] for _, flags in pages]).astype(float)
+    y = np.concatenate([flags for _, flags in pages]).astype(float)
     seen = np.zeros((2, 2, 2))
     has = f.parent >= 0
     np.add.at(seen, (f.kind[has], y[f.parent[has]].astype(int), y[has].astype(int)), 1)
@@ -278,9 +379,9 @@ def train(pages: list[tuple[str, list[bool]]] | None = None, rounds: int = 200)
     one, two = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         p, pairs = sum_product(f, f.x @ theta[:FEATURES], theta[FEATURES:].reshape(2, 2, 2))
-        grad = np.concatenate([f.x.T @ (y - p), (seen - pairs).ravel()]) / len(y) - 2e-4 * theta
+        grad = np.concatenate([f.x.T @ (y - p), (seen - pairs).ravel()]) / len(y) - 3e-5 * theta
         one, two = 0.9 * one + 0.1 * grad, 0.999 * two + 0.001 * grad**2
-        theta += 0.1 * (one / (1 - 0.9**k)) / (np.sqrt(two / (1 - 0.999**k)) + 1e-8)
+        theta += 0.15 * (one / (1 - 0.9**k)) / (np.sqrt(two / (1 - 0.999**k)) + 1e-8)
     return Model(theta[:FEATURES], theta[FEATURES:].reshape(2, 2, 2))
 
 
@@ -296,8 +397,17 @@ def extract(pages: list[str | None], m: Model) -> list[str]:
     return out
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]:
-    """Pages from a rule, with the content flag of every element in page order."""
+#: Where the articles of labelled pages stand; `body` is straight in the page, `bare` and `plain` have no elements around the text.
+MARKUPS = ("named", "named", "neutral", "nested", "body", "table", "named", "bare", "neutral", "plain")
+NOTICES = (
+    "\u00a9 2020", "Copyright", "All rights reserved", "Advertisement", "Sponsored", "Subscribe", "Newsletter", "Sign up", "Log in", "Privacy policy", "We use cookies", "Share this", "Follow us",
+    "Related posts", "Read more", "Skip to",
+)
+TALKS = ("{} replies", "Comments", "{} comments", "Comments ({})", "Leave a reply", "Responses", "Kommentare", "{} Commentaires", "Comentarios", "Reader comments")
+
+
+def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARKUPS) -> list[tuple[str, list[bool]]]:
+    """Pages from a rule, with the flag (on the way to content) of the root and every element in page order."""
     r = random.Random(seed)
 
     def words(a: int, b: int) -> str:
@@ -320,7 +430,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
         return r.choice([f'class="{word}"', f'id="{word}"', f'class="{word} wide"', f'class="site-{word}"', f'class="{word}-box"'])
 
     def boilerplate(p: Page, where: str) -> None:
-        kind = r.choice(["nav", "ad", "side", "comments", "notice", "header", "footer", "share", "form", "script", "bare"])
+        kind = r.choice(["nav", "ad", "side", "comments", "notice", "header", "footer", "share", "form", "script", "bare", "picture", "links"])
         tag, attrs = "div", ""
         if kind == "nav":
             tag, attrs = r.choice([("nav", ""), ("nav", named("menu")), ("div", named("nav")), ("ul", named("menu")), ("div", named("breadcrumb"))])
@@ -338,7 +448,21 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
             p.leaf(r.choice(["script", "style", "noscript"]), False, "var a = 1; track(a);" if r.random() < 0.7 else words(3, 40))
             return
         elif kind == "bare":
-            p.leaf("p" if where == "out" and r.random() < 0.3 else "div", False, f"{words(2, 8)}")
+            said = r.choice(NOTICES)
+            text = words(2, 8) if where == "out" and r.random() < 0.5 else f"{words(0, 4)} {said} {words(0, 5)}"
+            p.leaf("p" if where != "in" and r.random() < 0.3 else "div", False, text)
+            return
+        elif kind == "picture":
+            p.open("svg", False)
+            p.leaf(r.choice(["text", "title", "desc"]), False, words(1, 6))
+            p.out.append("</svg>")
+            return
+        elif kind == "links":
+            p.open(r.choice(["div", "p", "ul", "center"]), False)
+            for _ in range(r.randint(3, 9)):
+                p.leaf("a", False, words(1, 3), 'href="/x"')
+                p.out.append(r.choice([" | ", " ", ""]))
+            p.out.append("</div></p></ul></center>")
             return
         else:
             attrs = named(r.choice({"ad": ["ad", "ads", "advert", "sponsored", "promo", "banner"], "notice": ["cookie", "notice", "consent", "alert", "popup"], "share": ["share", "social", "subscribe", "newsletter"]}[kind]))
@@ -374,21 +498,27 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
             p.out.append(words(2, 20))
         p.out.append(f"</{tag}>")
 
-    def article(p: Page) -> None:
-        tag, attrs = r.choice(
-            [("article", "")] * 4 + [("article", named("post")), ("main", ""), ("main", named("content")), ("div", named("content")), ("div", named("article")), ("div", named("entry")), ("section", named("story"))]
-        )
-        p.open(tag, True, attrs)
-        inner = r.random() < 0.25
-        if inner:
-            p.open("div", True, named(r.choice(["body", "text", "entry", "content"])))
+    def talk(p: Page) -> None:
+        """Comments under a heading, without a telling class; nothing but them follows in their parent."""
+        p.leaf(r.choice(["h2", "h3", "h3", "h4"]), False, r.choice(TALKS).format(r.randint(0, 40)))
+        for _ in range(r.randint(1, 5)):
+            if r.random() < 0.5:
+                p.leaf("p", False, words(1, 40))
+            else:
+                p.open("div", False)
+                p.leaf(r.choice(["b", "span", "h4"]), False, words(1, 2))
+                p.leaf("p", False, words(1, 40))
+                p.out.append("</div>")
+
+    def blocks(p: Page, own: bool) -> None:
+        """The article's text; in a container that tells (`own`) it may speak like a notice."""
         if r.random() < 0.8:
             if r.random() < 0.15:
                 p.open("header", True)
-                p.leaf("h1", True, words(2, 9))
+                p.leaf("h1", True, words(1, 9))
                 p.out.append("</header>")
             else:
-                p.leaf(r.choice(["h1", "h1", "h2"]), True, words(1, 9))
+                p.leaf(r.choice(["h1", "h1", "h2"]), True, words(1, 9) if not own or r.random() < 0.9 else r.choice(NOTICES))
         for _ in range(r.choice([1, 1, 2, 3, 5, 9])):
             x = r.random()
             if x < 0.62:
@@ -398,7 +528,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
                     p.out.append(words(1, 60))
                     p.open("br", True)
                 else:
-                    p.out.append(words(1, 80))
+                    p.out.append(words(1, 80) if not own or r.random() < 0.9 else f"{words(0, 3)} {r.choice(NOTICES)} {words(0, 3)}")
                     if r.random() < 0.25:
                         p.leaf(r.choice(["a", "em", "b", "span", "strong", "i", "code"]), True, words(1, 4), r.choice(["", 'href="/y"']))
                     p.out.append(" " + words(1, 40) + r.choice(["</p>", "</p>", ""]))
@@ -423,11 +553,13 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
                         p.leaf("td", True, words(1, 5))
                     p.out.append("</tr>")
                 p.out.append("</table>")
-            elif x < 0.93:
-                p.open("div", True)
-                p.leaf("p", True, words(3, 40))
-                p.out.append("</div>")
-            elif x < 0.95:
+            elif x < 0.94:
+                tag = r.choice(["div", "section"])
+                p.open(tag, True)
+                for _ in range(r.randint(1, 3)):
+                    p.leaf("p", True, words(3, 60))
+                p.out.append(f"</{tag}>")
+            elif x < 0.96:
                 p.open("figure", True)
                 p.leaf("figcaption", True, words(2, 9))
                 p.out.append("</figure>")
@@ -435,46 +567,103 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]
                 boilerplate(p, "in")
             if r.random() < 0.12:
                 boilerplate(p, "in")
-        if inner:
-            p.out.append("</div>")
-        p.out.append(f"</{tag}>")
+
+    def article(p: Page, markup: str) -> None:
+        """The article in one of MARKUPS, and what stands beside it in its container."""
+        talks = r.random() < 0.12
+        if markup == "named":
+            tag, attrs = r.choice(
+                [("article", "")] * 4 + [("article", named("post")), ("main", ""), ("main", named("content")), ("div", named("content")), ("div", named("article")), ("div", named("entry")), ("section", named("story"))]
+            )
+            opened = [(tag, attrs)] + ([("div", named(r.choice(["body", "text", "entry", "content"])))] if r.random() < 0.25 else [])
+        elif markup == "neutral":
+            opened = [(r.choice(["div", "section", "center"]), r.choice(["", "", 'class="row"', 'class="c12"', 'id="x1"', 'class="wide left"']))]
+        elif markup == "nested":
+            opened = [("div", r.choice(["", 'class="row"', 'class="inner"'])) for _ in range(r.randint(2, 5))]
+        elif markup == "table":
+            p.open("table", True, r.choice(["", 'width="100%"']))
+            p.open("tr", True)
+            if r.random() < 0.7:
+                p.open("td", False)
+                for _ in range(r.randint(2, 8)):
+                    p.leaf("a", False, words(1, 3), 'href="/x"')
+                    p.open("br", False)
+                p.out.append("</td>")
+            opened = [("td", "")]
+        else:
+            opened = []
+        for tag, attrs in opened:
+            p.open(tag, True, attrs)
+        blocks(p, markup == "named")
+        if talks and r.random() < 0.5:
+            talk(p)
+            talks = False
+        p.out += [f"</{tag}>" for tag, _ in reversed(opened)]
+        if markup == "table":
+            p.out.append("</tr></table>")
+        if talks:
+            if opened and r.random() < 0.5:
+                p.open("div", False)
+                talk(p)
+                p.out.append("</div>")
+            else:
+                talk(p)
+                return
+        for _ in range(r.choice([0, 1, 2, 3, 4])):
+            boilerplate(p, "out" if markup == "named" else "beside")
 
     pages = []
-    for _ in range(n):
+    while len(pages) < n:
+        markup = markups[len(pages) % len(markups)]
         p = Page()
-        p.out.append("<!DOCTYPE html>")
-        p.open("html", False)
-        p.open("head", False)
-        p.leaf("title", False, words(1, 9))
-        if r.random() < 0.6:
-            p.leaf("style", False, "p{margin:0}")
-        if r.random() < 0.6:
-            p.leaf("script", False, 'var t="</p>";track(1);')
-        p.out.append("</head>")
-        p.open("body", False)
-        wrap = r.random() < 0.3
-        if wrap:
-            p.open("div", False, r.choice(["", 'id="page"', 'class="wrapper"']))
-        for _ in range(r.randint(0, 4)):
-            boilerplate(p, "out")
-        article(p)
-        for _ in range(r.randint(0, 4)):
-            boilerplate(p, "out")
-        p.out.append(("</div>" if wrap else "") + r.choice(["</body></html>", ""]))
+        if markup in ("plain", "bare"):
+            text = "\n".join(words(3, 60) for _ in range(r.randint(1, 6)))
+            if markup == "plain":
+                pages.append((text, [True]))
+                continue
+            p.open("html", True)
+            p.open("body", True)
+            if r.random() < 0.5:
+                boilerplate(p, "beside")
+            p.out.append(words(8, 60))
+            for _ in range(r.randint(0, 4)):
+                p.open("br", True)
+                p.out.append(words(3, 60))
+            if r.random() < 0.5:
+                boilerplate(p, "beside")
+        else:
+            head = r.random() < 0.9
+            if head:
+                p.out.append("<!DOCTYPE html>")
+                p.open("html", True)
+                p.open("head", False)
+                p.leaf("title", False, words(1, 9))
+                if r.random() < 0.6:
+                    p.leaf("style", False, "p{margin:0}")
+                if r.random() < 0.6:
+                    p.leaf("script", False, 'var t="</p>";track(1);')
+                p.out.append("</head>")
+            p.open("body", True)
+            wrap = r.random() < 0.3
+            if wrap:
+                p.open("div", True, r.choice(["", 'id="page"', 'class="wrapper"']))
+            for _ in range(r.randint(0, 4)):
+                boilerplate(p, "out" if markup == "named" else "beside")
+            article(p, markup)
+            p.out.append(("</div>" if wrap else "") + r.choice(["</body></html>", ""]))
         text = "".join(p.out)
         if len(parse(text).tag) == len(p.flags) + 1:
-            pages.append((text, p.flags))
+            pages.append((text, [True, *p.flags]))
     return pages
 
 
 def extract_main_text(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """Per row of `pages`: `keep` columns and `main_text`.
 
-    Null and empty pages, and pages without content, give an empty text. Text
-    outside any markup counts as the root's and is left out. Repeated rows stay; an empty table gives
+    Null and empty pages, and pages without content, give an empty text; a page without markup is its own main text. Repeated rows stay; an empty table gives
     an empty result; other columns are not read.
     """
-    model = train()
+    model = trained()
 
     def kernel():
         return lambda texts: {"main_text": pa.array(extract(texts, model), pa.string())}

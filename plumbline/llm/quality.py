@@ -40,7 +40,7 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     first = np.searchsorted(starts, offset)
     length = (ends - starts).astype(np.float64)
     total = lambda mask: np.add.reduceat(mask.astype(np.int32), starts).astype(np.float64)
-    letters, upper, digits, spaces = total((kind == 1) | (kind == 2)), total(kind == 2), total(kind == 3), total(kind == 4) - 1
+    letters, upper, digits, spaces = total((kind == 1) | (kind == 2) | (kind == 6)), total(kind == 2), total(kind == 3), total(kind == 4) - 1
     odd_table = np.zeros(128, dtype=bool)
     odd_table[[ord(c) for c in ODD]] = True
     odd = total((codes < 128) & odd_table[np.minimum(codes, 127)])

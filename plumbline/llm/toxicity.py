@@ -53,7 +53,7 @@ def tokens_of(texts: list[str | None]) -> Tokens:
     codes, offset = code_points(texts)
     tables = unicode_tables()
     kind = tables["kind"][codes]
-    solid = (kind >= 1) & (kind <= 3)
+    solid = (kind >= 1) & (kind <= 3) | (kind == 6)
     start, end = runs(solid)
     low = np.where(solid, tables["lower"][codes], 0).astype(np.uint32)
     before, after = np.concatenate(([0], low[:-1])).astype(np.uint32), np.concatenate((low[1:], [0])).astype(np.uint32)
