@@ -19,9 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes and rows of one Arrow batch that carries whole texts (a longer text is a batch of its own).
-TEXT_BYTES_PER_BATCH = 8 << 20
-TEXT_ROWS_PER_BATCH = 4000
+#: Bytes of one Arrow batch that carries whole texts (a longer text is a batch of its own).
+TEXT_BYTES_PER_BATCH = 4 << 20
 #: UTF-8 bytes of text that one kernel call works on.
 TEXT_BYTES_PER_SLICE = 4 << 20
 
@@ -80,9 +79,8 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> Data
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """Keep Arrow batches of whole texts small, by bytes and rows; returns `df` for chaining."""
+    """Keep Arrow batches of whole texts small; returns `df` for chaining."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES_PER_BATCH))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
     return df
 
 

@@ -1,10 +1,11 @@
 """Connected components of an edge table, distributed.
 
 Alternating large-star and small-star rounds until the edges form stars. Each
-round is two minimum aggregations (combined on the map side) and two joins that
-adaptive execution may split where a hub is skewed, and ends in a written
-table, so a lost executor costs one round at most. Nothing is collected but a
-count and a checksum.
+round is two minimum aggregations (combined on the map side) and two joins. A
+node that holds many edges, which star rounds make on purpose, is joined by
+broadcast (there are fewer than a thousand that hold a thousandth of all edges), so
+no hub meets in one task. A round ends in a written table, so a lost executor costs one
+round at most, and the table before it is removed. Nothing is collected but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, spread_join, written
 
 
 def checksum(edges: DataFrame) -> tuple[int, int]:
@@ -31,13 +32,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = checksum(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        after = checksum(e)
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__n")).select("a", F.least("a", "m").alias("m"), "__n")
+        large = written(
+            spread_join(both, least, "a", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large"
+        )
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__n"))
+        small = spread_join(large, lowest, "a", before[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        made = written(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = checksum(made)
+        discard(e, large)
+        e = made
         if after == before:
             break
         before = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._plumbline_path = e._plumbline_path
+    return out

@@ -11,10 +11,13 @@ and the pair collides. No pair within the radius can be missed.
 
 Shape at scale: exact copies fold into one fingerprint first, so a group of
 copies is one row from here on. The 31 masked keys of a distinct fingerprint
-are shuffled as (table, fingerprint). A bucket emits a star per local
-component, never its pairs; a bucket over `max_bucket` is divided again by
-five further masks (the differing bits of a pair cannot touch all five parts),
-which is exact too. Components are found by star rounds (components.py).
+are shuffled as (mask, fingerprint). A bucket emits a star per local
+component, never its pairs. A worker holds at most `max_bucket` fingerprints of a
+bucket; a larger bucket streams through it and is divided by radius + 1 further
+masks each round (the differing bits of a pair cannot touch all parts), which is
+exact too, until its buckets are small or no bit is left to differ in. Components are found by star
+rounds, and the name of a group that holds many fingerprints is broadcast
+(components.py).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, written
+from .common import discard, map_text, spread_join, written
 from .components import connected_components
 
 BITS = 64
@@ -96,13 +99,10 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i, p in enumerate(vectors) if (p & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
-def divided_masks(masks: list[int], radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """radius+1 masks for each mask: it and one of radius+1 parts of the positions it leaves out."""
-    out = []
-    for mask in masks:
-        free = [i for i in range(bits) if not mask >> i & 1]
-        out += [mask | sum(1 << i for i in free[j :: radius + 1]) for j in range(radius + 1)]
-    return out
+def divided(mask: int, radius: int = RADIUS, bits: int = BITS) -> list[int]:
+    """radius+1 masks: `mask` and one of radius+1 parts of the positions it leaves out."""
+    free = [i for i in range(bits) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in free[j :: radius + 1]) for j in range(radius + 1)]
 
 
 def signed(x: int) -> int:
@@ -130,81 +130,98 @@ def local_stars(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(members), np.concatenate(heads)) if members else (none, none)
 
 
-def link_pass(keyed: DataFrame, masks: list[int], radius: int, max_bucket: int | None) -> DataFrame:
-    """`keyed` (t int, fp long): star edges of every bucket; rows with b null are of buckets left for a division."""
-    table = F.array(*[F.lit(signed(m)) for m in masks])
-    key = F.col("fp").bitwiseAND(F.element_at(table, F.col("t") + 1))
-    mask_of = np.array(masks, dtype=np.uint64)
+def link_pass(keyed: DataFrame, radius: int, max_bucket: int) -> DataFrame:
+    """`keyed` (mask long, fp long): star edges (a, b) of every bucket; rows with b null (mask, a) are of buckets left for a division."""
+
+    def stars(mask, x):
+        """Edges of complete buckets, sorted by mask, key and fingerprint."""
+        keys = x & mask
+        cut = np.flatnonzero((mask[1:] != mask[:-1]) | (keys[1:] != keys[:-1])) + 1
+        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(x)]))
+        two = starts[ends - starts == 2]
+        near = np.bitwise_count(x[two] ^ x[two + 1]) <= radius
+        a, b = [x[two + 1][near]], [x[two][near]]
+        for i in np.flatnonzero(ends - starts > 2):
+            member, head = local_stars(x[starts[i] : ends[i]], radius)
+            a.append(member)
+            b.append(head)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["mask", "a", "b"])
+
+    def left_over(mask, x):
+        return pa.RecordBatch.from_arrays([pa.array(mask.view(np.int64)), pa.array(x.view(np.int64)), pa.nulls(len(x), pa.int64())], names=["mask", "a", "b"])
 
     def run(batches):
-        held_t, held = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint64)
-
-        def work(t, x):
-            keys = x & mask_of[t]
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (keys[1:] != keys[:-1])) + 1
-            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(x)]))
-            size = ends - starts
-            a, b = [], []
-            two = starts[size == 2]
-            p, q = x[two], x[two + 1]
-            near = np.bitwise_count(p ^ q) <= radius
-            a.append(q[near])
-            b.append(p[near])
-            over = []
-            for i in np.flatnonzero(size > 2):
-                group = x[starts[i] : ends[i]]
-                if max_bucket and len(group) > max_bucket:
-                    over.append((t[starts[i]], group))
-                    continue
-                member, head = local_stars(group, radius)
-                a.append(member)
-                b.append(head)
-            made = [pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))]
-            at = pa.nulls(len(made[0]), pa.int32())
-            yield pa.RecordBatch.from_arrays([at, *made], names=["t", "a", "b"])
-            for which, group in over:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(group), which, dtype=np.int32)), pa.array(group.view(np.int64)), pa.nulls(len(group), pa.int64())],
-                    names=["t", "a", "b"],
-                )
-
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+        none = np.zeros(0, dtype=np.uint64)
+        mask, x = none, none
+        large = None  # the bucket that is streaming through, too large to hold
         for batch in batches:
-            t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            x = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(t):
-                continue
-            parts.append((t, x))
-            rows += len(t)
-            if rows < 200_000:
+            more = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)]
+            mask, x = np.concatenate([mask, more[0]]), np.concatenate([x, more[1]])
+            if large is not None and len(x):
+                same = (mask == large[0]) & ((x & mask) == large[1])
+                n = len(x) if same.all() else int(np.argmin(same))
+                if n:
+                    yield left_over(mask[:n], x[:n])
+                mask, x = mask[n:], x[n:]
+                large = large if not len(x) else None
+            if not len(x):
                 continue
-            t, x = np.concatenate([held_t, *[p[0] for p in parts]]), np.concatenate([held, *[p[1] for p in parts]])
-            parts, rows = [], 0
-            same = (t == t[-1]) & ((x & mask_of[t]) == (x[-1] & mask_of[t[-1]]))
-            last = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
-            held_t, held = t[last:], x[last:]
+            same = (mask == mask[-1]) & ((x & mask) == (x[-1] & mask[-1]))
+            last = len(x) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last, perhaps unfinished bucket begins
             if last:
-                yield from work(t[:last], x[:last])
-        t, x = np.concatenate([held_t, *[p[0] for p in parts]]), np.concatenate([held, *[p[1] for p in parts]])
-        if len(t):
-            yield from work(t, x)
+                yield from finished(mask[:last], x[:last])
+                mask, x = mask[last:], x[last:]
+            if len(x) > max_bucket:
+                large = (mask[0], x[0] & mask[0])
+                yield left_over(mask, x)
+                mask, x = none, none
+        if len(x):
+            yield from finished(mask, x)
+
+    def finished(mask, x):
+        keys = x & mask
+        cut = np.flatnonzero((mask[1:] != mask[:-1]) | (keys[1:] != keys[:-1])) + 1
+        size = np.diff(np.concatenate(([0], cut, [len(x)])))
+        over = np.repeat(size > max_bucket, size)
+        if over.any():
+            yield left_over(mask[over], x[over])
+            mask, x = mask[~over], x[~over]
+        if len(x):
+            yield stars(mask, x)
+
+    key = F.col("fp").bitwiseAND(F.col("mask"))
+    dealt = keyed.select("mask", "fp").repartition(F.col("mask"), key).sortWithinPartitions(F.col("mask"), key, F.col("fp"))
+    return dealt.mapInArrow(run, "mask bigint, a bigint, b bigint")
+
+
+def divide(rows: DataFrame, radius: int) -> DataFrame:
+    """(mask, fp) -> radius+1 rows, one for each mask that divides it."""
+
+    def run(batches):
+        known: dict[int, list[int]] = {}
+        for batch in batches:
+            mask = batch.column(0).to_numpy(zero_copy_only=False)
+            for m in np.unique(mask).tolist():
+                known.setdefault(m, [signed(v) for v in divided(m % (1 << BITS), radius)])
+            for j in range(radius + 1):
+                yield pa.RecordBatch.from_arrays([pa.array([known[m][j] for m in mask.tolist()], pa.int64()), batch.column(1)], names=["mask", "fp"])
 
-    dealt = keyed.select("t", "fp").repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col("fp"))
-    return dealt.mapInArrow(run, "t int, a bigint, b bigint")
+    return rows.mapInArrow(run, "mask bigint, fp bigint")
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Edges (a, b) over distinct fingerprints `fp` whose components are those of all links within `radius`."""
-    masks = covering_masks(radius)
-    keyed = distinct.select(F.explode(F.array(*[F.lit(t) for t in range(len(masks))])).alias("t"), "fp")
-    first = written(link_pass(keyed, masks, radius, max_bucket), "links")
-    parts = radius + 1
-    again = first.where(F.col("t").isNotNull()).select(
-        F.explode(F.array(*[F.col("t") * parts + j for j in range(parts)])).alias("t"), F.col("a").alias("fp")
-    )
-    second = link_pass(again, divided_masks(masks, radius), radius, None)
-    return first.where(F.col("t").isNull()).unionByName(second).select("a", "b")
+    keyed = distinct.select(F.explode(F.array(*[F.lit(signed(m)) for m in covering_masks(radius)])).alias("mask"), "fp")
+    links = None
+    while True:
+        # Each round takes at least one part of the free bits away, so a few rounds end it: with f bits free a bucket holds 2^f at most.
+        made = written(link_pass(keyed, radius, max(max_bucket, radius + 2)), "links")
+        links = made.where("b is not null").select("a", "b") if links is None else links.unionByName(made.where("b is not null").select("a", "b"))
+        left = made.where("b is null").select("mask", F.col("a").alias("fp"))
+        if left.isEmpty():
+            return links
+        keyed = divide(left, radius)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, keep: list[str] | None = None) -> DataFrame:
@@ -217,11 +234,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     component_id). Repeated rows stay. An empty table gives an empty result.
     """
     own = written(fingerprints(docs, keep or [id_col], text), "fingerprints")
-    classes = own.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least"))
+    classes = written(own.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "classes")
     roots = connected_components(fingerprint_links(classes.select("fp"), radius))
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("group_fp")
-    )
-    names = grouped.groupBy("group_fp").agg(F.min("least").alias("component_id"))
-    found = written(grouped.join(names, "group_fp").select("fp", "group_fp", "component_id"), "groups")
+    # Groups of several fingerprints take the least id of all; the others, nearly all, already have theirs.
+    linked = written(classes.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), F.col("fp") == F.col("node")).select("fp", "least", F.col("root").alias("group_fp")), "linked")
+    names = written(linked.groupBy("group_fp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("__n")), "names")
+    several = spread_join(linked, names, "group_fp", linked.count()).select("fp", "group_fp", "component_id")
+    alone = classes.join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("group_fp"), F.col("least").alias("component_id"))
+    found = written(alone.unionByName(several), "groups")
+    discard(classes, roots, linked, names)
     return own.join(found, "fp")
