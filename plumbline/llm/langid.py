@@ -1,16 +1,17 @@
 """Language identification: script ranges, per-word scores, Viterbi spans.
 
-Words are runs of letters and marks. The script of a word's first letter narrows the
+Words are runs of letters and their marks. The script of a word's first letter narrows the
 languages to those that were seen to use it; the word's score under each
 language is the sum of its hashed letter-trigram log-probabilities; a Viterbi
 pass with a switching penalty labels every word, so a text in several
-languages falls into spans. The document's language is the one that holds at
-least `CLEAR` of the letters; a text without such a one is in the language of its
-opening span (it goes on to quote others), unless that holds next to nothing.
+languages falls into spans. The document's language is the one whose spans hold most
+letters. What corpora call a mixed text differs: some name it after its opening
+(it goes on to quote others). So the opening language's share gets a bonus, learned from
+the labelled rows and 0 unless at least `EVIDENCE` more of them come out right with it.
 
 The model is counted from a bounded sample of labelled rows
-(`per_language` documents a language, chosen by hash) and travels as a closure
-of 2^18 x languages float32. Scoring is one pass without a shuffle, vectorised
+(`per_language` documents a language, chosen by hash, of the `max_languages` most frequent
+languages) and travels as a closure of 2^18 x languages float32 (1 MB a language). Scoring is one pass without a shuffle, vectorised
 over slices of a batch; texts are never cut.
 """
 
@@ -23,20 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, map_text, runs, unicode_tables
+from .common import code_points, map_text, runs, slices, unicode_tables
 
 #: Labelled documents that the model is fitted on, for each language, about.
 PER_LANGUAGE = 400
+#: Languages that the model tells apart at most, the most frequent ones.
+MAX_LANGUAGES = 128
 BUCKET_BITS = 18
 #: Least probability of a trigram; equal for all languages.
 UNSEEN = 1e-6
 #: Most that one word can speak against a language.
 WORST = -12.0
 SWITCH = 14.0
-#: Share of the letters from which on a language is the text's whatever it opens in.
-CLEAR = 0.8
-#: Share of the letters that the opening language of a text without a clear one must have.
-OPENING = 0.2
+#: Labelled rows that a bonus for the opening language must set right, net, before it is believed.
+EVIDENCE = 3
 #: Share of a language's letters from which on it uses a script.
 USES_SCRIPT = 0.01
 
@@ -67,6 +68,7 @@ class Model:
     languages: list[str]
     logp: np.ndarray  # (2^BUCKET_BITS, languages), the best language of a trigram at 0
     uses: np.ndarray  # (SCRIPTS, languages) bool
+    bonus: float = 0.0  # added to the share of the opening span's language
 
 
 @dataclass
@@ -85,7 +87,14 @@ def words_of(texts: list[str | None]) -> Words:
     tables = unicode_tables()
     kind = tables["kind"][codes]
     letter = (kind == 1) | (kind == 2)
-    start, end = runs(letter)
+    solid = letter | (kind == 6)
+    start, end = runs(solid)
+    lettered = np.add.reduceat(letter, start) > 0 if len(start) else np.zeros(0, dtype=bool)
+    solid[np.flatnonzero(solid)[~np.repeat(lettered, end - start)]] = False  # marks alone are no word
+    start, end = start[lettered], end[lettered]
+    at_letter = np.flatnonzero(letter)
+    opens = at_letter[np.searchsorted(at_letter, start)]
+    letter = solid
     low = np.where(letter, tables["lower"][codes], 0).astype(np.uint32)
     before, after = np.concatenate(([0], low[:-1])).astype(np.uint32), np.concatenate((low[1:], [0])).astype(np.uint32)
     mixed = before * np.uint32(0x9E3779B1) + low * np.uint32(0x85EBCA77) + after * np.uint32(0xC2B2AE3D)
@@ -93,7 +102,7 @@ def words_of(texts: list[str | None]) -> Words:
     mixed *= np.uint32(0x2C1B3C6D)
     trigram = (mixed >> np.uint32(32 - BUCKET_BITS))[letter]
     at = np.concatenate(([0], np.cumsum(end - start)))[:-1] if len(start) else np.zeros(0, dtype=np.int64)
-    return Words(start, end, offset, np.searchsorted(start, offset), script_table()[codes[start]], trigram, at)
+    return Words(start, end, offset, np.searchsorted(start, offset), script_table()[codes[opens]], trigram, at)
 
 
 def train(labelled: list[tuple[str | None, str]]) -> Model:
@@ -111,7 +120,45 @@ def train(labelled: list[tuple[str | None, str]]) -> Model:
     logp = np.log(p)
     if len(languages):
         logp -= logp.max(axis=1, keepdims=True)
-    return Model(languages, logp.astype(np.float32), uses)
+    m = Model(languages, logp.astype(np.float32), uses)
+    m.bonus = opening_bonus(labelled, m)
+    return m
+
+
+def shares_of(w: Words, m: Model, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: the share of letters in spans of each language, the opening language (0 without words), and per word its language."""
+    label = viterbi(word_scores(w, m), w.first)
+    k = len(m.languages)
+    text_of = np.repeat(np.arange(n), np.diff(w.first))
+    letters = np.bincount(text_of * k + label, weights=w.end - w.start, minlength=n * k).reshape(n, k)
+    opening = np.zeros(n, dtype=np.int64)
+    some = np.diff(w.first) > 0
+    opening[some] = label[w.first[:-1][some]]
+    return letters / np.maximum(letters.sum(axis=1), 1)[:, None], opening, label
+
+
+def choose(shares: np.ndarray, opening: np.ndarray, bonus: float) -> np.ndarray:
+    """The language of the largest share, the opening one with its bonus; of equal ones the opening language, then the first."""
+    best = shares.argmax(axis=1)
+    row = np.arange(len(shares))
+    return np.where(shares[row, opening] + bonus >= shares[row, best], opening, best)
+
+
+def opening_bonus(labelled: list[tuple[str | None, str]], m: Model) -> float:
+    """The least bonus with which most labelled rows come out right; 0 unless EVIDENCE more do than without."""
+    rows = [(t, x) for t, x in labelled if x is not None]
+    if len(m.languages) < 2 or not rows:
+        return 0.0
+    right: dict[float, int] = {}
+    grid = [k / 20 for k in range(20)]
+    for a, b in slices([len(t or "") for t, _ in rows]):
+        shares, opening, _ = shares_of(words_of([t for t, _ in rows[a:b]]), m, b - a)
+        y = np.array([m.languages.index(x) for _, x in rows[a:b]])
+        some = shares.sum(axis=1) > 0
+        for g in grid:
+            right[g] = right.get(g, 0) + int(((choose(shares, opening, g) == y) & some).sum())
+    best = max(grid, key=lambda g: (right[g], -g))
+    return best if right[best] >= right[0.0] + EVIDENCE else 0.0
 
 
 def word_scores(w: Words, m: Model) -> np.ndarray:
@@ -169,19 +216,11 @@ def identify(texts: list[str | None], m: Model, spans: bool = False) -> dict[str
         return out | ({"spans": [[] for _ in texts]} if spans else {})
     w = words_of(texts)
     first = w.first
-    label = viterbi(word_scores(w, m), first)
-    n = len(m.languages)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    letters = np.bincount(text_of * n + label, weights=w.end - w.start, minlength=len(texts) * n).reshape(len(texts), n)
-    total = letters.sum(axis=1)
-    row = np.arange(len(texts))
-    shares = letters / np.maximum(total, 1)[:, None]
-    best = shares.argmax(axis=1)
-    opening = np.where(np.diff(first) > 0, label[np.minimum(first[:-1], len(label) - 1)] if len(label) else 0, best)
-    best = np.where((shares[row, best] < CLEAR) & (shares[row, opening] >= OPENING), opening, best)
-    share = shares[row, best]
+    shares, opening, label = shares_of(w, m, len(texts))
+    best = choose(shares, opening, m.bonus)
+    share = shares[np.arange(len(texts)), best]
     out = {
-        "lang_pred": [m.languages[k] if c else "und" for k, c in zip(best, total, strict=True)],
+        "lang_pred": [m.languages[k] if c else "und" for k, c in zip(best, np.diff(first), strict=True)],
         "score": share.tolist(),
     }
     if spans:
@@ -198,19 +237,18 @@ def identify(texts: list[str | None], m: Model, spans: bool = False) -> dict[str
     return out
 
 
-def labelled_sample(docs: DataFrame, use: Column, per_language: int, lang: str, text: str, id_col: str) -> list[tuple[str, str]]:
-    """About `per_language` rows of each language (never over twice that), by a hash of the id: bounded, the same on every run."""
+def labelled_sample(
+    docs: DataFrame, use: Column, per_language: int, lang: str, text: str, id_col: str, max_languages: int = MAX_LANGUAGES
+) -> list[tuple[str, str]]:
+    """About `per_language` rows of each of the `max_languages` most frequent languages, by a hash of the id: bounded, the same on every run."""
     rows = docs.where(use & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(7)).alias("h")
     )
-    counts = rows.groupBy("lang").count().collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not counts:
         return []
-    keep = None
-    for r in counts:
-        part = (F.col("lang") == r["lang"]) & (F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, per_language / r["count"])) + 1)
-        keep = part if keep is None else keep | part
-    picked = rows.where(keep).limit(2 * per_language * len(counts)).collect()
+    keep = docs.sparkSession.createDataFrame([(r["lang"], int(1_000_000 * min(1.0, per_language / r["count"])) + 1) for r in counts], "lang string, below int")
+    picked = rows.join(F.broadcast(keep), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("below")).limit(2 * per_language * len(counts)).collect()
     return [(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"]))]
 
 
@@ -228,7 +266,7 @@ def identify_languages(
 
     Learns from rows where `learn_from` holds and language and text are not
     null. Null texts and texts without letters are `und` with score 0; with nothing to learn from every text
-    is. The score is the share of the letters in spans of the predicted language. Ties go to the language first in order. Repeated rows stay; an empty table gives an empty result.
+    is. The score is the share of the letters in spans of the predicted language. Of equal shares the opening language wins. Repeated rows stay; an empty table gives an empty result.
     """
     model = train(labelled_sample(docs, learn_from, per_language, lang, text, id_col))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))

@@ -41,11 +41,17 @@ def test_mixed_text_falls_into_spans():
     text = "12 " + " ".join(english) + " — " + " ".join(german * 2) + ". Δelta."
     long = " ".join(english[:4]) + " " + " ".join(german * 9)
     out = langid.identify([text, "", None, "123 !", "день", "漢字", long], m, spans=True)
-    assert out["lang_pred"][:5] == ["en", "und", "und", "und", "ru"] and out["score"][1:4] == [0.0] * 3
-    assert 0.2 < out["score"][0] < 0.5 and out["lang_pred"][6] == "de" and out["score"][6] > 0.8
+    assert out["lang_pred"][:5] == ["de", "und", "und", "und", "ru"] and out["score"][1:4] == [0.0] * 3
+    assert 0.5 < out["score"][0] < 0.9 and out["lang_pred"][6] == "de" and out["score"][6] > 0.8
     assert [s["lang"] for s in out["spans"][0]][:2] == ["en", "de"]
     a, b = out["spans"][0][:2]
     assert text[a["start"] : a["end"]] == " ".join(english) and text[b["start"] :].startswith("der hund")
+    assert m.bonus == 0 and langid.identify(["\u0301\u0302 \u0303", "e\u0301 the cat"], m)["lang_pred"] == ["und", "en"]  # marks alone are no letters
+    quoting = [(" ".join(random.Random(i).choices(english, k=20)) + " " + " ".join(random.Random(i).choices(german, k=45)), "en") for i in range(8)]
+    named_by_opening = langid.train(rows + quoting)
+    assert named_by_opening.bonus > 0.2
+    for model, want in ((m, "de"), (named_by_opening, "en")):  # the same text, by what the labels of mixed texts say
+        assert langid.identify([" ".join(english[:8]) + " " + " ".join(german[:12])], model)["lang_pred"] == [want]
     assert langid.identify(["abc"], langid.train([])) == {"lang_pred": ["und"], "score": [0.0]}
 
 
