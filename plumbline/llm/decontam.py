@@ -6,20 +6,22 @@ table on two-word blocks tells how far a window can jump, a zero shift looks up
 the suffix-hash bucket (by the last block, then by the first word) and every
 candidate there is compared word by word.
 
-Documents are read once, in place, without a shuffle. Patterns travel to the
-workers as closures of at most `max_words` benchmark words; a larger benchmark
-is scanned in several such passes chained one after the other, so no broadcast
-grows with the data.
+Documents are read in place, without a shuffle. Patterns travel to the workers as a closure
+of about `max_words` benchmark words at most. A larger benchmark is dealt into such batches in the
+shared folder; each batch alone comes to the driver, scans all documents and leaves its
+hits (rows with hits only) in a table of its own, so neither driver nor workers ever hold more than a
+batch. In the end the hits of a document meet.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import discard, map_text, written
 
 WINDOW = 13
 #: Benchmark words of one pass (about 60 MB of tables in a worker).
@@ -95,20 +97,17 @@ def pattern_sets(items: list[tuple[int, bytes]], window: int = WINDOW) -> list[P
     return list(sets.values())
 
 
-def item_batches(benchmark: DataFrame, max_words: int):
-    """The benchmark in batches of about max_words words, each collected alone. Null ids or texts are no items."""
-    spread = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("item_id").cast("string").alias("id"), F.encode(F.col("text"), "UTF-8").alias("text")
-    )
-    size = spread.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-size // (max_words * 5)))
-    for k in range(parts):
-        part = spread if parts == 1 else spread.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
-        yield [(r["id"], bytes(r["text"])) for r in part.distinct().collect()]
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """Distinct (id, text) of the benchmark; null texts are no items."""
+    return benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("id"), F.encode(F.col("text"), "UTF-8").alias("text")).distinct()
+
+
+def collected(items: DataFrame) -> list[tuple[str | None, bytes]]:
+    return [(r["id"], bytes(r["text"])) for r in items.select("id", "text").collect()]
 
 
-def scan_pass(docs: DataFrame, keep: list[str], items: list[tuple[str, bytes]], window: int) -> DataFrame:
-    """One pass over all documents: adds hit spans of this batch of items to those of earlier passes."""
+def scan_pass(docs: DataFrame, keep: list[str], items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
+    """One pass over all documents: their words, and the hit spans and items of this batch."""
     names = [i for i, _ in items]
     texts = [(k, t) for k, (_, t) in enumerate(items)]
     schema = "n_words bigint, hit_spans array<struct<start: bigint, end: bigint>>, hit_items array<string>"
@@ -128,9 +127,7 @@ def scan_pass(docs: DataFrame, keep: list[str], items: list[tuple[str, bytes]],
                         ids.update(which)
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in merged(hit)])
-                found.append(sorted({names[k] for k in ids}))
-            import pyarrow as pa
-
+                found.append(sorted({names[k] for k in ids} - {None}))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             return {
                 "n_words": pa.array(counts, pa.int64()),
@@ -160,48 +157,44 @@ def contamination(
 
     A word inside any occurrence of a window is hit; a document is contaminated
     if at least a twentieth of its words (and one) are. Null and empty texts
-    have no words and are clean. Repeated rows are judged each for themselves;
-    items with null id or text are no items, repeated items count once. An empty benchmark leaves
+    have no words and are clean. Repeated rows are judged each for themselves.
+    Items with null text are no items, repeated items count once; the windows of an item
+    with null id hit, but it has no id to be listed by. An empty benchmark leaves
     every document clean. Columns of `docs` other than text and `keep` are not read.
     """
     hold = list(dict.fromkeys(keep))
-    passes = list(item_batches(benchmark, max_words))
-    if len(passes) == 1:
-        out = scan_pass(docs, hold, passes[0], window)
-    else:
-        out = chained_passes(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*hold, "text"])]), hold, passes, window)
+    items = items_of(benchmark)
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-size // (max_words * 5)))
+    out = scan_pass(docs, hold, collected(items), window) if parts == 1 else passes(docs, hold, items, parts, window)
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return out.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def chained_passes(docs: DataFrame, hold: list[str], passes: list[list], window: int) -> DataFrame:
-    """Scan after scan over the same rows; spans and items add up, still without a shuffle."""
-    base = docs.withColumns(
-        {"__spans": F.array().cast("array<struct<start: bigint, end: bigint>>"), "__items": F.array().cast("array<string>"), "__n": F.lit(0).cast("bigint")}
-    )
-    columns = base.columns
-    for items in passes:
-        one = scan_pass(base, columns, items, window)
-        base = one.withColumns(
-            {"__spans": F.concat("__spans", "hit_spans"), "__items": F.array_union("__items", "hit_items"), "__n": F.col("n_words")}
-        ).select(*[F.col(f"`{c}`") for c in columns])
-    return base.select(
-        *[F.col(f"`{c}`") for c in hold],
-        F.col("__n").alias("n_words"),
-        union_spans(F.col("__spans")).alias("hit_spans"),
-        F.array_sort("__items").alias("hit_items"),
-    )
-
-
-def union_spans(spans):
-    """Merge overlapping spans of an array column, in SQL functions."""
-    kind = "array<struct<start: bigint, end: bigint>>"
-
-    def step(acc, s):
-        prev = F.element_at(acc, -1)
-        joined = F.struct(prev["start"].alias("start"), F.greatest(prev["end"], s["end"]).alias("end"))
-        return F.when(F.size(acc) == 0, F.array(s)).when(
-            s["start"] <= prev["end"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))
-        ).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), lambda a, s: step(a, s).cast(kind))
+def passes(docs: DataFrame, hold: list[str], items: DataFrame, parts: int, window: int) -> DataFrame:
+    """One scan a batch; every scan's hits are written before the next begins."""
+    dealt = written(items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts))), "items", by="part")
+    base = written(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*hold, "text"])]).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    counts = hits = None
+    for k in range(parts):
+        one = scan_pass(base, ["__row"], collected(dealt.where(F.col("part") == k)), window)
+        if counts is None:
+            counts = written(one, "hits")  # of all rows, for their words
+            one = counts
+        else:
+            one = written(one.where(F.size("hit_spans") > 0), "hits")
+        some = one.where(F.size("hit_spans") > 0).select("__row", "hit_spans", "hit_items")
+        hits = some if hits is None else hits.unionByName(some)
+    discard(dealt)
+    each = hits.groupBy("__row").agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+
+    def merge(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("hit_spans")
+            spans = [[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in row])] for row in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
+
+    found = each.mapInArrow(merge, each.schema)
+    whole = base.select("__row", *[F.col(f"`{c}`") for c in hold]).join(counts.select("__row", "n_words"), "__row").join(found, "__row", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return whole.select(*[F.col(f"`{c}`") for c in hold], "n_words", empty("hit_spans"), empty("hit_items"))

@@ -188,7 +188,7 @@ WITH d AS (
 ), i AS (
   SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+  FROM benchmark WHERE text IS NOT NULL
 ), wi AS (
   SELECT DISTINCT item, least(13, len(words)) AS m, array_to_string(words[a:a + least(13, len(words)) - 1], ' ') AS win
   FROM (SELECT item, words, unnest(generate_series(1, len(words) - least(13, len(words)) + 1)) AS a FROM i WHERE len(words) > 0)
@@ -201,7 +201,7 @@ WITH d AS (
 ), w AS (
   SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(generate_series(a, a + m - 1)) AS pos FROM hits) GROUP BY r
 ), it AS (
-  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r
 )
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(w.n_hit, 0)::BIGINT AS n_hit, coalesce(it.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(it.items, '')) AS items_sha256,
