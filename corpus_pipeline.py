@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fold, read_table, written
+from plumbline.llm.common import discard, fold, read_table, written
 from plumbline.llm.decontam import contamination
 from plumbline.llm.langid import identify_languages
 from plumbline.llm.mixing import mix
-from plumbline.llm.secrets import find_secrets, redacted
+from plumbline.llm.secrets import MARK, find_secrets
 from plumbline.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,19 +29,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id (of repeated ids the smallest row)."""
-    groups = near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id")
-    ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id"))
-    once = ids.where((F.col("n") == 1) & (F.col("doc_id") == F.col("component_id"))).select("doc_id")
-    single = docs.join(once, "doc_id", "left_semi").select(*COLUMNS)
-    # Ids that are null or repeated: the smallest row of each group that bears the group's name, combined on the map side.
-    repeated = written(ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("id")), "repeated")
-    if repeated.isEmpty():
-        return single
-    heads = near_duplicates(docs.select(*COLUMNS), keep=COLUMNS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = heads.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    least = heads.groupBy("group_fp").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
-    return single.unionByName(least.select(*COLUMNS))
+    """One document of each group stays: that of the smallest doc_id (of repeated ids the smallest row). Texts move once, to meet the ids that stay."""
+    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in COLUMNS[1:]])
+    groups = near_duplicates(docs.select("doc_id", "text", row.alias("row")), keep=["doc_id", "row"])
+    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group_fp", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    stay = heads.groupBy("group_fp").agg(F.min_by(F.struct("doc_id", "row", "n"), F.struct("doc_id", "row")).alias("s")).select("s.*")
+    stay = written(stay.select(F.col("doc_id").alias("id"), F.col("row").alias("of_row"), "n"), "stay")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (row == F.col("of_row"))
+    kept = docs.join(stay.where("n = 1"), same, "left_semi").select(*COLUMNS)
+    # Rows that are repeated in full: one of each.
+    repeated = stay.where("n > 1")
+    return kept if repeated.isEmpty() else kept.unionByName(docs.join(repeated, same, "left_semi").select(*COLUMNS).dropDuplicates())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +49,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; live secrets in its text are replaced by [SECRET], widely copied examples are left. n_chars follows."""
-    found = find_secrets(docs.select(*COLUMNS), COLUMNS)
-    live = F.transform(F.filter("secrets", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    text = redacted(F.col("text"), F.col("spans"))
-    return found.withColumn("spans", live).withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    found = find_secrets(docs.select(*COLUMNS), [c for c in COLUMNS if c != "text"], mark=MARK)
+    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("redacted").cast("bigint")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,5 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each one's result is written and read again as the next one's input."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
