@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm.mixing import mix
-from plumbline.llm.topk import block_topk, integer_vectors, top_k
+from plumbline.llm.topk import LONG, beyond, block_topk, clamped, integer_vectors, top_k
 from plumbline.llm.url_filter import filter_urls
 
 RULES = "host string, path string, verdict string"
@@ -132,6 +133,43 @@ def test_block_topk_matches_brute_force_and_prunes():
     assert block_topk(np.arange(2), big[:2], np.arange(6), big, 5)[2][0] == 3 * 2**80
 
 
+def test_wide_vectors_are_exact_and_pruned():
+    """Mixed magnitudes up to the limits of a double, near ties that rounding would hide, and repeated vectors."""
+    r = np.random.default_rng(3)
+    for trial in range(25):
+        n, d = int(r.integers(2, 80)), int(r.integers(1, 6))
+        x = np.floor(r.normal(size=(n, d)) * 10.0 ** r.choice([0, 3, 12, 20, 40, 150, 300], (n, 1 if trial % 2 else d)))
+        if trial % 3 == 0:
+            x = np.full((n, d), 2.0**60) + np.ldexp(r.integers(0, 3, (n, d)).astype(float), 8)
+        x[n // 2 :: 3] = x[0]
+        ids = r.permutation(200)[:n]
+        q, qids = x[: max(1, n // 3)], ids[: max(1, n // 3)]
+        rows, got, scores, _ = block_topk(qids, q, ids, x, 5, block=7)
+        found = defaultdict(list)
+        for i, j, s in zip(rows, got, scores, strict=True):
+            found[i].append((-int(s), j))
+        mine = sorted((qids[i], n + 1, j, -s) for i, v in found.items() for n, (s, j) in enumerate(sorted(v)))
+        assert mine == brute_topk(qids, q, ids, x, 5)
+    near = np.repeat(np.eye(8) * 1e38, 64, axis=0)
+    *_, (scored, pruned) = block_topk(np.arange(4), near[:4], np.arange(len(near)), near, 5, block=64)
+    assert scored == 4 and pruned == 28
+    order = [-(10**90), -(10**30) - 1, -(10**30), -LONG, 0, LONG - 1, LONG, 10**30, 10**30 + 1, 10**90]
+    assert sorted(order, key=lambda s: (clamped(s), beyond(s))) == order
+
+
+def test_top_k_of_large_finite_components(spark):
+    r = random.Random(6)
+    rows = [(i, [r.choice([1e38, -1e38, 3e37, 0.5, -2.25, 0.0]) * r.choice([1, 0.5]) for _ in range(3)]) for i in range(150)] + [(151, [1e308, 0.0, 0.0])]
+    rows += [(7, [1.0, 2.0, 3.0])]  # a repeated id
+    v = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = lambda a: math.floor(256 * a) if abs(256 * a) < 2**52 else int(256 * a)
+    kept = [(i, [whole(a) for a in e]) for i, e in rows if i != 151]
+    want = brute_topk([i for i, _ in kept if i % 50 == 0], [e for i, e in kept if i % 50 == 0], [i for i, _ in kept], [e for _, e in kept], 5)
+    for size in (1000, 17):  # ties and repeated ids across shards too
+        got = sorted(map(tuple, top_k(v.where("id % 50 = 0"), v, block=8, shard_rows=size).collect()))
+        assert got == [(i, n, j, clamped(s)) for i, n, j, s in want]
+
+
 def test_top_k_over_spark(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [((i * 37 + j * 11) % 19 - 9) / 64 for j in range(4)], "x") for i in range(120)]
