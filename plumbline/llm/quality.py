@@ -191,11 +191,11 @@ def prior_shift(rate_of_one: float | None, y: np.ndarray) -> float:
 
 
 def labelled_rows(
-    docs: DataFrame, labels: DataFrame, use: Column, label: str, text: str, max_docs: int, id_col: str = "doc_id"
+    docs: DataFrame, labels: DataFrame, use: Column, label: str, text: str, max_docs: int, id_col: str = "doc_id", share_of_one: float = 0.5
 ) -> tuple[list[tuple[str, int]], float | None]:
     """About `max_docs` labelled rows where `use` holds (never over twice that), by a hash of the id, and the share of label 1 among all.
 
-    Half of the bound goes to each label. Null labels and null texts teach nothing; of an id's several labels the largest counts.
+    `share_of_one` of the bound goes to label 1, the rest to label 0. Null labels and null texts teach nothing; of an id's several labels the largest counts.
     """
     known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & use).groupBy(f"`{id_col}`").agg(
         F.max(F.when(F.col(f"`{label}`") > 0, 1).otherwise(0)).alias("__y")
@@ -206,7 +206,7 @@ def labelled_rows(
     h = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(11)), F.lit(1_000_000))
     part = F.lit(False)
     for y, n in counts.items():
-        wanted = min(1.0, max_docs / 2 / n)
+        wanted = min(1.0, max_docs * (share_of_one if y else 1 - share_of_one) / n)
         part = part | ((F.col("__y") == y) & (h < int(1_000_000 * wanted) + 1))
     chosen = known.where(part).limit(2 * max_docs)
     rows = docs.join(F.broadcast(chosen), id_col).where(F.col(f"`{text}`").isNotNull()).select(

@@ -9,8 +9,9 @@ calibrated on the training documents, is the document's score.
 Training is numpy only, on a bounded sample of labelled rows (`max_docs`). A
 toxic document is toxic somewhere, so each of its windows competes: the first choice
 follows word log-odds, later ones the network itself. The weights (about
-1 MB) travel as a closure. Scoring is one pass without a shuffle, vectorised over
-slices of a batch; texts are never cut.
+11 MB, nearly all of them the vectors of hashed words, trigrams and prefixes) travel as a closure.
+Scoring is one pass without a shuffle, vectorised over slices of a batch. All windows of a text count;
+a text over `CHUNK` characters is read a run of windows at a time, so memory does not grow with it.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from .common import code_points, map_text, runs, unicode_tables
 from .quality import labelled_rows, platt, prior_shift
 
-#: Labelled documents that the network is trained on, about; half of each label.
-MAX_DOCS = 1200
+#: Labelled documents that the network is trained on, about, and the share of toxic ones among them.
+MAX_DOCS, TOXIC_SHARE = 1800, 1 / 3
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED = 8, 8
 WORD_BITS, GRAM_BITS, PREFIX_BITS = 16, 14, 18
 INPUTS = 3 * EMBED
 LANES = 2048
+#: Characters of a text whose windows are scored together.
+CHUNK = 1 << 20
 EPOCHS = 12
 #: One row in so many is held back to calibrate the score.
 HELD_BACK = 5
@@ -46,6 +49,7 @@ class Tokens:
     at: np.ndarray  # first letter of each token among the letters
     size: np.ndarray  # letters of each token
     first: np.ndarray  # first token of each text (one more than texts)
+    begin: np.ndarray  # where each token begins, in code points of all texts with one between two
 
 
 def tokens_of(texts: list[str | None]) -> Tokens:
@@ -65,7 +69,7 @@ def tokens_of(texts: list[str | None]) -> Tokens:
     at = (np.cumsum(size) - size).astype(np.int64)
     if not len(start):
         none = np.zeros(0, dtype=np.int64)
-        return Tokens(none, none, none, none, none, np.zeros(len(offset), dtype=np.int64))
+        return Tokens(none, none, none, none, none, np.zeros(len(offset), dtype=np.int64), none)
     place = (np.arange(len(inside), dtype=np.int64) - np.repeat(at, size)).astype(np.uint32)
     letter = low[solid]
     spun = (letter + place * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1)
@@ -80,6 +84,7 @@ def tokens_of(texts: list[str | None]) -> Tokens:
         at,
         size,
         np.searchsorted(start, offset),
+        start,
     )
 
 
@@ -197,7 +202,7 @@ def gather(x: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.nda
 def part_of(t: Tokens, lo: int, hi: int) -> Tokens:
     """Tokens lo to hi with their letters."""
     a, b = int(t.at[lo]), int(t.at[hi - 1] + t.size[hi - 1])
-    return Tokens(t.word[lo:hi], t.gram[a:b], t.prefix[a:b], t.at[lo:hi] - a, t.size[lo:hi], t.first)
+    return Tokens(t.word[lo:hi], t.gram[a:b], t.prefix[a:b], t.at[lo:hi] - a, t.size[lo:hi], t.first, t.begin[lo:hi])
 
 
 def window_logits(net: Network, t: Tokens, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -229,9 +234,11 @@ def bucket_odds(ids: np.ndarray, doc: np.ndarray, y: np.ndarray, held: np.ndarra
     return np.log((pos + low) / (neg + low))
 
 
-def train(rows: list[tuple[str | None, int]], rate_of_one: float | None = None, epochs: int = EPOCHS, seed: int = 5) -> Network:
+def train(rows: list[tuple[str | None, int]], rate_of_one: float | None = None, epochs: int = EPOCHS, seed: int = 5, from_odds: bool = True) -> Network:
     """Fit on (text, label) rows; with labels of one kind (or none) the score is a constant.
 
+    The first number of each vector starts from its bucket's log-odds, unless `from_odds` is off.
+
     Every HELD_BACK-th row only calibrates. The rows are balanced: `rate_of_one`, the
     share of label 1 among all labelled rows, sets the score right.
     """
@@ -254,7 +261,8 @@ def train(rows: list[tuple[str | None, int]], rate_of_one: float | None = None,
     grams = bucket_odds(t.gram, of_letter, y, held, 1 << GRAM_BITS)
     prefixes = bucket_odds(t.prefix, of_letter, y, held, 1 << PREFIX_BITS)
     for name, start_at in (("word", words), ("gram", grams), ("prefix", prefixes)):
-        net.p[name][:, 0] = start_at / 2
+        if from_odds:
+            net.p[name][:, 0] = start_at / 2
     odds = np.maximum(words[t.word], np.maximum.reduceat(np.maximum(grams[t.gram], prefixes[t.prefix]), t.at))
     strength = np.array([odds[a : a + n].max() for a, n in zip(start, length, strict=True)])
     for epoch in range(epochs):
@@ -318,10 +326,36 @@ def _adam(p, grad, moment, rows, step, rate) -> None:
     p[rows] -= (rate * (one[rows] / (1 - 0.9**step)) / (np.sqrt(two[rows] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
 
 
-def score_texts(net: Network, texts: list[str | None]) -> np.ndarray:
-    t = tokens_of(texts)
+def long_text_logit(net: Network, text: str, chunk: int = CHUNK) -> float:
+    """The highest window of one text, a run of windows at a time: the same windows as of the whole text."""
+    kind = unicode_tables()["kind"]
+    solid = lambda c: 1 <= kind[ord(c)] <= 3 or kind[ord(c)] == 6
+    at, size, top = 0, chunk, -8.0
+    while at < len(text):
+        end = min(len(text), at + size)
+        while end < len(text) and solid(text[end - 1]) and solid(text[end]):
+            end += 1  # a word is not cut
+        t = tokens_of([text[at:end]])
+        start, length, which = windows_of(t.first)
+        if end < len(text):
+            whole = (len(t.word) - WINDOW) // STRIDE  # windows after which another one begins within these words
+            if whole < 1:
+                size *= 2  # hardly any words in so many characters
+                continue
+            start, length, which = start[:whole], length[:whole], which[:whole]
+            end = at + int(t.begin[whole * STRIDE])
+        top = max(top, float(highest(window_logits(net, t, start, length), which, 1)[0]))
+        at, size = end, chunk
+    return top
+
+
+def score_texts(net: Network, texts: list[str | None], chunk: int = CHUNK) -> np.ndarray:
+    long = [i for i, t in enumerate(texts) if t and len(t) > chunk]
+    t = tokens_of([None if t and len(t) > chunk else t for t in texts])
     start, length, text = windows_of(t.first)
     z = highest(window_logits(net, t, start, length), text, len(texts))
+    for i in long:
+        z[i] = long_text_logit(net, texts[i], chunk)
     return 1 / (1 + np.exp(-np.clip(net.slope * z + net.shift, -30, 30)))
 
 
@@ -334,7 +368,7 @@ def score_toxicity(
     Null, empty and wordless texts get the score of a text without toxic windows. With labels of one kind only
     (or none) every text gets one score. Repeated rows stay; an empty table gives an empty result.
     """
-    net = train(*labelled_rows(docs, labels, learn_from, label, text, max_docs, id_col))
+    net = train(*labelled_rows(docs, labels, learn_from, label, text, max_docs, id_col, TOXIC_SHARE))
 
     def kernel():
         return lambda texts: {"score": pa.array(score_texts(net, texts).astype(np.float64))}

@@ -137,6 +137,52 @@ def test_backward_matches_finite_differences():
             assert grad[i] == pytest.approx((up - down) / (2 * step), abs=2e-3, rel=0.05)
 
 
+def plain_logit(net, words):
+    """One window, one word and one gate at a time."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    h = toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    x = [net.inputs(toxicity.tokens_of([w]))[0].astype(np.float64) for w in words]
+    states = []
+    for d in (0, 1):
+        s, out = np.zeros(h), []
+        for v in x if d == 0 else x[::-1]:
+            i, u = v @ p["wx"][d] + p["bx"][d][0], s @ p["u"][d]
+            z, r = sig(i[:h] + u[:h]), sig(i[h : 2 * h] + u[h : 2 * h])
+            s = (1 - z) * np.tanh(i[2 * h :] + r * u[2 * h :]) + z * s
+            out.append(s)
+        states.append(out if d == 0 else out[::-1])
+    score = np.array([states[0][k] @ p["att"][0] + states[1][k] @ p["att"][1] for k in range(len(words))])
+    a = np.exp(score - score.max())
+    a /= a.sum()
+    pooled = [sum(a[k] * states[d][k] for k in range(len(words))) for d in (0, 1)]
+    return float(pooled[0] @ p["out"][0] + pooled[1] @ p["out"][1] + p["bias"][0])
+
+
+def test_scores_match_the_plain_network():
+    """Whole texts: every overlapping window on its own, the highest counts."""
+    r = random.Random(12)
+    net = toxicity.Network(4)
+    net.p = {k: (v * 5 if k in ("word", "gram", "prefix") else v) for k, v in net.p.items()}
+    net.slope, net.shift = 1.3, -0.2
+    word = lambda: "".join(r.choice("aeiouéñß漢x1") for _ in range(r.randint(1, 9)))
+    texts = [[word() for _ in range(n)] for n in (1, 5, 31, 32, 33, 56, 57, 130)]
+    got = toxicity.score_texts(net, [" ".join(t) for t in texts])
+    for t, s in zip(texts, got, strict=True):
+        starts = range(0, max(1, -(-(len(t) - toxicity.WINDOW) // toxicity.STRIDE) * toxicity.STRIDE + 1), toxicity.STRIDE)
+        z = max(plain_logit(net, t[a : a + toxicity.WINDOW]) for a in starts)
+        assert s == pytest.approx(1 / (1 + np.exp(-(1.3 * z - 0.2))), abs=1e-4)
+
+
+def test_long_texts_are_scored_in_runs_of_windows():
+    r = random.Random(13)
+    net = toxicity.Network(6)
+    texts = [" ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 7))) for _ in range(n)) for n in (3, 40, 400, 3000)] + ["x" * 5000, "- " * 3000 + "end", " ".join(["y" * 900] * 40)]
+    whole = toxicity.score_texts(net, texts)
+    for chunk in (50, 333, 4000):
+        assert toxicity.score_texts(net, texts, chunk) == pytest.approx(whole, abs=1e-6)
+
+
 def test_toxicity_finds_planted_words(spark, odd_docs, no_docs, no_labels):
     r = random.Random(8)
     calm = ["".join(r.choice("aeiourstnlm") for _ in range(r.randint(2, 8))) for _ in range(300)]
