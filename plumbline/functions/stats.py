@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, wanted: list[tuple[float, str, str]]) -> DataFrame:
+#: Ranges of values that a group's percentiles are found in, side by side.
+RANGES = 64
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, wanted: list[tuple[float, str, str]], ranges: int = RANGES) -> DataFrame:
     """Exact percentiles of each group, as (p, rule, name) asks; nulls are left out.
 
     Rules, for n sorted values: `floor` takes the 0-based position min(floor(n p), n - 1), `nearest` the
     ceil(n p)-th value, `interp` interpolates at p (n - 1). All work on distinct values and their
-    counts, sorted in a window that can spill; no aggregation buffer holds a group's values.
+    counts. A group's values are cut into ranges at approximate quantiles (a sketch of bounded size);
+    each range is sorted by itself from the number of values below it, so no task or buffer holds a group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = W.partitionBy(*keys)
-    run = counts.withColumn("__to", F.sum("__c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(w))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("__cuts"), F.sum("__c").alias("__n"))
+    if keys:
+        cuts = cuts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__cuts", "__n")
+        meet = reduce(lambda x, y: x & y, [counts[k].eqNullSafe(cuts[f"__k{i}"]) for i, k in enumerate(keys)])
+        cut = counts.join(cuts, meet).drop(*[f"__k{i}" for i in range(len(keys))])
+    else:
+        cut = counts.crossJoin(F.broadcast(cuts))  # one row
+    cut = cut.withColumn("__r", F.size(F.filter("__cuts", lambda e: e < F.col(value)))).drop("__cuts")
+    below = W.partitionBy(*keys).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "__r").agg(F.sum("__c").alias("__s")).withColumn("__o", F.coalesce(F.sum("__s").over(below), F.lit(0)))
+    totals = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__r").alias("__q"), "__o")
+    meet = reduce(lambda x, y: x & y, [cut[k].eqNullSafe(totals[f"__k{i}"]) for i, k in enumerate(keys)], F.col("__r") == F.col("__q"))
+    inside = W.partitionBy(*keys, "__r").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    run = cut.join(totals, meet).withColumn("__to", F.sum("__c").over(inside) + F.col("__o"))
     n = F.col("__n")
     at = lambda pos: F.min(F.when(F.col("__to") > pos, F.col(value)))  # noqa: E731  the value at a 0-based position
     columns = []
@@ -32,6 +51,16 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: list[tuple[f
     return run.groupBy(*keys).agg(*columns)
 
 
+def with_percentiles(totals: DataFrame, df: DataFrame, keys: list[str], value: str, wanted: list[tuple[float, str, str]]) -> DataFrame:
+    """`totals` (one row a group) with the percentiles of `df`; null where a group has no values."""
+    found = percentiles(df, keys, value, wanted)
+    if not keys:
+        return totals.crossJoin(F.broadcast(found))  # one row
+    found = found.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[name for *_, name in wanted])
+    meet = reduce(lambda x, y: x & y, [totals[k].eqNullSafe(found[f"__k{i}"]) for i, k in enumerate(keys)])
+    return totals.join(found, meet, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def percentile_floor(df: DataFrame, keys: list[str], value: str, ps: list[tuple[float, str]]) -> DataFrame:
     """The value at 0-based position min(floor(n p), n - 1) of each group."""
     return percentiles(df, keys, value, [(p, "floor", name) for p, name in ps])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import percent, round_half_up, safe_ratio
+from ..functions.stats import with_percentiles
 from ..sources.tables import Tables
 from .registry import query
 
@@ -93,16 +94,16 @@ def members(t: Tables) -> DataFrame:
     return t.orders.groupBy((F.col("o_custkey") % 7).alias("bucket"), "o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
 
 
-def pooled() -> list:
-    return [
-        F.count(F.lit(1)).alias("members"), F.sum("f").alias("f"), F.sum("n").alias("n"), percent(F.sum("f"), F.sum("n")).alias("pooled_pct"),
-        round_half_up(F.median(F.col("f") * 100.0 / F.col("n")), 1).alias("median_pct"),
-    ]
+def pooled(m: DataFrame, keys: list[str]) -> DataFrame:
+    """The pooled share and the median of the members' shares."""
+    share = m.withColumn("pct", F.col("f") * 100.0 / F.col("n"))
+    totals = share.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.sum("f").alias("f"), F.sum("n").alias("n"), percent(F.sum("f"), F.sum("n")).alias("pooled_pct"))
+    return with_percentiles(totals, share, keys, "pct", [(0.5, "interp", "median_pct")]).withColumn("median_pct", round_half_up(F.col("median_pct"), 1))
 
 
 @query(f"SELECT bucket, {POOLED} FROM ({MEMBERS}) GROUP BY 1")
 def agg_11_pooled_and_median(t: Tables) -> DataFrame:
-    return members(t).groupBy("bucket").agg(*pooled())
+    return pooled(members(t), ["bucket"])
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS dearest FROM orders GROUP BY 1")
@@ -121,8 +122,8 @@ def agg_13_group_into_list(t: Tables) -> DataFrame:
 @query(f"SELECT bucket::VARCHAR AS bucket, {POOLED} FROM ({MEMBERS}) GROUP BY 1 UNION ALL SELECT 'total', {POOLED} FROM ({MEMBERS})")
 def agg_14_grand_total(t: Tables) -> DataFrame:
     """The total row's median is over all members, not over the buckets' medians."""
-    r = members(t).rollup("bucket").agg(*pooled(), F.grouping("bucket").alias("g"))
-    return r.withColumn("bucket", F.when(F.col("g") == 1, "total").otherwise(F.col("bucket").cast("string"))).drop("g")
+    each = pooled(members(t), ["bucket"]).withColumn("bucket", F.col("bucket").cast("string"))
+    return each.unionByName(pooled(members(t), []).withColumn("bucket", F.lit("total")))
 
 
 @query("SELECT text AS k, findings, occurrences, category FROM (SELECT user_id % 10 AS text, count(*)::BIGINT AS findings, sum((props::JSON->>'k')::INT)::BIGINT AS occurrences, arg_max(event_type, event_id) AS category FROM events GROUP BY 1)")
@@ -160,17 +161,19 @@ def agg_18_pivot(t: Tables) -> DataFrame:
     FROM lineitem GROUP BY 1, 2"""
 )
 def agg_19_summary(t: Tables) -> DataFrame:
-    q = F.col("l_quantity")
-    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(q), 6).alias("mean"), F.median(q).alias("median"), F.round(F.stddev_samp(q), 6).alias("sd"), F.min(q).alias("lo"), F.max(q).alias("hi"),
-        F.percentile(q, 0.95).alias("p95_interp"), F.percentile(q, 0.99).alias("p99_interp"), F.round(F.stddev_samp(q) / F.avg(q) * 100, 6).alias("cv_pct"), F.round(F.avg("l_discount"), 6).alias("mean_discount"), (F.max(q) / F.min(q) > 3).alias("wide"),
+    q, keys = F.col("l_quantity"), ["l_returnflag", "l_linestatus"]
+    totals = t.lineitem.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_samp(q), 6).alias("sd"), F.min(q).alias("lo"), F.max(q).alias("hi"),
+        F.round(F.stddev_samp(q) / F.avg(q) * 100, 6).alias("cv_pct"), F.round(F.avg("l_discount"), 6).alias("mean_discount"), (F.max(q) / F.min(q) > 3).alias("wide"),
     )
+    return with_percentiles(totals, t.lineitem, keys, "l_quantity", [(0.5, "interp", "median"), (0.95, "interp", "p95_interp"), (0.99, "interp", "p99_interp")])
 
 
 @query("SELECT l_returnflag, median(peak) AS median_peak, round(stddev_samp(peak), 6) AS sd_peak, count(*)::BIGINT AS trials FROM (SELECT l_returnflag, l_orderkey, max(l_quantity) AS peak FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def agg_20_two_levels(t: Tables) -> DataFrame:
     trials = t.lineitem.groupBy("l_returnflag", "l_orderkey").agg(F.max("l_quantity").alias("peak"))
-    return trials.groupBy("l_returnflag").agg(F.median("peak").alias("median_peak"), F.round(F.stddev_samp("peak"), 6).alias("sd_peak"), F.count(F.lit(1)).alias("trials"))
+    totals = trials.groupBy("l_returnflag").agg(F.round(F.stddev_samp("peak"), 6).alias("sd_peak"), F.count(F.lit(1)).alias("trials"))
+    return with_percentiles(totals, trials, ["l_returnflag"], "peak", [(0.5, "interp", "median_peak")])
 
 
 @query("SELECT CASE WHEN o_totalprice > 450000 THEN 'pinned' WHEN o_orderstatus = 'F' THEN 'exact' WHEN o_orderstatus = 'P' THEN 'superset' ELSE 'not' END AS status, count(*)::BIGINT AS n FROM orders GROUP BY 1")
@@ -194,7 +197,8 @@ def agg_23_time_to_exhaustion(t: Tables) -> DataFrame:
     v = F.col("value")
     wide = t.events.select("event_id", F.when(v < 100, v).alias("early"), F.when(v > 200, v).alias("late"))
     long = wide.unpivot("event_id", ["early", "late"], "metric", "v").filter("v is not null")
-    return long.groupBy("metric").agg(F.count("v").alias("n"), F.median("v").alias("mid"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    totals = long.groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return with_percentiles(totals, long, ["metric"], "v", [(0.5, "interp", "mid")])
 
 
 @query("SELECT event_type, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0 END), 9) AS success_rate FROM events GROUP BY 1")

@@ -159,8 +159,11 @@ def st_10_ols(t: Tables) -> DataFrame:
 SERIES = "(SELECT o_custkey % 11 AS module, o_custkey, count(*) AS n, avg(o_totalprice) AS mean_t, median(o_totalprice) AS median_t FROM orders GROUP BY 1, 2)"
 
 
-def scaling(t: Tables) -> DataFrame:
-    return t.orders.groupBy((C("o_custkey") % 11).alias("module"), "o_custkey").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_t"), F.median("o_totalprice").alias("median_t"))
+def scaling(t: Tables, medians: bool = False) -> DataFrame:
+    o = t.orders.select((C("o_custkey") % 11).alias("module"), "o_custkey", "o_totalprice")
+    keys = ["module", "o_custkey"]
+    per = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_t"))
+    return stats.with_percentiles(per, o, keys, "o_totalprice", [(0.5, "interp", "median_t")]) if medians else per
 
 
 def fits(t: Tables) -> DataFrame:
@@ -179,7 +182,7 @@ def st_11_power_law_mean(t: Tables) -> DataFrame:
 @query(f"SELECT module, count(*)::BIGINT AS points, round(regr_slope(ln(median_t), ln(n)), 6) AS b, round(exp(regr_intercept(ln(median_t), ln(n))), 3) AS a FROM {SERIES} GROUP BY 1 HAVING count(*) >= 2")
 def st_11_power_law_median(t: Tables) -> DataFrame:
     y, x = F.ln("median_t"), F.ln("n")
-    f = scaling(t).groupBy("module").agg(F.count(F.lit(1)).alias("points"), F.round(F.regr_slope(y, x), 6).alias("b"), F.round(F.exp(F.regr_intercept(y, x)), 3).alias("a"))
+    f = scaling(t, medians=True).groupBy("module").agg(F.count(F.lit(1)).alias("points"), F.round(F.regr_slope(y, x), 6).alias("b"), F.round(F.exp(F.regr_intercept(y, x)), 3).alias("a"))
     return f.filter("points >= 2")
 
 
@@ -197,24 +200,40 @@ def st_13_fitted_values(t: Tables) -> DataFrame:
     return scaling(t).join(fits(t), "module").select("o_custkey", F.round(C("a") * F.pow("n", C("b")), 2).alias("fitted"))
 
 
-B = 200
+B = 2000
+#: Points up to which the resamples look them up in a broadcast table (24 bytes each); beyond it the join shuffles.
+BROADCAST_POINTS = 2_000_000
+DRAW = """(((({h} * 48271 + {i}) % 2147483647) * (({h} * 48271 + {i}) % 2147483647)) % 2147483647 * 69621 + {j}) % 2147483647"""
+HASH = "((({j} * 16807 + {i} * 48271 + {m} * 69621 + 12345) % 2147483647) * (({j} * 16807 + {i} * 48271 + {m} * 69621 + 12345) % 2147483647)) % 2147483647"
+
+
+def drawn(module: str, i: str, j: str, c: str) -> str:
+    """SQL of the position that draw j of resample i takes: two squarings modulo 2^31 - 1, the same in every engine."""
+    return f"({DRAW.format(h=f'({HASH.format(j=j, i=i, m=module)})', i=i, j=j)}) % {c}"
+
+
 BOOT = f"""SELECT module, list_sort(list(b)) AS bs FROM (
-  SELECT p.module, r.i, regr_slope(ln(p.mean_t), ln(p.n)) AS b FROM range(0, {B}) r(i), (SELECT module, count(*) AS c FROM {SERIES} GROUP BY 1) m, range(0, 200) k(j),
-    (SELECT *, row_number() OVER (PARTITION BY module ORDER BY o_custkey) - 1 AS pos FROM {SERIES}) p
-  WHERE k.j < m.c AND p.module = m.module AND p.pos = ('0x' || substr(md5(m.module::VARCHAR || ':' || r.i::VARCHAR || ':' || k.j::VARCHAR), 1, 8))::BIGINT % m.c GROUP BY 1, 2) GROUP BY 1"""
+  SELECT p.module, d.i, regr_slope(ln(p.mean_t), ln(p.n)) AS b FROM
+    (SELECT module, i, {drawn('module', 'i', 'j', 'c')} AS pos FROM (
+      SELECT m.module, m.c, r.i, unnest(range(m.c)) AS j FROM (SELECT module, count(*) AS c FROM {SERIES} GROUP BY 1) m, range(0, {B}) r(i))) d
+    JOIN (SELECT *, row_number() OVER (PARTITION BY module ORDER BY o_custkey) - 1 AS pos FROM {SERIES}) p ON p.module = d.module AND p.pos = d.pos GROUP BY 1, 2) GROUP BY 1"""
 
 
 @query(f"SELECT module, round(bs[floor(0.025 * {B})::INT + 1], 6) AS lo, round(bs[floor(0.975 * {B})::INT + 1], 6) AS hi FROM ({BOOT})")
 def st_14_bootstrap(t: Tables) -> DataFrame:
-    """B resamples of each module's points; draws are hashes of (module, resample, draw), the same on every run."""
+    """B resamples of each module's points, as many draws as points; draws are hashes of (module, resample, draw), the same on every run.
+
+    The draws are made where they are used and look their points up; each resample is summed on the map side.
+    """
     s = scaling(t)
     pos = F.row_number().over(W.partitionBy("module").orderBy("o_custkey")) - 1
-    points = s.select("module", pos.alias("pos"), F.ln("mean_t").alias("y"), F.ln("n").alias("x"))
+    points = s.select("module", pos.cast("bigint").alias("pos"), F.ln("mean_t").alias("y"), F.ln("n").alias("x"))
     sizes = s.groupBy("module").agg(F.count(F.lit(1)).alias("c"))
-    draws = sizes.select("module", "c", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("i")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), C("c") - 1)).alias("j"))
-    text = F.concat_ws(":", C("module").cast("string"), C("i").cast("string"), C("j").cast("string"))
-    drawn = draws.withColumn("pos", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % C("c")).cast("int"))
-    slopes = drawn.join(points, ["module", "pos"]).groupBy("module", "i").agg(F.regr_slope("y", "x").alias("b"))
+    if (sizes.agg(F.sum("c")).first()[0] or 0) <= BROADCAST_POINTS:
+        points = F.broadcast(points)
+    runs = sizes.select("module", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(B - 1).cast("bigint"))).alias("i")).repartition("module", "i")
+    draws = runs.select("module", "c", "i", F.explode(F.sequence(F.lit(0).cast("bigint"), C("c") - 1)).alias("j")).select("module", "i", F.expr(drawn("module", "i", "j", "c")).alias("pos"))
+    slopes = draws.join(points, ["module", "pos"]).groupBy("module", "i").agg(F.regr_slope("y", "x").alias("b"))
     ci = stats.percentile_floor(slopes, ["module"], "b", [(0.025, "lo"), (0.975, "hi")])
     return ci.select("module", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
@@ -233,7 +252,8 @@ def st_15_ci_overlap(t: Tables) -> DataFrame:
 def st_16_leak_rate(t: Tables) -> DataFrame:
     """Slope per trial, then over trials; fewer than two points are 0."""
     s = t.events.groupBy("event_type", "user_id").agg(F.coalesce(F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.regr_slope("value", "event_id")), F.lit(0.0)).alias("s"))
-    return s.groupBy("event_type").agg(F.round(F.median("s"), 6).alias("rate"), F.round(F.stddev_samp("s"), 6).alias("sd"))
+    sd = s.groupBy("event_type").agg(F.round(F.stddev_samp("s"), 6).alias("sd"))
+    return stats.with_percentiles(sd, s, ["event_type"], "s", [(0.5, "interp", "rate")]).withColumn("rate", F.round("rate", 6))
 
 
 @query(
@@ -250,7 +270,12 @@ def st_17_signal_to_noise(t: Tables) -> DataFrame:
 )
 def st_18_speedup(t: Tables) -> DataFrame:
     of = lambda s: F.when(C("o_orderstatus") == s, C("ms"))
-    return trials(t).groupBy(*KEY).agg(F.round(F.try_divide(F.avg(of("O")), F.avg(of("F"))), 8).alias("by_means"), F.round(F.try_divide(F.median(of("O")), F.median(of("F"))), 8).alias("by_medians"))
+    means = trials(t).groupBy(*KEY).agg(F.round(F.try_divide(F.avg(of("O")), F.avg(of("F"))), 8).alias("by_means"))
+    both = trials(t).filter("o_orderstatus IN ('O', 'F')")
+    m = stats.percentiles(both, [*KEY, "o_orderstatus"], "ms", [(0.5, "interp", "m")])
+    side = lambda s: F.max(F.when(C("o_orderstatus") == s, C("m")))
+    medians = m.groupBy(*KEY).agg(F.round(F.try_divide(side("O"), side("F")), 8).alias("by_medians")).withColumnRenamed(KEY[0], "k")
+    return means.join(medians, means[KEY[0]].eqNullSafe(medians["k"]), "left").drop("k")
 
 
 @query(
