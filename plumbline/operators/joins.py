@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,42 @@ def require_all(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
+#: A key that holds over one in HEAVY of all rows is joined by broadcast; there are fewer than HEAVY such keys.
+HEAVY = 1000
+
+
+def join_facts(rows: DataFrame, keys: list[str], name: str, fact: Column) -> DataFrame:
+    """`rows` with `fact`, an aggregate of its key's rows, as `name`; null keys are keys like any other.
+
+    Facts are combined on the map side. Keys with over a thousandth of all rows (fewer than a thousand
+    of them) meet their fact by broadcast, so a key that a third of all rows share is no single task.
+    """
+    facts = rows.groupBy(*keys).agg(fact.alias(name), F.count(F.lit(1)).alias("__n"))
+    facts = facts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], name, "__n")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    total = rows.count()
+    heavy = F.broadcast(facts.where(F.col("__n") * HEAVY > total))
+    light = facts.where(F.col("__n") * HEAVY <= total)
+    out = rows.join(heavy, same).unionByName(rows.join(heavy, same, "left_anti").join(light, same))
+    return out.drop("__n", *[f"__k{i}" for i in range(len(keys))])
+
+
+#: Lengths of labels that are told apart at most; more are an error.
+MAX_LENGTHS = 1000
+
+
 def suffix_match(rows: DataFrame, column: str, labels: DataFrame, label: str, ordinal: str) -> DataFrame:
     """The first label (by ordinal) that a value ends with.
 
     Values are cut at the lengths that labels have and joined by equality, so no
     pair of a value and a label is looked at in vain.
     """
-    lengths = sorted(r[0] for r in labels.select(F.length(label)).distinct().collect())
+    found = labels.select(F.length(label)).where(F.col(label).isNotNull()).distinct().limit(MAX_LENGTHS + 1).collect()
+    if len(found) > MAX_LENGTHS:
+        raise ValueError(f"labels of more than {MAX_LENGTHS} lengths")
+    if not found:
+        return rows.join(labels.select(F.lit(None).cast(rows.schema[column].dataType).alias(column), label).limit(0), column, "left")
+    lengths = sorted(r[0] for r in found)
     tails = F.array(*[F.right(F.col(column), F.lit(n)) for n in lengths])
     keys = rows.select(column).distinct().select(column, F.explode(F.array_distinct(tails)).alias(label))
     found = keys.join(labels, label).groupBy(column).agg(F.min_by(F.col(label), F.col(ordinal)).alias(label))

@@ -21,7 +21,8 @@ def stratified_sample(population: DataFrame, stratum: str, key: str, allocation:
     `size`, one after the other. A stratum without an allocation is an error. The rows of
     a stratum are ranked in parts first, so no stratum is one sort.
     """
-    counts = {r[0]: r[1] for r in population.groupBy(stratum).count().collect()}
+    # One stratum more than planned is enough to tell; so no more come to the driver.
+    counts = {r[0]: r[1] for r in population.groupBy(stratum).count().limit(len(allocation) + 1).collect()}
     if unplanned := set(counts) - set(allocation):
         raise ValueError(f"strata with no allocation: {sorted(map(str, unplanned))}")
     taken = {k: min(n, counts.get(k, 0)) for k, n in allocation.items() if n is not None}

@@ -7,16 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ranges of a running total at most.
+MAX_RANGES = 2000
+
+
 def running_total(df: DataFrame, order: str, value: str, name: str, range_rows: int = 100_000) -> DataFrame:
     """Sum of `value` up to each row, by `order` (unique, numeric), over the whole table.
 
     Rows fall into ranges of the order column; the ranges' totals (a small table) are
     summed first, then each range is summed alone from its offset.
     """
-    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
-    ranges = max(1, -(-n // range_rows))
-    width = max(1, ((hi or 0) - (lo or 0)) // ranges + 1)
-    cut = df.withColumn("__r", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("bigint"))
+    n = df.count()
+    ranges = min(max(1, -(-n // range_rows)), MAX_RANGES)
+    # Cut at quantiles, so clustered keys do not fall into one range.
+    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    cut = df.withColumn("__r", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(order))))
     totals = cut.groupBy("__r").agg(F.sum(value).alias("__s"))
     before = W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("__r", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))

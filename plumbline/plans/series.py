@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rules import safe_ratio
+from ..operators.joins import join_facts
 from ..operators.windows import carry_down, running_total
 from ..sources.tables import Tables
 from .registry import query
@@ -16,16 +17,15 @@ C = F.col
 
 @query("SELECT doc_id, CASE WHEN rn > 1 THEN head END AS duplicates FROM (SELECT doc_id, row_number() OVER w AS rn, first_value(doc_id) OVER w AS head FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY doc_id))")
 def win_01_content_dedup(t: Tables) -> DataFrame:
-    """The first of a content hash by an aggregation and a join on the hash: a text that fills a third of all rows is no single window."""
-    d = t.documents.select("doc_id", F.md5("text").alias("k"))
-    head = d.groupBy("k").agg(F.min("doc_id").alias("head"))
-    return d.join(head, "k").select("doc_id", F.when(C("doc_id") > C("head"), C("head")).alias("duplicates"))
+    """The first row of each text, by its hash; null texts are one content. A text that fills a third of all rows meets in no task."""
+    d = join_facts(t.documents.select("doc_id", F.md5("text").alias("k")), ["k"], "head", F.min("doc_id"))
+    return d.select("doc_id", F.when(C("doc_id") > C("head"), C("head")).alias("duplicates"))
 
 
 @query("SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS duplicate_of FROM events")
 def win_02_duplicate_of(t: Tables) -> DataFrame:
-    first = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("duplicate_of"))
-    return t.events.select("event_id", "user_id", "event_type").join(first, ["user_id", "event_type"]).select("event_id", "duplicate_of")
+    rows = t.events.select("event_id", "user_id", "event_type")
+    return join_facts(rows, ["user_id", "event_type"], "duplicate_of", F.min("event_id")).select("event_id", "duplicate_of")
 
 
 @query("SELECT o_orderkey, sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) OVER (ORDER BY o_orderkey)::BIGINT AS balance FROM orders")
