@@ -14,6 +14,15 @@ def mulberry32(seed: int, n: int) -> np.ndarray:
     return ((t ^ (t >> np.uint64(14))) & word).astype(np.float64) / 4294967296.0
 
 
+def mulberry_sql(seed: str, rows: str, keep: str, n: str) -> str:
+    """DuckDB SQL of the n-th draw for each of `rows`: `keep` and draw, in unsigned integer arithmetic."""
+    word = "4294967295::UBIGINT"
+    step = f"SELECT {keep}, (({seed} + {n} * 1831565813) & 4294967295)::UBIGINT AS a FROM ({rows})"
+    one = f"SELECT {keep}, (xor(a, a >> 15) * (a | 1::UBIGINT)) & {word} AS a FROM ({step})"
+    two = f"SELECT {keep}, xor(a, (a + ((xor(a, a >> 7) * (a | 61::UBIGINT)) & {word})) & {word}) AS a FROM ({one})"
+    return f"SELECT {keep}, (xor(a, a >> 14) & {word})::DOUBLE / 4294967296.0 AS draw FROM ({two})"
+
+
 class Mulberry:
     """Draw after draw, in blocks behind the scenes."""
 

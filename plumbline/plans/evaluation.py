@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prng import mulberry_sql
 from ..functions.rules import percent
 from ..operators.joins import multiset_difference
 from ..operators.sampling import cohens_kappa, precision_recall, ratio_estimate, replayed_draw, seeded_order, stratified_sample, stratified_total
@@ -20,7 +21,17 @@ def smp_01_seeded_sample(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey").orderBy(seeded_order(20261010, C("o_orderkey")), "o_orderkey").limit(50)
 
 
-@query()
+REPLAY = f"""WITH RECURSIVE d AS ({mulberry_sql('42', 'SELECT unnest(range(1, 25)) AS n', 'n', 'n')}),
+r(i, l) AS (
+  SELECT 24::BIGINT, list(n_name ORDER BY n_name) FROM nation
+  UNION ALL
+  SELECT r.i - 1, list_transform(r.l, lambda x, k: CASE WHEN k - 1 = r.i THEN r.l[floor(d.draw * (r.i + 1))::BIGINT + 1] WHEN k - 1 = floor(d.draw * (r.i + 1))::BIGINT THEN r.l[r.i + 1] ELSE x END)
+  FROM r JOIN d ON d.n = 25 - r.i WHERE r.i > 0
+)
+SELECT unnest(range(0, 10)) AS pos, unnest(l[1:10]) AS n_name FROM r WHERE i = 0"""
+
+
+@query(REPLAY)
 def smp_01_exact_replay(t: Tables) -> DataFrame:
     """The exact shuffle of a small ordered list (here the 25 nations); tests hold it against step-by-step arithmetic."""
     names = [r[0] for r in t.nation.select("n_name").orderBy("n_name").collect()]
@@ -178,11 +189,19 @@ def evl_07_reproduction(t: Tables) -> DataFrame:
     return j.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'sums' AS check, 0::BIGINT AS broken UNION ALL SELECT 'monotone', 0::BIGINT UNION ALL SELECT 'counts', 0::BIGINT")
+PER_CUSTOMER = """SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus <> 'F') AS o,
+  min(o_totalprice) AS lo, max(o_totalprice) AS hi, max(o_totalprice) > 3 * min(o_totalprice) AS wide FROM orders GROUP BY o_custkey"""
+
+
+@query(
+    f"""SELECT unnest(['sums', 'monotone', 'counts', 'at most nine', 'narrow']) AS check, unnest([count(*) FILTER (WHERE f + o <> n), count(*) FILTER (WHERE lo > hi), count(*) FILTER (WHERE n < 1),
+      count(*) FILTER (WHERE n > 9), count(*) FILTER (WHERE wide)])::BIGINT AS broken FROM ({PER_CUSTOMER})"""
+)
 def evl_08_invariants(t: Tables) -> DataFrame:
-    """Statements about results that no row may break."""
+    """Statements about results that no row may break, and two that rows do break."""
     per = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(C("o_orderstatus") == "F").alias("f"), F.count_if(C("o_orderstatus") != "F").alias("o"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
-    a = per.agg(F.count_if(C("f") + C("o") != C("n")).alias("sums"), F.count_if(C("lo") > C("hi")).alias("monotone"), F.count_if(C("n") < 1).alias("counts"))
+    broken = {"sums": C("f") + C("o") != C("n"), "monotone": C("lo") > C("hi"), "counts": C("n") < 1, "at most nine": C("n") > 9, "narrow": C("hi") > 3 * C("lo")}
+    a = per.agg(*[F.count_if(c).alias(k) for k, c in broken.items()])
     return a.select(F.explode(F.create_map(*[x for c in a.columns for x in (F.lit(c), C(c))])).alias("check", "broken"))
 
 

@@ -195,14 +195,26 @@ def join_21_multiset_difference(t: Tables) -> DataFrame:
     return multiset_difference(side("O"), side("P"), "k")
 
 
-@query("SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+SIGNATURES = "SELECT c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey"
+OTHER_WAY = "SELECT c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 1000 <> 7 UNION ALL SELECT 'NONE', 'X' FROM region"
+
+
+@query(
+    f"""SELECT 'same' AS pair, (SELECT count(*) FROM ({SIGNATURES} EXCEPT ALL {SIGNATURES}))::BIGINT AS missing, (SELECT count(*) FROM ({SIGNATURES} EXCEPT ALL {SIGNATURES}))::BIGINT AS extra
+    UNION ALL SELECT 'changed', (SELECT count(*) FROM (({SIGNATURES}) EXCEPT ALL ({OTHER_WAY})))::BIGINT, (SELECT count(*) FROM (({OTHER_WAY}) EXCEPT ALL ({SIGNATURES})))::BIGINT"""
+)
 def join_22_multiset_equal(t: Tables) -> DataFrame:
-    """Two ways to the same multiset of (segment, status) signatures: exceptAll both ways is empty."""
-    o, c = t.orders.select("o_custkey", "o_orderstatus"), t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    """Multisets of (segment, status) signatures: one made in two ways, and one that lost rows and gained five."""
+    o, c = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     a = o.join(c, "o_custkey").select("c_mktsegment", "o_orderstatus")
-    b = o.groupBy("o_custkey", "o_orderstatus").count().join(c, "o_custkey").select("c_mktsegment", "o_orderstatus", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("i")).drop("i")
-    miss = a.exceptAll(b).agg(F.count(F.lit(1)).alias("missing"))
-    return miss.join(b.exceptAll(a).agg(F.count(F.lit(1)).alias("extra")))
+    counted = o.groupBy("o_custkey", "o_orderstatus").count().join(c, "o_custkey").select("c_mktsegment", "o_orderstatus", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("i")).drop("i")
+    changed = o.filter("o_orderkey % 1000 <> 7").join(c, "o_custkey").select("c_mktsegment", "o_orderstatus").unionByName(t.region.select(F.lit("NONE").alias("c_mktsegment"), F.lit("X").alias("o_orderstatus")))
+    out = None
+    for pair, b in (("same", counted), ("changed", changed)):
+        d = multiset_difference(a, b, "c_mktsegment", "o_orderstatus").agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"), F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
+        d = d.select(F.lit(pair).alias("pair"), "missing", "extra")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @query("SELECT y, x, (y * 10 + x)::BIGINT AS cell FROM range(0, 5) a(y), range(1, 7) b(x)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prng import mulberry_sql
 from ..functions.rules import percent, round_half_up, to_number, unit_number
 from ..sources.tables import Tables
 from .registry import query
@@ -133,7 +134,7 @@ def mth_04_t_distribution(t: Tables) -> DataFrame:
     return x.select("p_partkey", F.round(t_p_value("t", "df"), 9).alias("p"))
 
 
-@query()
+@query(mulberry_sql("p_partkey", "SELECT p_partkey FROM part", "p_partkey", "1"))
 def mth_05_mulberry32(t: Tables) -> DataFrame:
     """One draw of each part's own stream; tests hold the stream against step-by-step arithmetic."""
     from ..functions.prng import mulberry32

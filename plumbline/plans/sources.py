@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prng import mulberry_sql
 from ..sources import files, parsers
 from ..sources.tables import Tables
 from .registry import query
@@ -191,7 +192,13 @@ def gen_03_wide_users(t: Tables) -> DataFrame:
     )
 
 
-@query()
+DRAWS = mulberry_sql("42", "SELECT unnest(range(1, 3001)) AS n", "n", "n")
+
+
+@query(
+    f"""SELECT (n - 1) // 3 AS id, floor(max(draw) FILTER (WHERE n % 3 = 1) * 1000)::INT AS value, max(draw) FILTER (WHERE n % 3 = 2) < 0.5 AS active, floor(max(draw) FILTER (WHERE n % 3 = 0) * 256)::INT AS cell
+    FROM ({DRAWS}) GROUP BY 1"""
+)
 def gen_01_seeded_inputs(t: Tables) -> DataFrame:
     """Items (id, value, active) and a matrix cell per id from one seeded stream; tests hold the stream."""
     from ..functions.prng import mulberry32

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import types as T
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder all executors share."""
+    """A fresh path in the folder all executors share. Only a local master (one machine, as in tests) may go without spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plumbline-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/plumbline/{label}-{uuid.uuid4().hex}"
