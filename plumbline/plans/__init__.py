@@ -1,4 +1,4 @@
 """Registered queries by family; importing a module registers its queries."""
 
-from . import aggregates, detectors, evaluation, joins, relational, scalars, series, simulations, sources, statistics  # noqa: F401
+from . import aggregates, control, detectors, evaluation, joins, relational, scalars, series, simulations, sources, statistics  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.prng import mulberry_sql
@@ -125,6 +126,83 @@ def parse_08_block_text(t: Tables) -> DataFrame:
     return parsers.block_from(t.part.select("p_brand").distinct().withColumn("text", text), "p_brand", "text", "User")
 
 
+TREE = "CASE WHEN n_nationkey % 3 = 0 THEN 'node_modules' WHEN n_nationkey % 3 = 1 THEN 'src' ELSE 'test' END"
+
+
+def tree(t: Tables) -> str:
+    """A folder of a source file a nation, in three folders."""
+    path = files.scratch_path(t.spark, "tree")
+    t.nation.select(F.expr(TREE).alias("dir"), C("n_nationkey").alias("k"), "n_name").write.partitionBy("dir", "k").text(path)
+    return path
+
+
+@query(f"SELECT n_nationkey, n_name AS text FROM nation WHERE {TREE} <> 'node_modules' AND length(n_name) < 9")
+def src_08_source_tree(t: Tables) -> DataFrame:
+    """Folders, extensions and sizes are filtered before a file is read."""
+    found = files.source_tree(t.spark, tree(t), "(txt|js)", "/dir=(node_modules|dist)/", max_bytes=9)
+    return found.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("bigint").alias("n_nationkey"), F.trim(F.col("text"), F.lit("\n")).alias("text"))
+
+
+@query(f"SELECT n_nationkey, {TREE} AS dir FROM nation WHERE {TREE} IN ('src', 'test') AND n_nationkey NOT IN (4, 5)")
+def src_09_glob(t: Tables) -> DataFrame:
+    found = files.glob_scan(t.spark, tree(t), "dir={src,test,dist}/**/*.txt", ["**/k=4/*", "dir=test/k=?/*-none.*", "dir=*/k=5/**"])
+    return found.select(F.regexp_extract("path", r"k=(\d+)/", 1).cast("bigint").alias("n_nationkey"), F.regexp_extract("path", r"^dir=(\w+)/", 1).alias("dir"))
+
+
+@query(
+    """SELECT n_regionkey AS part, page, (n_regionkey % 2)::BIGINT AS retries, n_nationkey AS item FROM (SELECT *, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) // 2 + 1 AS page FROM nation)
+    WHERE NOT (n_regionkey = 3 AND page >= 2)"""
+)
+def src_11_recorded_pages(t: Tables) -> DataFrame:
+    """Two nations a page; odd regions refuse the first attempt, and the second page of region 3 never comes."""
+    page = F.floor((F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1) / 2) + 1
+    bodies = t.nation.withColumn("page", page).groupBy(C("n_regionkey").alias("part"), "page").agg(F.to_json(F.sort_array(F.collect_list("n_nationkey"))).alias("body"))
+    tries = bodies.select("*", F.explode(F.when(C("part") % 2 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("attempt"))
+    refused = (C("part") % 2 == 1) & (C("attempt") == 1) | (C("part") == 3) & (C("page") == 2)
+    responses = tries.withColumn("status", F.when(refused, 429).otherwise(200)).withColumn("body", F.when(~refused, C("body")))
+    return files.replayed_pages(responses, "bigint").select("part", "page", "retries", "item")
+
+
+@query("SELECT s_suppkey, sha1(s_name) AS commit, (1704067200 + s_suppkey * 86400 + CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE -7200 END)::BIGINT AS committed FROM supplier")
+def src_12_log_dates(t: Tables) -> DataFrame:
+    """Commit dates of a log, half of them without a zone; an entry with an unreadable date in between."""
+    day = F.date_format(F.timestamp_seconds(F.lit(1704067200) + C("s_suppkey") * 86400), "EEE MMM d HH:mm:ss yyyy")
+    zone = F.when(C("s_suppkey") % 2 == 0, "").otherwise(" +0200")
+    text = F.concat(F.lit("commit "), F.sha1("s_name"), F.lit("\nAuthor: a <a@example.org>\nDate:   "), day, zone, F.lit("\n\n    commit things\n"), F.lit(f"commit {'0' * 40}\nDate:   unknown\n"))
+    return parsers.log_dates(t.supplier.select("s_suppkey", text.alias("text")), "s_suppkey", "text").filter("committed is not null")
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, CASE WHEN p_size < 10 THEN '' ELSE p_size::VARCHAR END AS p_size, p_brand FROM part")
+def snk_01_tsv(t: Tables) -> DataFrame:
+    """Columns in a fixed order, null as an empty cell."""
+    path = files.scratch_path(t.spark, "tsv")
+    files.write_tsv(t.part.select("p_partkey", F.when(C("p_size") >= 10, C("p_size")).alias("p_size"), "p_brand"), path)
+    return files.read_tsv(t.spark, path, ["p_partkey", "p_size", "p_brand"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS priority FROM orders")
+def snk_04_json_array(t: Tables) -> DataFrame:
+    """JSON arrays written record after record, and read back as such; files without records are empty arrays."""
+    path = files.scratch_path(t.spark, "json")
+    rows = t.orders.select("o_orderkey", F.when(C("o_orderstatus") != "F", C("o_orderpriority")).alias("priority"))
+    files.write_json_arrays(rows.repartition(4).unionByName(rows.limit(0)), path)
+    return files.read_json_arrays(t.spark, path, "o_orderkey bigint, priority string")
+
+
+@query(
+    """SELECT n_nationkey, 'people' AS "table", 'CREATE TYPE "Role" AS ENUM (''ADMIN'', ''member'');' || chr(10) || 'CREATE TABLE "people" ("id" ' || CASE WHEN n_nationkey % 2 = 0 THEN 'uuid' ELSE 'integer' END
+      || ' NOT NULL PRIMARY KEY, "full_name" text, "role" "Role" NOT NULL);' AS ddl FROM nation"""
+)
+def parse_04_typed_ddl(t: Tables) -> DataFrame:
+    """Scalar and enum columns with their mapped names; lists and relations are no columns."""
+    key = F.when(C("n_nationkey") % 2 == 0, "String @id @db.Uuid").otherwise("Int @id")
+    text = F.concat(
+        F.lit('enum Role {\n  ADMIN\n  MEMBER @map("member") // lower\n}\nenum Unused {\n  X\n}\nmodel Other {\n  id Int @id\n}\nmodel Person {\n  id '), key,
+        F.lit('\n  name String? @map("full_name")\n  role Role // as above\n  tags String[]\n  other Other @relation(fields: [id], references: [id])\n  @@map("people")\n}\n'),
+    )
+    return parsers.typed_tables(t.nation.select("n_nationkey", text.alias("text")), "n_nationkey", "text", "Person").select("n_nationkey", "table", "ddl")
+
+
 @query("SELECT doc_id::VARCHAR AS doc_id, regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') AS text FROM documents")
 def snk_02_clean_tsv(t: Tables) -> DataFrame:
     path = files.scratch_path(t.spark, "tsv")

@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +70,38 @@ def source_tree(spark: SparkSession, path: str, extensions: str = "(js|ts|py)",
     return kept.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def glob_regex(pattern: str) -> str:
+    """A glob over relative paths as a regular expression: ** any folders, * and ? within a name, {a,b} either."""
+    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
+    return "".join(parts.get(x) or re.escape(x) for x in re.split(r"(\*\*/|\*\*|[*?{},])", pattern) if x)
+
+
+def glob_scan(spark: SparkSession, path: str, pattern: str, ignore: list[str] | None = None) -> DataFrame:
+    """path (relative) and text of the files that match a glob and none of `ignore`; others are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    below = F.element_at(F.split("path", re.escape(path.rstrip("/").rpartition("/")[2] + "/"), 2), 2)
+    kept = files.withColumn("path", below).filter(F.col("path").rlike(f"^{glob_regex(pattern)}$"))
+    for g in ignore or []:
+        kept = kept.filter(~F.col("path").rlike(f"^{glob_regex(g)}$"))
+    return kept.select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def replayed_pages(responses: DataFrame, item: str) -> DataFrame:
+    """Items of a paged service from its recorded responses (part, page, attempt, status, body): part, page, retries and the item.
+
+    A page's body is that of its first good answer; refused and failed attempts (429 and 5xx) are retries.
+    A part ends before its first page without a good answer, so what lies behind a gap is not reached.
+    """
+    good = F.col("status") == 200
+    pages = responses.groupBy("part", "page").agg(
+        F.min_by(F.when(good, F.col("body")), F.when(good, F.col("attempt"))).alias("body"), F.count_if(good).alias("n"), F.count_if((F.col("status") == 429) | (F.col("status") >= 500)).alias("retries")
+    )
+    answered = pages.filter("n > 0")
+    reached = W.partitionBy("part").orderBy("page")
+    run = answered.withColumn("__at", F.row_number().over(reached)).filter(F.col("__at") == F.col("page"))
+    return run.select("part", "page", "retries", F.explode(F.from_json("body", f"array<{item}>")).alias("item"))
+
+
 def local_or_remote(wanted: DataFrame, local: DataFrame, remote: DataFrame, key: str, value: str) -> DataFrame:
     """The local copy where there is one, else the remote."""
     j = wanted.join(local.withColumnRenamed(value, "__l"), key, "left").join(remote.withColumnRenamed(value, "__r"), key, "left")
@@ -88,6 +122,20 @@ def append_missing(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Files that each are one JSON array, written record after record; a task holds a batch, never its file."""
+
+    def run(batches):
+        opened = False
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([("," if opened or k else "[") + row for k, row in enumerate(rows)], pa.string())], names=["value"])
+            opened |= bool(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if opened else "[]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """All cells quoted, quotes doubled."""
     df.write.csv(path, header=True, quoteAll=True, escape='"')

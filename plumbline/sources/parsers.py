@@ -83,6 +83,68 @@ def model_schema(text: str, model: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.ArrayType(kind(t)) if many else kind(t), bool(opt)) for n, t, many, opt, *_ in block[2] if kind(t)])
 
 
+#: Column types of schema scalar types in DDL.
+DDL_TYPES = {"Int": "integer", "String": "text", "Boolean": "boolean", "DateTime": "timestamp(3)", "Json": "jsonb", "BigInt": "bigint", "Float": "double precision"}
+MAPPED = re.compile(r"""@map\((?:name:\s*)?"([^"]+)"\)""")
+TYPED_SCHEMA = "table: string, columns: array<struct<name: string, type: string, nullable: boolean, primary: boolean>>, enums: array<struct<name: string, labels: array<string>>>"
+
+
+def parse_enums(text: str) -> dict[str, list[str]]:
+    """Labels of each enum block, by their mapped names."""
+    out: dict[str, list[str]] = {}
+    labels = None
+    for raw in text.splitlines():
+        line = raw.split("//")[0].strip()
+        if m := re.match(r"enum\s+(\w+)\s*\{$", line):
+            labels = out.setdefault(m[1], [])
+        elif line.startswith("}"):
+            labels = None
+        elif labels is not None and line and not line.startswith("@@"):
+            mapped = MAPPED.search(line)
+            labels.append(mapped[1] if mapped else line.split()[0])
+    return out
+
+
+def typed_table(text: str | None, model: str) -> tuple | None:
+    """A model as a typed table: its mapped name, scalar and enum columns (lists and relations are none), and the enums they use."""
+    enums, inside, table, columns = parse_enums(text or ""), False, model, []
+    for raw in (text or "").splitlines():
+        line = raw.split("//")[0].strip()
+        if re.match(rf"model\s+{re.escape(model)}\s*\{{$", line):
+            inside = True
+        elif inside and line.startswith("}"):
+            used = [(name, enums[name]) for name in dict.fromkeys(kind for *_, kind, _ in columns if kind in enums)]
+            quoted = [(n, f'"{kind}"' if kind in enums else kind, null, primary) for n, null, primary, kind, _ in columns]
+            return table, quoted, used
+        elif inside and line.startswith("@@map"):
+            table = re.search(r'"([^"]+)"', line)[1]
+        elif inside and not line.startswith("@@") and (m := FIELD.match(line)) and not m[3]:
+            kind = m[2] if m[2] in enums else "uuid" if "@db.Uuid" in m[5] and m[2] in DDL_TYPES else DDL_TYPES.get(m[2])
+            if kind:
+                mapped = MAPPED.search(m[5])
+                columns.append((mapped[1] if mapped else m[1], bool(m[4]), bool(re.search(r"@id\b", m[5])), kind, None))
+    return None
+
+
+def typed_tables(docs: DataFrame, key: str, text: str, model: str) -> DataFrame:
+    """key, table, columns, enums and the DDL of a model of every schema text; texts without the model have no row."""
+    parse = F.udf(lambda t: typed_table(t, model), f"struct<{TYPED_SCHEMA}>")
+    found = docs.select(key, parse(text).alias("t")).filter("t is not null").select(key, "t.*")
+    column = lambda c: F.concat(F.lit('"'), c["name"], F.lit('" '), c["type"], F.when(c["nullable"], "").otherwise(" NOT NULL"), F.when(c["primary"], " PRIMARY KEY").otherwise(""))
+    kinds = lambda e: F.concat(F.lit('CREATE TYPE "'), e["name"], F.lit("\" AS ENUM ('"), F.array_join(e["labels"], "', '"), F.lit("');"))
+    create = F.concat(F.lit('CREATE TABLE "'), F.col("table"), F.lit('" ('), F.array_join(F.transform("columns", column), ", "), F.lit(");"))
+    return found.withColumn("ddl", F.array_join(F.concat(F.transform("enums", kinds), F.array(create)), "\n"))
+
+
+def log_dates(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """commit and committed (UTC seconds) of every entry of a git log text; dates with or without a zone."""
+    entry = F.expr(rf"regexp_extract_all(`{text}`, '(?m)^commit [0-9a-f]{{40}}[^\n]*(?:\n(?!commit )[^\n]*)*', 0)")
+    rows = docs.select(key, F.explode(entry).alias("e"))
+    date = F.regexp_extract("e", r"(?m)^Date:\s+\w{3} (\w{3} \d{1,2} \d\d:\d\d:\d\d \d{4}(?: [+-]\d{4})?)", 1)
+    zoned = F.when(date.rlike(r"[+-]\d{4}$"), date).otherwise(F.concat(date, F.lit(" +0000")))
+    return rows.select(key, F.regexp_extract("e", r"^commit ([0-9a-f]{40})", 1).alias("commit"), F.unix_timestamp(F.try_to_timestamp(zoned, F.lit("MMM d HH:mm:ss yyyy Z"))).alias("committed"))
+
+
 def datasource_settings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """provider and relationMode of a datasource block, comments stripped first."""
     clean = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
