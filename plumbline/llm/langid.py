@@ -89,11 +89,14 @@ def words_of(texts: list[str | None]) -> Words:
     letter = (kind == 1) | (kind == 2)
     solid = letter | (kind == 6)
     start, end = runs(solid)
-    lettered = np.add.reduceat(letter, start) > 0 if len(start) else np.zeros(0, dtype=bool)
-    solid[np.flatnonzero(solid)[~np.repeat(lettered, end - start)]] = False  # marks alone are no word
-    start, end = start[lettered], end[lettered]
-    at_letter = np.flatnonzero(letter)
-    opens = at_letter[np.searchsorted(at_letter, start)]
+    opens = start
+    if len(start) and not letter[start].all():  # some runs begin with a mark
+        lettered = np.logical_or.reduceat(letter, start)
+        for a, b in zip(start[~lettered].tolist(), end[~lettered].tolist(), strict=True):
+            solid[a:b] = False  # marks alone are no word
+        start, end = start[lettered], end[lettered]
+        at_letter = np.flatnonzero(letter)
+        opens = at_letter[np.searchsorted(at_letter, start)]
     letter = solid
     low = np.where(letter, tables["lower"][codes], 0).astype(np.uint32)
     before, after = np.concatenate(([0], low[:-1])).astype(np.uint32), np.concatenate((low[1:], [0])).astype(np.uint32)
@@ -151,7 +154,7 @@ def opening_bonus(labelled: list[tuple[str | None, str]], m: Model) -> float:
         return 0.0
     right: dict[float, int] = {}
     grid = [k / 20 for k in range(20)]
-    for a, b in slices([len(t or "") for t, _ in rows]):
+    for a, b in slices([len(t or "") for t, _ in rows], 1 << 19):
         shares, opening, _ = shares_of(words_of([t for t, _ in rows[a:b]]), m, b - a)
         y = np.array([m.languages.index(x) for _, x in rows[a:b]])
         some = shares.sum(axis=1) > 0
