@@ -156,3 +156,50 @@ def test_plans_are_the_wanted_ones(spark, sf):
     assert "LeftSemi" in plan("flt_04_in_computed_set")
     assert "Cartesian" not in plan("join_05_correlated") and "NestedLoop" not in plan("join_17_suffix")
     assert json.dumps(plan("agg_02_grouping_sets")).count("Scan parquet") <= 2
+
+
+def test_ranged_percentiles_match_sorted_values(spark):
+    """Null and hot keys, repeated values, few and many values; any number of ranges."""
+    import math
+    import random
+
+    r = random.Random(3)
+    data = {None: [r.choice([1.0, 2.0, 5.0]) for _ in range(900)], "a": [r.random() for _ in range(500)], "b": [7.0], "c": [1.0, None, 3.0], "d": [None]}
+    rows = [(k, v) for k, vs in data.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double")
+    wanted = [(0.5, "interp", "mid"), (0.95, "floor", "p95f"), (0.95, "nearest", "p95n")]
+
+    def plain(values):
+        s = sorted(v for v in values if v is not None)
+        n, pos = len(s), (len(s) - 1) * 0.5
+        low, high = s[math.floor(pos)], s[math.ceil(pos)]
+        return (low + (high - low) * (pos - math.floor(pos)), s[min(math.floor(n * 0.95), n - 1)], s[max(math.ceil(n * 0.95) - 1, 0)])
+
+    want = {k: plain(vs) for k, vs in data.items() if k != "d"}
+    for ranges in (2, 7, 64):
+        got = {x["k"]: (x["mid"], x["p95f"], x["p95n"]) for x in stats.percentiles(df, ["k"], "v", wanted, ranges).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+    assert stats.percentiles(df, [], "v", wanted).first()["mid"] == pytest.approx(plain([v for vs in data.values() for v in vs])[0])
+    totals = df.groupBy("k").count()
+    assert {x["k"]: x["mid"] for x in stats.with_percentiles(totals, df, ["k"], "v", wanted).collect()} == {**{k: pytest.approx(v[0]) for k, v in want.items()}, "d": None}
+
+
+def test_group_facts_keep_null_and_hot_keys(spark):
+    from plumbline.operators.joins import join_facts
+
+    rows = [(None, 1), (None, 2)] + [("hot", i) for i in range(3, 5000)] + [(str(i), i) for i in range(5000, 5100)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = {(x["k"], x["v"]): x["least"] for x in join_facts(df, ["k"], "least", F.min("v")).collect()}
+    assert got == {(k, v): 1 if k is None else 3 if k == "hot" else v for k, v in rows}
+
+
+def test_running_total_of_clustered_keys(spark):
+    from plumbline.operators.windows import running_total
+
+    keys = list(range(2000)) + [10**12 + 7 * i for i in range(500)]
+    df = spark.createDataFrame([(k, k % 5) for k in keys], "k long, v int")
+    total, want = 0, {}
+    for k in sorted(keys):
+        total += k % 5
+        want[k] = total
+    assert {r["k"]: r["s"] for r in running_total(df, "k", "v", "s", range_rows=100).collect()} == want

@@ -64,12 +64,74 @@ def test_detectors_on_awkward_sources(spark):
     for detect in (D.blocking_calls, D.ui_leaks, D.js_loops, D.python_loops, D.resource_calls, D.bundle_bloat, D.dom_patterns, D.payload_patterns, D.redos_patterns, D.cache_calls, D.query_fields, D.entity_columns):
         for text in ("", "(", "{{{", "for (", "'", "/*", "for (const a of b", "@Entity() class A", "[" * 50, "(?P<", "é" * 10):
             assert isinstance(detect(text), list)
-    d = spark.createDataFrame([(1, None), (2, ""), (3, "x" * (D.MAX_BYTES + 1)), (4, "fs.readFileSync(a)")], "k int, t string")
-    assert [r["k"] for r in D.findings(d, "k", "t", D.blocking_calls).collect()] == [4]
-    assert D.redos_class("(a+)+$")[1] == "nested_quantifiers" and D.redos_class("(") is None
+    large = "const x = 1;\n" * 400_000 + "fs.statSync(a)"
+    d = spark.createDataFrame([(1, None), (2, ""), (3, large), (4, "fs.readFileSync(a)")], "k int, t string")
+    assert [(r["k"], r["line"]) for r in D.findings(d, "k", "t", D.blocking_calls).orderBy("k").collect()] == [(3, 400_001), (4, 1)]
+    assert D.redos_class("(a+)+$")[1] == D.redos_class("(?<n>a+)+")[1] == "nested_quantifiers" and D.redos_class("(")[1] == "unreadable_pattern"
+    assert D.redos_class("(ab|cd)") is None and D.redos_class("(ab|cd)", compat=True)[1] == D.redos_class("(a|b)", compat=True)[1] == "overlapping_alternatives"
     assert [f[1] for f in D.python_loops("for a in b:\n for c in d:\n  for e in f: pass")] == ["nested-loops", "nested-loops"]
 
 
+def test_python_loops_names_and_depth():
+    source = "for a in b:\n  re.escape(a)\n  re.match(a, b)\n  compile(a)\n  x.compile(a)\n  json.dumps(a)\n  y = [json.loads(c) for c in a]\nre.match(a, b)\n"
+    assert [f[:2] for f in D.python_loops(source)] == [(3, "regex-in-loop"), (4, "regex-in-loop"), (7, "json-parse-in-loop"), (7, "nested-comprehension")]
+    assert D.python_loops("x = " + "+".join(["1"] * 1500)) == []
+
+
+def test_detectors_on_multi_line_sources():
+    """Real-looking sources: what is in comments, strings and other functions does not count."""
+    js = """// fs.readFileSync(a)
+import moment from 'moment';
+import { a,
+  b } from '@mui/material';
+const s = "for (const x of y) { JSON.parse(z) }";
+function load(paths) {
+  for (const p of paths) {
+    /* fs.statSync(p) */
+    if (fs.existsSync(p)) {
+      const t = JSON.parse(read(p));
+    }
+  }
+  const c = pool.getConnection();
+  return c.query(q);
+}
+function save(c) { c.release(); }
+items.filter(x => ok(x, [1])).map(y => y);
+"""
+    assert [f[:3] for f in D.blocking_calls(js)] == [(9, "blocking_file", "loop")]
+    assert [f[:2] for f in D.js_loops(js)] == [(10, "json-parse-in-loop"), (17, "chained-array-methods")]
+    assert [f[:2] for f in D.bundle_bloat(js)] == [(2, "moment_import"), (3, "barrel_import")]
+    calls = {(f[0], f[1], f[3].split(":")[1]): f[3].split(":")[0] for f in D.resource_calls(js)}
+    assert calls[(13, "unclosed_connection", "acquire")] != calls[(16, "unclosed_connection", "release")]
+
+
+def test_detectors_are_linear():
+    import time
+
+    for part in ("for (const a of x) { f(a); }\n", "/*", '"', "import ", "\n", "function ", "x.map(", "{(["):
+        for detect in D.RULES.values():
+            took = []
+            for n in (4000, 16_000):
+                began = time.process_time()
+                detect(part * n)
+                took.append(time.process_time() - began)
+            assert took[1] < 8 * took[0] + 1, (part, detect.__name__)
+
+
+def test_rules_are_registered_once():
+    D.register_rule("own", lambda text: [(1, "own", "low", text)])
+    with pytest.raises(ValueError, match="twice"):
+        D.register_rule("own", lambda text: [])
+    del D.RULES["own"]
+
+
+def test_globs():
+    import re
+
+    fits = lambda g, p: bool(re.fullmatch(files.glob_regex(g), p))
+    assert fits("**/*.ts", "a.ts") and fits("**/*.ts", "x/y/a.ts") and not fits("*.ts", "x/a.ts") and fits("src/{a,b}.t?", "src/b.ts") and not fits("a.ts", "aXts")
+
+
 def test_streams_match_batch(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "events"))
