@@ -231,7 +231,9 @@ def st_14_bootstrap(t: Tables) -> DataFrame:
     sizes = s.groupBy("module").agg(F.count(F.lit(1)).alias("c"))
     if (sizes.agg(F.sum("c")).first()[0] or 0) <= BROADCAST_POINTS:
         points = F.broadcast(points)
-    runs = sizes.select("module", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(B - 1).cast("bigint"))).alias("i")).repartition("module", "i")
+    # Few rows that become many: a number keeps adaptive execution from merging their tasks.
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.spark.sparkContext.defaultParallelism)
+    runs = sizes.select("module", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(B - 1).cast("bigint"))).alias("i")).repartition(parts, "module", "i")
     draws = runs.select("module", "c", "i", F.explode(F.sequence(F.lit(0).cast("bigint"), C("c") - 1)).alias("j")).select("module", "i", F.expr(drawn("module", "i", "j", "c")).alias("pos"))
     slopes = draws.join(points, ["module", "pos"]).groupBy("module", "i").agg(F.regr_slope("y", "x").alias("b"))
     ci = stats.percentile_floor(slopes, ["module"], "b", [(0.025, "lo"), (0.975, "hi")])
