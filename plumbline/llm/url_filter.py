@@ -3,7 +3,9 @@
 Each URL is expanded into the expressions `host suffix + path prefix` that a
 rule could have, the SHA-256 digest of each is cut to a 32-bit prefix, and an
 equi-join on that prefix finds the rules that may match; the full digest
-confirms, and precedence (longest rule) decides.
+confirms, and precedence (longest rule) decides. The host suffixes meet the
+hosts of rules first, in the same way; only a host that has rules is expanded,
+by the path lengths that its own rules have.
 
 Shape at scale: the expansion and the join run before any shuffle (rules are
 broadcast while their counted number stays within `broadcast_rules`; beyond it
@@ -42,6 +44,7 @@ def digested_rules(rules: DataFrame) -> DataFrame:
         text.alias("__rule"),
         F.col("verdict").alias("__verdict"),
         F.sha2(text, 256).alias("__digest"),
+        ascii_lower(F.col("host")).alias("__host"),
         F.size(F.split("host", r"\.")).alias("__labels"),
         F.length(F.coalesce(F.col("path"), F.lit(""))).alias("__plen"),
         (F.length("host")).alias("__hlen"),
@@ -68,10 +71,8 @@ def filter_urls(
     leaves `default` everywhere.
     """
     digested = digested_rules(rules)
-    # One row of bounds: only expressions that some rule could have are expanded.
-    bound = digested.agg(
-        F.max("__labels").alias("labels"), F.collect_set("__plen").alias("plens"), F.count(F.lit(1)).alias("n")
-    ).first()
+    # One row of bounds: no suffix longer than the longest host of a rule is expanded.
+    bound = digested.agg(F.max("__labels").alias("labels"), F.count(F.lit(1)).alias("n")).first()
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parsed = pages.select(*[F.col(f"`{c}`") for c in keep], url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     if not bound["n"]:
@@ -82,18 +83,24 @@ def filter_urls(
         F.sequence(F.greatest(F.lit(1), F.size(labels) - F.lit(bound["labels"]) + 1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
-    plens = F.array(*[F.lit(n) for n in sorted(bound["plens"])])
-    prefixes = F.transform(F.filter(plens, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    prefixes = F.transform(F.filter("__plens", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    # The lengths of one host are at most those of its longest path, and few.
+    hosts = digested.groupBy(F.sha2("__host", 256).alias("__host_digest")).agg(F.collect_set("__plen").alias("__plens"))
+    hosts = hosts.withColumn("__host_prefix", F.substring("__host_digest", 1, 8))
+    small = digested.select("__prefix", "__digest", "__rule", "__verdict", "__hlen")
+    if bound["n"] <= broadcast_rules:
+        hosts, small = F.broadcast(hosts), F.broadcast(small)
     expressions = (
         parsed.where(F.col("host") != "")
         .select("host", "path", F.explode(suffixes).alias("__s"))
+        .withColumn("__host_full", F.sha2("__s", 256))
+        .withColumn("__host_prefix", F.substring("__host_full", 1, 8))
+        .join(hosts, "__host_prefix")
+        .where(F.col("__host_full") == F.col("__host_digest"))
         .select("host", "path", "__s", F.explode(prefixes).alias("__p"))
         .select("host", "path", F.sha2(F.concat("__s", "__p"), 256).alias("__full"))
         .withColumn("__prefix", F.substring("__full", 1, 8))
     )
-    small = digested.select("__prefix", "__digest", "__rule", "__verdict", "__hlen")
-    if bound["n"] <= broadcast_rules:
-        small = F.broadcast(small)
     rank = F.struct(F.length("__rule"), F.col("__hlen"), F.when(F.col("__verdict") == "allow", 1).otherwise(0), F.col("__rule"))
     decisions = (
         expressions.join(small, "__prefix")
