@@ -11,7 +11,10 @@ Shape at scale: the texts are read once and only (id, source, size, key) goes
 on, through a written table. The prefix sum of a source is not made in one task: keys fall
 into about equal ranges of `BUCKET_ROWS` rows, whose totals are summed first
 (a table of rows / BUCKET_ROWS), then each range is summed alone from its
-offset. A source with a third of all rows is as many tasks as it needs.
+offset. A source with a third of all rows is as many tasks as it needs. Rows of
+one id, source, size and key are the same to the mix, so they fold into one row
+with their number of copies, on the map side, and are dealt out again after the
+sums: a key that a third of all rows share (null ids, say) is no task of its own.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ BROADCAST_SOURCES = 100_000
 #: Characters that prose has few of; their share lowers a document's weight.
 ODD = "!#$%&*|<>{}[]\\^~@=+_/0123456789"
 MIN_WEIGHT = 0.05
+#: Rows that one task deals out, about, where copies are many.
+ROWS_PER_TASK = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -99,25 +104,41 @@ def mix(
     )
     # A key without nulls, so that the window and the join share one partitioning.
     raw = raw.withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    own = written(raw.withColumn("es_key", -F.ln(uniform(F.col("id"), F.col("size"))) / F.col("w")).drop("w"), "sizes")
+    keyed = raw.withColumn("es_key", -F.ln(uniform(F.col("id"), F.col("size"))) / F.col("w"))
+    own = written(keyed.groupBy("skey", "source", "id", "size", "es_key").agg(F.count(F.lit(1)).alias("copies")), "sizes")
     totals = own.groupBy("skey", "source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("es_key").alias("mean")
+        F.sum(F.col("size") * F.col("copies")).alias("source_size"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg("es_key").alias("mean"),
+        F.sum("copies").alias("n_rows"),
+        F.max("copies").alias("most"),
     )
     plan = written(fill_targets(cycle_weights(totals, weights), share, cap), "targets").drop("source")
-    if plan.count() <= BROADCAST_SOURCES:
+    facts = plan.agg(F.count(F.lit(1)).alias("sources"), F.sum("n_rows").alias("rows"), F.max("most").alias("most")).first()
+    plan = plan.drop("n_rows", "most")
+    if facts["sources"] <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
+    # Many copies are cut into parts, so that the copies of a part are few enough for one array.
+    many = (facts["most"] or 0) > BUCKET_ROWS
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / BUCKET_ROWS).cast("int"))) if many else F.lit(0))
+    own = own.withColumn("copies", F.least(F.lit(BUCKET_ROWS).cast("bigint"), F.col("copies") - F.col("part").cast("bigint") * BUCKET_ROWS))
     # Exponential keys made about uniform; any monotone cut gives the same sums.
     keyed = own.join(plan, "skey").withColumn(
         "bucket", F.floor(F.ceil(F.col("n") / BUCKET_ROWS) * (1 - F.exp(-F.col("es_key") / F.greatest(F.col("mean"), F.lit(1e-12)))))
     )
+    words = F.sum(F.col("size") * F.col("copies"))
     before = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("skey", "bucket")
-        .agg(F.sum("size").alias("words"))
+        .agg(words.alias("words"))
         .select("skey", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     )
-    inside = W.partitionBy("skey", "bucket").orderBy("es_key", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    summed = keyed.withColumn("__own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "bucket"])
+    inside = W.partitionBy("skey", "bucket").orderBy("es_key", F.col("id").asc_nulls_first(), "size", "part").rowsBetween(W.unboundedPreceding, -1)
+    summed = keyed.withColumn("__own", F.coalesce(words.over(inside), F.lit(0))).join(offsets, ["skey", "bucket"])
+    if many:
+        summed = summed.repartition(max(1, facts["rows"] // ROWS_PER_TASK), "skey", "id", "size", "es_key", "part")
+    summed = summed.withColumn("__copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    summed = summed.withColumn("__own", F.col("__own") + F.col("__copy") * F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     rest = F.col("target") - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(rest).cast("bigint") - F.col("offset") - F.col("__own")))

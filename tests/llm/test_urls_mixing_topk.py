@@ -105,6 +105,41 @@ def test_mixing_ranges_do_not_change_sums(spark, sf, monkeypatch):
     assert sorted((r["id"], r["taken"]) for r in m.mix(docs).collect()) == whole
 
 
+def test_mixing_of_many_copies(spark, monkeypatch):
+    """Null ids and repeated rows share one key: most rows of a source are one range, cut into parts and dealt out again."""
+    import plumbline.llm.mixing as m
+
+    monkeypatch.setattr(m, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(m, "ROWS_PER_TASK", 50)
+    rows = [(None, "a", "one two three")] * 300 + [(i % 9, "a", "x " * (i % 5)) for i in range(90)] + [(1, "b", None)] * 40 + [(2, "b", "y y")] * 200
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    plan = m.mix(docs).collect()
+    assert len(plan) == len(rows)
+    check_mix(plan)
+    full = [r for r in plan if r["id"] is None and r["taken"] - r["epochs"] * 3 == 3]
+    assert len([r for r in plan if r["id"] is None]) == 300 and len(full) > 7
+    again = m.mix(docs.repartition(11)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, plan))
+
+
+def test_rules_of_one_host_do_not_expand_others(spark):
+    """Hosts with rules of many path lengths, subdomains with rules of their own, and a rule for a host that no url has."""
+    r = random.Random(4)
+    hosts = ["a.com", "b.a.com", "c.org", "d.c.org", "unseen.net"]
+    rules = list({(h, "/" + "".join(r.choice("xy/") for _ in range(r.randrange(6))), r.choice(["allow", "block"])) for h in hosts for _ in range(8)})
+    urls = ["http://" + r.choice(["", "w.", "b.", "d."]) + r.choice(["a.com", "c.org", "e.com"]) + "/" + "".join(r.choice("xy/") for _ in range(r.randrange(8))) for _ in range(300)]
+
+    def plain(host, path):
+        fits = [(len(h + p), len(h), v == "allow", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[3:] if fits else (None, "allow")
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    for limit in (1000, 0):
+        got = filter_urls(pages, spark.createDataFrame(rules, RULES), broadcast_rules=limit).collect()
+        assert len(got) == len(urls)
+        assert all((g["rule"], g["verdict"]) == plain(g["host"], g["path"]) for g in got)
+
+
 def brute_topk(qids, q, ids, x, k):
     out = []
     for i, row in zip(qids, q, strict=True):
