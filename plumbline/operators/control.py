@@ -70,6 +70,26 @@ def exchanges(df: DataFrame) -> int:
     return str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
 
 
+def retention(spark: SparkSession, make: Callable[[int], DataFrame], cycles: int, clean: bool) -> list[int]:
+    """Cached tables beyond those of before, after each cycle of mounting one (cached and read) and, if clean, unmounting it.
+
+    What a leaking cycle leaves is released at the end.
+    """
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, mounted, out = held(), [], []
+    try:
+        for k in range(cycles):
+            mounted.append(make(k).persist())
+            mounted[-1].count()
+            if clean:
+                mounted.pop().unpersist(blocking=True)
+            out.append(held() - before)
+        return out
+    finally:
+        for frame in mounted:
+            frame.unpersist(blocking=True)
+
+
 #: What the helper process runs: a JSON line [pattern, input] in, a JSON line (matched, or null for an unreadable pattern) out.
 HELPER = """
 import json, re, sys

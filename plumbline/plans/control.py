@@ -79,6 +79,14 @@ def ctl_05_timeouts(t: Tables) -> DataFrame:
     return rows.join(control.timed_matches(rows, "pattern", "input", 1.0), ["pattern", "input"]).select("p_partkey", "timed_out", "matched")
 
 
+@query("SELECT scenario, cycle::INT AS cycle, CASE scenario WHEN 'leaking' THEN cycle + 1 ELSE 0 END::INT AS retained FROM (SELECT unnest(['leaking', 'clean']) AS scenario), range(5) r(cycle)")
+def ctl_06_retention(t: Tables) -> DataFrame:
+    """What mount and unmount cycles leave behind: cached tables of a job that releases them, and of one that does not."""
+    make = lambda k: t.customer.filter(C("c_nationkey") == k).select("c_custkey")
+    rows = [(name, k, n) for name, clean in (("leaking", False), ("clean", True)) for k, n in enumerate(control.retention(t.spark, make, 5, clean))]
+    return t.spark.createDataFrame(rows, "scenario string, cycle int, retained int")
+
+
 @query("SELECT p_partkey, ['gone', 'still', 'misplaced', 'gone'][p_partkey % 4 + 1] AS verdict FROM part")
 def det_19_fix_verification(t: Tables) -> DataFrame:
     """A suggestion is good if the finding it is for is gone after it."""

@@ -132,6 +132,30 @@ def test_published_simulator_cells(interval, leak, rate):
     assert simulate(FD | {"interval": interval, "leak": leak})["failure_rate"] == rate
 
 
+#: Published cells, one row (y) of a grid over its leak probabilities (x).
+PUBLISHED = [
+    ("stream", "leak-x-workers", "50", "exhausted_at", [None, None, None, 20333, 10338, 5130]),
+    ("stream", "leak-x-workers", "10", "leaked", [0, 45, 85, 276, 594, 1024]),
+    ("stream", "leak-x-workers", "20", "heap_growth", [0, 6488064, 11337728, 30932992, 64749568, 67108864]),
+    ("socket", "leak-x-workers", "1", "failure_rate", [0, 0, 0, 0, 0.14333333333333334, 0.48833333333333334]),
+    ("socket", "leak-x-workers", "20", "exhausted_at", [None, 12036, 6441, 2346, 1050, 675]),
+    ("socket", "leak-x-workers", "50", "throughput", [990.3333333333334, 207.96666666666667, 117.06666666666666, 38.3, 17.133333333333333, 10.233333333333333]),
+    ("timer", "leak-x-rate", "20", "leaked", [0, 8, 12, 32, 65, 117]),
+    ("timer", "leak-x-rate", "50", "callbacks", [6755, 6913, 7028, 7511, 8270, 9581]),
+    ("listener", "leak-x-listeners", "2", "exhausted_at", [None, None, 13900, 6400, 2000, 1000, 500]),
+    ("listener", "leak-x-listeners", "10", "callbacks", [0, 4047, 22527, 46054, 89274, 222703, 448500]),
+    ("listener", "leak-x-listeners", "5", "heap_growth", [0, 32768, 299008, 626688, 1204224, 2981888, 6144000]),
+]
+
+
+@pytest.mark.parametrize(("kind", "case", "y", "metric", "row"), PUBLISHED)
+def test_published_grid_rows(kind, case, y, metric, row):
+    from plumbline.plans.simulations import GRIDS
+
+    cells = [c for c in GRIDS[kind] if c["case"] == case and c["y"] == y]
+    assert [simulate(c)[metric] for c in cells] == row
+
+
 def test_simulator_invariants():
     for kind in ("pool", "socket", "fd", "stream"):
         r = simulate({"kind": kind, "leak": 0.05, "error": 0.1, "leak_on_error": True, "interval": 5.0, "item_bytes": 1000.0})
