@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def shared_root(spark: SparkSession) -> str:
 _PATH = "_plumbline_path"
 
 
-def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write `df` to the shared folder as Parquet (a folder for each value of `by`) and read it back.
 
     The table survives the loss of any executor. An empty frame stays readable
@@ -48,7 +49,7 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
     return out
@@ -58,9 +59,19 @@ def discard(*tables: DataFrame) -> None:
     """Remove written tables that no result reads any more; others are left alone."""
     for t in tables:
         if path := getattr(t, _PATH, None):
-            context = t.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            delete_path(t.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, wherever Spark can reach it."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The store of a folder and its path there, for tasks that stream a file of their own; the folder is one that all executors share."""
+    return pa.fs.FileSystem.from_uri(path if "://" in path else re.sub("^file:/*", "/", path))
 
 
 #: A key that holds over one in HEAVY of all rows is joined by broadcast; there are fewer than HEAVY such keys.

@@ -15,6 +15,7 @@ from .mixing import mix
 from .quality import score_quality
 from .secrets import KINDS, find_secrets
 from .simhash import near_duplicates
+from .token_files import new_folder, read_token_files, write_token_files
 from .toxicity import score_toxicity
 from .topk import integer_vectors, top_k
 from .url_filter import filter_urls
@@ -113,10 +114,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(v.where(F.col("id") % 50 == 0), v)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, folder = read_table(spark, sf_dir, "documents").select("doc_id", "text"), new_folder(spark, "token-files")
+    write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_toxicity, op3_url_filters, op4_mixing, op5_secret_scans, op6_quality, op7_language_id, op8_simhash, op9_decontamination, op10_topk,
+        op11_token_files,
     )
 }
 

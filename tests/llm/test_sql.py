@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_simhash": ["doc_id", "fingerprint", "component_id"],
     "op9_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op10_topk": ["query_id", "rank", "vec_id", "score"],
+    "op11_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
