@@ -25,6 +25,7 @@ writes a file of its own name; only files of the manifest stay.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -152,11 +153,17 @@ class WordEncoder:
 _LETTERS = re.compile("[A-Za-z]+")
 
 
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, which runs many tasks: its words stay known."""
+    return WordEncoder(path)
+
+
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
     """A row a document: __id, __n (ids with the end id), __ids (unsigned 16- or 32-bit, little-endian); and a row a slice of texts with __hist, pairs of id and count (unsigned 64-bit), only."""
 
     def kernel():
-        encode = WordEncoder(tokenizer)
+        encode = word_encoder(tokenizer)
 
         def run(texts: list[str | None]) -> dict[str, list]:
             ids, counts = encode(texts)
