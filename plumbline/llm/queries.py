@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, read_table
+from .cobucket import bucket_of, co_bucket
 from .decontam import contamination
 from .html_extract import extract_main_text
 from .langid import identify_languages
 from .mixing import mix
+from .prefix_trie import prefix_trie
 from .quality import score_quality
 from .secrets import KINDS, find_secrets
 from .simhash import near_duplicates
@@ -122,11 +124,23 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_co_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bucket_of(F.col("sale_id"), 300, "line")
+    of_item = F.coalesce(F.crc32(F.col("item_id").cast("string")) % 300, F.lit(0))
+    return co_bucket(
+        read_table(spark, sf_dir, "sales"), read_table(spark, sf_dir, "sale_lines"), "sale_id", new_folder(spark, "co-buckets"), ("sales", "sale_lines"), F.when(b % 3 == 1, b - 1).otherwise(b), of_item
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_toxicity, op3_url_filters, op4_mixing, op5_secret_scans, op6_quality, op7_language_id, op8_simhash, op9_decontamination, op10_topk,
-        op11_token_files,
+        op11_token_files, op12_co_buckets, op13_prefix_trie,
     )
 }
 
