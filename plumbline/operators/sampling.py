@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.prng import Mulberry, shuffled
+from ..functions.prng import mulberry32
+from .windows import running_total
 
 
 def seeded_order(seed: int, key: Column) -> Column:
@@ -39,9 +41,45 @@ def stratified_sample(population: DataFrame, stratum: str, key: str, allocation:
     return cut.withColumn("pos", F.row_number().over(last)).filter("pos <= sampled").drop("__h", "__p", "__n")
 
 
-def replayed_draw(items: list, n: int, seed: int) -> list:
-    """The exact Fisher-Yates draw of a small ordered list, for replaying an older sample."""
-    return shuffled(items, Mulberry(seed))[:n]
+def replayed_ranks(size: int, n: int, seed: int, block: int = 1 << 16) -> list[int]:
+    """The ranks that an exact Fisher-Yates shuffle of `size` items puts first, n of them.
+
+    The swaps are walked back from the last: only n places are followed, and the
+    draws, whose generator counts, come in blocks from any point on.
+    """
+    n = min(n, size)
+    slot_at = {p: p for p in range(n)}  # place -> position in the sample
+    for low in range(1, size, block):
+        i = np.arange(low, min(low + block, size))
+        # The swap of i takes draw size - 1 - i, counted from 0.
+        draws = mulberry32(seed + (size - 1 - int(i[-1])) * 0x6D2B79F5, len(i))[::-1]
+        j = np.floor(draws * (i + 1)).astype(np.int64)
+        at = 0
+        while at < len(i):
+            places = np.fromiter(slot_at, dtype=np.int64, count=len(slot_at))
+            hits = np.flatnonzero(np.isin(j[at:], places) | np.isin(i[at:], places))
+            if not len(hits):
+                break
+            at += int(hits[0])
+            a, b = int(i[at]), int(j[at])
+            if a != b:
+                swapped = {b: slot_at.pop(a, None), a: slot_at.pop(b, None)}
+                slot_at.update({place: position for place, position in swapped.items() if position is not None})
+            at += 1
+    out = [0] * n
+    for place, position in slot_at.items():
+        out[position] = place
+    return out
+
+
+def replayed_draw(population: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The exact Fisher-Yates draw of a table in the order of `key` (unique, numeric), for replaying an older sample: its rows and `pos`.
+
+    Only ranks are shuffled; rows get theirs by a running count over key ranges and meet the n drawn ranks by a join.
+    """
+    ranked = running_total(population.withColumn("__one", F.lit(1)), key, "__one", "__rank").drop("__one")
+    drawn = population.sparkSession.createDataFrame(list(enumerate(replayed_ranks(population.count(), n, seed))), "pos int, __rank0 long")
+    return ranked.join(F.broadcast(drawn), F.col("__rank") == F.col("__rank0") + 1).drop("__rank", "__rank0")
 
 
 def stratified_total(strata: DataFrame) -> DataFrame:

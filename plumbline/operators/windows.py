@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +13,18 @@ from pyspark.sql import functions as F
 MAX_RANGES = 2000
 
 
+def range_of(value: Column, cuts: list[float]) -> Column:
+    """The number of sorted `cuts` below a value, by two steps of about the square root of their number each."""
+    width = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    below = lambda a: F.size(F.filter(a, lambda c: c < value))
+    numbers = lambda x: F.array(*[F.lit(float(c)) for c in x]).cast("array<double>")
+    if len(blocks) < 2:
+        return below(numbers(cuts))
+    block = below(numbers([b[0] for b in blocks[1:]]))
+    return block * width + below(F.element_at(F.array(*[numbers(b) for b in blocks]), block + 1))
+
+
 def running_total(df: DataFrame, order: str, value: str, name: str, range_rows: int = 100_000) -> DataFrame:
     """Sum of `value` up to each row, by `order` (unique, numeric), over the whole table.
 
@@ -21,7 +35,7 @@ def running_total(df: DataFrame, order: str, value: str, name: str, range_rows:
     ranges = min(max(1, -(-n // range_rows)), MAX_RANGES)
     # Cut at quantiles, so clustered keys do not fall into one range.
     cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    cut = df.withColumn("__r", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(order))))
+    cut = df.withColumn("__r", range_of(F.col(order), cuts))
     totals = cut.groupBy("__r").agg(F.sum(value).alias("__s"))
     before = W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("__r", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect as D
+from ..operators.regex_rules import regex_growth
 from ..sources.parsers import schema_models
 from ..sources.tables import Tables
+from . import script_fixtures as fixtures
 from .registry import query
 
 C = F.col
@@ -25,13 +27,18 @@ def rules_sql(*rules: str) -> str:
     return f"SELECT p_partkey, unnest(string_split([{turns}][p_partkey % {len(rules)} + 1], ',')) AS rule FROM part WHERE [{turns}][p_partkey % {len(rules)} + 1] <> ''"
 
 
+def labelled(t: Tables, detect, sources_: list[fixtures.Labelled]) -> DataFrame:
+    """Findings on a source a part, chosen in turn from the labelled ones."""
+    return D.findings(sources(t, *[s for s, _ in sources_]), "p_partkey", "text", detect).select("p_partkey", "line", "rule")
+
+
 def found(t: Tables, detect, *parts: str) -> DataFrame:
     return D.findings(sources(t, *parts), "p_partkey", "text", detect).select("p_partkey", "rule")
 
 
-@query(rules_sql("blocking_file", "", "blocking_crypto,blocking_child", "blocking_zlib"))
+@query(fixtures.expected_sql(fixtures.placed(fixtures.BLOCKING)))
 def det_01_blocking_io(t: Tables) -> DataFrame:
-    return found(t, D.blocking_calls, "const a = fs.readFileSync('x');", "// fs.readFileSync('x')\nawait fs.promises.readFile('x'); s = 'execSync(1)'", "crypto.pbkdf2Sync(p);\nexecSync('ls');", "for (const f of fs) { zlib.gzipSync(f); }")
+    return labelled(t, D.blocking_calls, fixtures.placed(fixtures.BLOCKING))
 
 
 def hint(path: Column) -> Column:
@@ -65,17 +72,14 @@ def det_04_path_hints(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(m, ",").alias("matched_by"))
 
 
-@query(rules_sql("missing_effect_cleanup,missing_event_listener_removal", "", "missing_lifecycle_cleanup,missing_timer_cleanup", "missing_subscription_cleanup", "global_event_bus_leak,missing_raf_cancel"))
+@query(fixtures.expected_sql(fixtures.placed(fixtures.UI)))
 def det_05_ui_leaks(t: Tables) -> DataFrame:
-    return found(
-        t, D.ui_leaks, "useEffect(() => { window.addEventListener('x', f); }, []);", "useEffect(() => { window.addEventListener('x', f); return () => window.removeEventListener('x', f); }, []);",
-        "onMounted(() => { setInterval(f, 5); });", "this.api.get().subscribe(x => x);", "bus.on('x', f); requestAnimationFrame(f);",
-    )
+    return labelled(t, D.ui_leaks, fixtures.placed(fixtures.UI))
 
 
-@query(rules_sql("nested-loops", "json-parse-in-loop,regex-in-loop", "sequential-await-in-loop", "", "chained-array-methods"))
+@query(fixtures.expected_sql(fixtures.placed(fixtures.LOOPS)))
 def det_06_js_loops(t: Tables) -> DataFrame:
-    return found(t, D.js_loops, "for (const a of x) { for (const b of y) { f(a, b); } }", "while (i < n) { new RegExp(p).test(s); JSON.parse(j); i++; }", "for (const u of us) { await load(u); }", "const r = JSON.parse(j); for (const a of r) { f(a); }", "x.filter(a => a.ok).map(a => a.v);")
+    return labelled(t, D.js_loops, fixtures.placed(fixtures.LOOPS))
 
 
 @query(rules_sql("nested-loops,regex-in-loop", "json-parse-in-loop,nested-comprehension", "", "sequential-await-in-loop", ""))
@@ -108,13 +112,10 @@ def det_09_entities(t: Tables) -> DataFrame:
     return found(t, D.entity_columns, "@Entity()\nexport class A {\n  @ManyToOne(() => B)\n  owner: B;\n}", "@Entity()\nexport class A {\n  @Index()\n  @ManyToOne(() => B)\n  owner: B;\n}")
 
 
-@query(rules_sql("unclosed_connection", "", "unclosed_timer", "unclosed_stream"))
+@query(fixtures.expected_sql(fixtures.placed(fixtures.LEAKS)))
 def det_10_resource_leaks(t: Tables) -> DataFrame:
-    docs = sources(
-        t, "function a() { const c = pool.getConnection(); c.query(q); }\nfunction b(c) { c.release(); }", "function a() { const c = pool.getConnection(); c.release(); }",
-        "function a() { setInterval(f, 1); }", "function a() { const s = fs.createReadStream(p); }",
-    )
-    return D.resource_leaks(D.findings(docs, "p_partkey", "text", D.resource_calls), "p_partkey").select("p_partkey", "rule")
+    docs = sources(t, *[s for s, _ in fixtures.placed(fixtures.LEAKS)])
+    return D.resource_leaks(D.findings(docs, "p_partkey", "text", D.resource_calls), "p_partkey").select("p_partkey", "line", "rule")
 
 
 @query(rules_sql("moment_import", "full_lodash_import,barrel_import", "", "cjs_require", "namespace_import"))
@@ -122,24 +123,46 @@ def det_11_bundle_bloat(t: Tables) -> DataFrame:
     return found(t, D.bundle_bloat, "import moment from 'moment';", "import _ from 'lodash';\nimport { Button } from '@mui/material';", "import get from 'lodash/get'; // import _ from 'lodash'", "const _ = require('lodash');", "import * as _ from 'lodash';")
 
 
-@query(rules_sql("forced_sync_layout,style_mutation_in_loop", "", "innerhtml_in_loop", "dom_query_in_loop"))
+@query(fixtures.expected_sql(fixtures.placed(fixtures.DOM)))
 def det_12_dom_patterns(t: Tables) -> DataFrame:
-    return found(t, D.dom_patterns, "for (const e of es) { e.style.width = e.offsetWidth; }", "const w = e.offsetWidth; e.innerHTML = h;", "es.forEach(e => { box.innerHTML += e; });", "while (i--) { document.querySelector(s); }")
+    return labelled(t, D.dom_patterns, fixtures.placed(fixtures.DOM))
 
 
-@query(rules_sql("unbounded_find_all", "", "select_star", "deep_nested_include"))
+@query(fixtures.expected_sql(fixtures.placed(fixtures.PAYLOADS, strings=True)))
 def det_13_payloads(t: Tables) -> DataFrame:
-    return found(t, D.payload_patterns, "db.user.findMany()", "db.user.findMany({ take: 5 }); db.user.findMany({ where: { a: 1 } })", 'q("SELECT * FROM users")', "db.a.findMany({ take: 1, include: { b: { include: { c: { include: { d: true } } } } } })")
+    return labelled(t, D.payload_patterns, fixtures.placed(fixtures.PAYLOADS, strings=True))
+
+
+def pattern_rows(found: list[tuple[str, str]]) -> str:
+    """The expected rows of patterns by turn; an empty word is no row."""
+    return f"SELECT p_partkey, e.pattern, e.found FROM part JOIN (VALUES {fixtures.values_sql([(i, p, w) for i, (p, w) in enumerate(found) if w])}) AS e(i, pattern, found) ON p_partkey % {len(found)} = e.i"
 
 
-@query(rules_sql("nested_quantifiers", "", "overlapping_alternatives", "email_pattern", "unbounded_quantifiers"))
+def patterns(t: Tables) -> DataFrame:
+    return sources(t, *[p for p, *_ in fixtures.PATTERNS])
+
+
+@query(pattern_rows([(p, rule) for p, rule, _ in fixtures.PATTERNS]))
 def det_14_redos(t: Tables) -> DataFrame:
-    return found(t, D.redos_patterns, "^(a+)+$", "^abc$", "^(?:a|a)*$", r"^[\w.]+@[\w.]+$", r"^\s*x\s*$")
+    docs = patterns(t)
+    rules = D.findings(docs, "p_partkey", "text", D.redos_patterns).select("p_partkey", C("rule").alias("found"))
+    return docs.join(rules, "p_partkey").select("p_partkey", C("text").alias("pattern"), "found")
+
 
+@query(pattern_rows([(p, growth) for p, _, growth in fixtures.PATTERNS]))
+def det_14_growth(t: Tables) -> DataFrame:
+    """How many ways of matching a pattern has as texts grow."""
+    docs = patterns(t)
+    growth = D.findings(docs, "p_partkey", "text", lambda p: [(1, regex_growth(p), "", "")]).select("p_partkey", C("rule").alias("found"))
+    return docs.join(growth, "p_partkey").select("p_partkey", C("text").alias("pattern"), "found")
 
-@query("SELECT p_partkey, 'http' AS rule, 'fetch | url' AS signature, 2::BIGINT AS n FROM part WHERE p_partkey % 2 = 0")
+
+@query(
+    f"""SELECT p_partkey, e.rule, e.signature, e.n::BIGINT AS n FROM part
+      JOIN (VALUES {fixtures.values_sql([(i, *f) for i, (_, labels) in enumerate(fixtures.CACHE) for f in labels])}) AS e(i, rule, signature, n) ON p_partkey % {len(fixtures.CACHE)} = e.i"""
+)
 def det_15_cache_opportunities(t: Tables) -> DataFrame:
-    docs = sources(t, "a = fetch( url );\nb = fetch(url);\nc = fetch(other);", "a = fetch(url);\nb = fetch(other);")
+    docs = sources(t, *[s for s, _ in fixtures.CACHE])
     return D.repeated_calls(D.findings(docs, "p_partkey", "text", D.cache_calls), "p_partkey").select("p_partkey", "rule", "signature", "n")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.prng import mulberry_sql
@@ -33,9 +34,28 @@ SELECT unnest(range(0, 10)) AS pos, unnest(l[1:10]) AS n_name FROM r WHERE i = 0
 
 @query(REPLAY)
 def smp_01_exact_replay(t: Tables) -> DataFrame:
-    """The exact shuffle of a small ordered list (here the 25 nations); tests hold it against step-by-step arithmetic."""
-    names = [r[0] for r in t.nation.select("n_name").orderBy("n_name").collect()]
-    return t.spark.createDataFrame(list(enumerate(replayed_draw(names, 10, 42))), "pos int, n_name string")
+    """The exact shuffle of an ordered table (here the 25 nations by name)."""
+    return replayed_draw(t.nation.select(F.row_number().over(W.orderBy("n_name")).alias("k"), "n_name"), "k", 10, 42).select("pos", "n_name")
+
+
+def drawn_sql(n: int, seed: int) -> str:
+    """The first n of a shuffle of all orders, by walking the swaps back: for each place the swaps that move it, one after the other."""
+    return f"""WITH RECURSIVE o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders), size AS (SELECT count(*) AS n FROM orders),
+      i AS (SELECT unnest(range(1, (SELECT n FROM size))) AS i), d AS ({mulberry_sql(str(seed), 'SELECT i, (SELECT n FROM size) - i AS k FROM i', 'i', 'k')}),
+      swaps AS (SELECT i, floor(draw * (i + 1))::BIGINT AS j FROM d),
+      moves AS (SELECT j AS place, i AS step, i AS goes FROM swaps WHERE i <> j UNION ALL SELECT i, i, j FROM swaps WHERE i <> j),
+      r(pos, place, step) AS (
+        SELECT p, p, 0::BIGINT FROM (SELECT unnest(range(0, {n})) AS p)
+        UNION ALL
+        SELECT pos, goes, s FROM (SELECT r.pos, m.goes, m.step AS s, row_number() OVER (PARTITION BY r.pos ORDER BY m.step) AS k FROM r JOIN moves m ON m.place = r.place AND m.step > r.step) WHERE k = 1
+      ), last AS (SELECT pos, arg_max(place, step) AS place FROM r GROUP BY pos)
+      SELECT pos::INT AS pos, o_orderkey FROM last JOIN o ON rank = place"""
+
+
+@query(drawn_sql(40, 7))
+def smp_01_replayed_orders(t: Tables) -> DataFrame:
+    """Forty orders of an exact shuffle of all; nothing but ranks is drawn in the driver."""
+    return replayed_draw(t.orders.select("o_orderkey"), "o_orderkey", 40, 7).select("pos", "o_orderkey")
 
 
 STRATA = {"F": 30, "O": 30, "P": None}

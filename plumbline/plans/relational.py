@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rules import first_reason, percent, rank_of
+from ..functions.rules import first_reason, in_locale, percent, rank_of
 from ..sources.tables import Tables
 from .registry import query
 
@@ -162,6 +162,24 @@ def srt_03_multi_key(t: Tables) -> DataFrame:
     return t.part.select("p_brand", "p_size", "p_name", "p_partkey").orderBy("p_brand", "p_size", "p_name", "p_partkey")
 
 
+SPELLED = "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', 'é') WHEN 2 THEN replace(p_name, 'a', 'Á') WHEN 3 THEN replace(p_name, ' ', '-') ELSE p_name END"
+
+
+@query(f"SELECT name, p_size, p_partkey, row_number() OVER (ORDER BY name COLLATE en, p_size, p_partkey)::INT AS place FROM (SELECT {SPELLED} AS name, p_size, p_partkey FROM part) ORDER BY place LIMIT 500")
+def srt_03_locale_order(t: Tables) -> DataFrame:
+    """The first 500 by a locale's order of mixed case, accents and hyphens, then size and key."""
+    named = t.part.select(F.expr(SPELLED).alias("name"), "p_size", "p_partkey")
+    first = named.orderBy(in_locale(F.col("name")), "p_size", "p_partkey").limit(500)
+    return first.withColumn("place", F.row_number().over(W.orderBy(in_locale(F.col("name")), "p_size", "p_partkey")))
+
+
+@query(f"SELECT r_name, count(*) AS n FROM (SELECT icu_sort_key(p_brand, 'en') AS k FROM part) JOIN (SELECT r_name, icu_sort_key('Brand#' || (r_regionkey + 1)::VARCHAR || '1', 'en') AS k FROM region) USING (k) GROUP BY r_name")
+def srt_03_locale_join(t: Tables) -> DataFrame:
+    """Keys equal in the locale's eyes meet."""
+    r = t.region.select("r_name", in_locale(F.concat(F.lit("Brand#"), (F.col("r_regionkey") + 1).cast("string"), F.lit("1"))).alias("k"))
+    return t.part.select(in_locale(F.col("p_brand")).alias("k")).join(r, "k").groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT list(s ORDER BY s)::VARCHAR AS sizes FROM (SELECT DISTINCT p_size AS s FROM part)")
 def srt_04_numeric(t: Tables) -> DataFrame:
     sizes = t.part.agg(F.array_sort(F.collect_set("p_size")).alias("s"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.prng import mulberry_sql
+from ..operators.history import first_parents, last_before, reachable
 from ..sources import files, parsers
 from ..sources.tables import Tables
 from .registry import query
@@ -89,6 +90,38 @@ def parse_01_markdown_corpus(t: Tables) -> DataFrame:
     return parsers.markdown_corpus(docs, "r_name", "text").select("section", "repo", F.element_at("cells", 2).alias("stars"))
 
 
+#: Heading, header with its rule, and row of each dialect of corpus files; N, I and S stand for a nation's name, key and stars.
+DIALECTS = [
+    ("## Domain 1 — Web", "| # | Repository | Lang | URL | Stars | Expected Anti-Patterns |\n|---|---|---|---|---|---|", "| I | N | Py | https://example.org/o/N | S | a, b |"),
+    ("## Domain 2 - Web", "| # | Repository | URL | Stars | Domain |\n| --- | --- | --- | --- | --- |", "| I | N | https://example.org/o/N | S | web |"),
+    ("## Domain 3 – Web", "| # | Repository | URL | Stars | Expected Patterns |\n|:--|:-:|---|---|--:|", "| I | N | https://example.org/o/N.git | S | a , b"),
+    ("## Domain 4: Web", "", "| I | https://example.org/o/N | S |"),
+    ("## Domain 5: Web (12 repos)", "| # | Repo | Type | URL | Stars | Notes |\n|-|-|-|-|-|-|", "| I | N | js | https://example.org/o/N | S | one \\| two |"),
+    ("## Category 6: Web", "| # | URL |\n|---|---|", "| I | https://example.org/o/N/ |"),
+    ("# Web", "| Name | Link | ★ |\n|---|---|---|", "| [N](https://example.org/o/N) | x | S |"),
+    ("### Web ###", "", "- [N](https://example.org/o/N) S stars"),
+    ("## Web", "some words\n", "* https://example.org/o/N"),
+    ("## Web", "| # | Repository | Notes | URL | Stars |\n|---|---|---|---|---|", "| I | N | `a|b` | https://example.org/o/N | S |"),
+    ("## Web", "| Stars | Repo |\n|---|---|\n\nno table\n\n| Repo | URL | Stars |\n|---|---|---|", "| N | <https://example.org/o/N> | S |"),
+]
+
+
+@query(
+    """SELECT n_nationkey, 'Web' AS section, CASE WHEN d IN (7, 8) THEN 'bullet' ELSE 'table' END AS kind, CASE WHEN d IN (0, 1, 2, 3, 4, 5, 9) THEN n_nationkey::INT END AS index,
+      CASE WHEN d IN (3, 5, 7, 8) THEN 'o/' || name ELSE name END AS repo, 'https://example.org/o/' || name AS url, CASE WHEN d IN (0, 1, 2, 4, 6, 9, 10) THEN n_regionkey::VARCHAR END AS stars,
+      CASE d WHEN 0 THEN 'Python' WHEN 4 THEN 'js' END AS language, CASE d WHEN 1 THEN 'web' WHEN 4 THEN 'one | two' WHEN 9 THEN '`a|b`' END AS notes, CASE WHEN d IN (0, 2) THEN 'a;b' END AS patterns
+    FROM (SELECT *, n_nationkey % 11 AS d, replace(n_name, ' ', '_') AS name FROM nation)"""
+)
+def parse_01_dialects(t: Tables) -> DataFrame:
+    """A corpus file a nation, in eleven dialects."""
+    pick = lambda i: F.get(F.array(*[F.lit(d[i]) for d in DIALECTS]), (C("n_nationkey") % 11).cast("int"))
+    row = pick(2)
+    for letter, value in (("N", F.replace("n_name", F.lit(" "), F.lit("_"))), ("I", C("n_nationkey").cast("string")), ("S", C("n_regionkey").cast("string"))):
+        row = F.regexp_replace(row, rf"\b{letter}\b", value)
+    docs = t.nation.select("n_nationkey", F.concat_ws("\n", pick(0), F.lit(""), pick(1), row).alias("text"))
+    return parsers.corpus_rows(docs, "n_nationkey", "text").select("n_nationkey", "section", "kind", "index", "repo", "url", "stars", "language", "notes", F.array_join("patterns", ";").alias("patterns"))
+
+
 @query("SELECT min(page_id) AS page_id FROM pages GROUP BY lower(split_part(split_part(url, '?', 1), '#', 1))")
 def parse_02_first_spelling(t: Tables) -> DataFrame:
     u = F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
@@ -138,8 +171,8 @@ def tree(t: Tables) -> str:
 
 @query(f"SELECT n_nationkey, n_name AS text FROM nation WHERE {TREE} <> 'node_modules' AND length(n_name) < 9")
 def src_08_source_tree(t: Tables) -> DataFrame:
-    """Folders, extensions and sizes are filtered before a file is read."""
-    found = files.source_tree(t.spark, tree(t), "(txt|js)", "/dir=(node_modules|dist)/", max_bytes=9)
+    """Folders are pruned before they are opened, extensions and sizes before a file is read."""
+    found = files.source_tree(t.spark, tree(t), "txt,js", "dir=node_modules,dist", max_bytes=9)
     return found.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("bigint").alias("n_nationkey"), F.trim(F.col("text"), F.lit("\n")).alias("text"))
 
 
@@ -163,6 +196,28 @@ def src_11_recorded_pages(t: Tables) -> DataFrame:
     return files.replayed_pages(responses, "bigint").select("part", "page", "retries", "item")
 
 
+@query("SELECT p_partkey, p_size, true AS retries_as_recorded FROM part WHERE p_size < 64")
+def src_11_size_ranges(t: Tables) -> DataFrame:
+    """A service that shows an eighth of its items at most of one range of sizes, by pages of a third of that; ranges are halved until they fit. Pages of ranges that begin with a multiple of seven are refused at first."""
+    n = t.part.count()
+    cap = max(30, n // 8)
+    page_size = max(1, cap // 3)
+    path = files.scratch_path(t.spark, "answers")
+    width = F.explode(F.array(*[F.lit(64 >> k) for k in range(7)])).alias("width")
+    items = t.part.select("p_partkey", C("p_size").cast("int").alias("size"), width).withColumn("low", F.floor(C("size") / C("width")) * C("width"))
+    w = W.partitionBy("low", "width").orderBy("p_partkey")
+    paged = items.select("*", (F.floor((F.row_number().over(w) - 1) / page_size) + 1).alias("page"), F.count(F.lit(1)).over(W.partitionBy("low", "width")).alias("total"))
+    shown = paged.filter(C("page") <= 1 + F.floor(F.lit((cap - 1) / page_size)))
+    good = shown.groupBy("low", "width", "page", "total").agg(F.sort_array(F.collect_list(F.struct(C("p_partkey").alias("id"), "size"))).alias("items"))
+    refused = C("low") % 7 == 0
+    answer = lambda attempt, status, total, items_: F.to_json(F.struct("page", attempt.alias("attempt"), F.lit(status).alias("status"), total.alias("total"), items_.alias("items")))
+    lines = good.select("low", (C("low") + C("width") - 1).alias("high"), F.explode(F.array_compact(F.array(F.when(refused, answer(F.lit(1), 429, F.lit(None).cast("bigint"), F.lit(None).cast(good.schema["items"].dataType))), answer(F.when(refused, 2).otherwise(1), 200, C("total"), C("items"))))).alias("value"))
+    lines.repartition("low", "high").write.partitionBy("low", "high").text(path)
+    got = files.paged_service(t.spark, path, 63, cap, page_size, wait=0)
+    item = F.from_json("item", "id bigint, size int")
+    return got.select(item.alias("i"), (C("retries") == (C("low") % 7 == 0).cast("int")).alias("retries_as_recorded")).select(C("i.id").alias("p_partkey"), C("i.size").alias("p_size"), "retries_as_recorded")
+
+
 @query("SELECT s_suppkey, sha1(s_name) AS commit, (1704067200 + s_suppkey * 86400 + CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE -7200 END)::BIGINT AS committed FROM supplier")
 def src_12_log_dates(t: Tables) -> DataFrame:
     """Commit dates of a log, half of them without a zone; an entry with an unreadable date in between."""
@@ -172,6 +227,49 @@ def src_12_log_dates(t: Tables) -> DataFrame:
     return parsers.log_dates(t.supplier.select("s_suppkey", text.alias("text")), "s_suppkey", "text").filter("committed is not null")
 
 
+GRAPH = """SELECT o_custkey AS graph, n AS commit, unnest(CASE WHEN n = 1 THEN [] WHEN n % 5 = 0 THEN [n - 1, n - 3] WHEN n % 7 = 3 THEN [n - 2] ELSE [n - 1] END) AS parent FROM
+  (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)"""
+
+
+def graph(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A customer's orders as a history: each follows the one before; every fifth merges the third before, and some leave out the one before. Edges, heads (the last ones), times."""
+    n = t.orders.select(C("o_custkey").alias("graph"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("bigint").alias("commit"), C("o_orderdate").alias("time"))
+    parents = F.when(C("commit") == 1, F.array().cast("array<bigint>")).when(C("commit") % 5 == 0, F.array(C("commit") - 1, C("commit") - 3)).when(C("commit") % 7 == 3, F.array(C("commit") - 2)).otherwise(F.array(C("commit") - 1))
+    edges = n.select("graph", "commit", F.posexplode(parents).alias("k", "parent")).select("graph", "commit", "parent", (C("k") == 0).alias("first"))
+    return edges, n.groupBy("graph").agg(F.max("commit").alias("commit")), n
+
+
+HEADS = "SELECT o_custkey AS graph, count(*) AS commit FROM orders GROUP BY 1"
+
+
+@query(f"WITH RECURSIVE e AS ({GRAPH}), r AS ({HEADS} UNION SELECT r.graph, e.parent FROM r JOIN e ON r.graph = e.graph AND r.commit = e.commit) SELECT graph, commit FROM r")
+def src_12_reachable(t: Tables) -> DataFrame:
+    """The commits that each head reaches."""
+    edges, heads, _ = graph(t)
+    return reachable(edges, heads)
+
+
+CHAIN = f"""e AS (SELECT graph, commit, max(parent) AS parent FROM ({GRAPH}) GROUP BY 1, 2),
+  r AS (SELECT graph, commit, 0::BIGINT AS distance FROM ({HEADS}) UNION ALL SELECT r.graph, e.parent, distance + 1 FROM r JOIN e ON r.graph = e.graph AND r.commit = e.commit)"""
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT graph, commit, distance FROM r")
+def src_12_first_parents(t: Tables) -> DataFrame:
+    edges, heads, _ = graph(t)
+    return first_parents(edges, heads)
+
+
+@query(
+    f"""WITH RECURSIVE {CHAIN}, o AS (SELECT o_custkey AS graph, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS commit, o_orderdate AS time FROM orders),
+      p AS (SELECT r.*, time FROM r JOIN o ON r.graph = o.graph AND r.commit = o.commit)
+      SELECT graph, arg_min(commit, distance) FILTER (time <= DATE '1996-06-30') AS commit, (count(*) FILTER (time > DATE '1996-06-30'))::BIGINT AS behind FROM p GROUP BY graph HAVING count(*) FILTER (time <= DATE '1996-06-30') > 0"""
+)
+def src_12_last_before(t: Tables) -> DataFrame:
+    """The commit that a cutoff date pins on the chain of first parents, and how many came after."""
+    edges, heads, times = graph(t)
+    return last_before(first_parents(edges, heads), times, F.lit("1996-06-30").cast("date")).select("graph", "commit", "behind")
+
+
 @query("SELECT p_partkey::VARCHAR AS p_partkey, CASE WHEN p_size < 10 THEN '' ELSE p_size::VARCHAR END AS p_size, p_brand FROM part")
 def snk_01_tsv(t: Tables) -> DataFrame:
     """Columns in a fixed order, null as an empty cell."""
@@ -305,6 +403,28 @@ def snk_08_partitioned_output(t: Tables) -> DataFrame:
     return t.spark.read.schema("s_suppkey long, n_name string, n_regionkey int").parquet(path).select("s_suppkey", "n_name")
 
 
+@query("SELECT s_suppkey, length(s_name)::INT AS n FROM supplier")
+def snk_08_resumed_scan(t: Tables) -> DataFrame:
+    """A scan of files that breaks in its second batch and is run again: each file is scanned once."""
+    path, out, progress = (files.scratch_path(t.spark, label) for label in ("scanned", "results", "progress"))
+    t.supplier.select(C("s_suppkey") % 7, F.to_json(F.struct("s_suppkey", "s_name"))).toDF("part", "value").repartition("part").write.partitionBy("part").text(path)
+    rows = lambda df: df.select(F.explode(F.split("value", "\n")).alias("v")).filter("v <> ''").select(F.from_json("v", "s_suppkey bigint, s_name string").alias("r")).select("r.s_suppkey", F.length("r.s_name").alias("n"))
+    calls = []
+
+    def breaks(df: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("stopped")
+        return rows(df)
+
+    try:
+        files.resumable_scan(t.spark, path, out, progress, breaks, files_at_once=2)
+    except Exception as e:  # the stream's failure
+        if "stopped" not in str(e):
+            raise
+    return files.resumable_scan(t.spark, path, out, progress, rows, files_at_once=2)
+
+
 @query("SELECT count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS keys FROM orders")
 def snk_10_batched_insert(t: Tables) -> DataFrame:
     """Writes in files of at most 1,000 records."""

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import connectors
+
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder all executors share. Only a local master (one machine, as in tests) may go without spark.checkpoint.dir."""
@@ -63,27 +65,22 @@ def latest_file(df: DataFrame, pattern: str) -> DataFrame:
     return named.filter(F.regexp_extract("__file", pattern, 0) == F.lit(last)).drop("__file")
 
 
-def source_tree(spark: SparkSession, path: str, extensions: str = "(js|ts|py)", skip: str = r"/(node_modules|dist|\.git|vendor)/", max_bytes: int = 1_000_000) -> DataFrame:
-    """path and text of all source files below a folder, filtered before their content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kept = files.filter(F.col("path").rlike(rf"\.{extensions}$") & ~F.col("path").rlike(skip) & (F.col("length") <= max_bytes))
-    return kept.select("path", F.decode("content", "UTF-8").alias("text"))
+def source_tree(spark: SparkSession, path: str, extensions: str = "js,ts,py", skip: str = "node_modules,dist,.git,vendor", max_bytes: int = 1_000_000) -> DataFrame:
+    """path (relative), length and text of all source files below a folder; folders of a skipped name are never opened."""
+    connectors.register(spark)
+    return spark.read.format("source_tree").options(extensions=extensions, skip=skip, maxbytes=max_bytes).load(path)
 
 
-def glob_regex(pattern: str) -> str:
-    """A glob over relative paths as a regular expression: ** any folders, * and ? within a name, {a,b} either."""
-    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
-    return "".join(parts.get(x) or re.escape(x) for x in re.split(r"(\*\*/|\*\*|[*?{},])", pattern) if x)
+def glob_scan(spark: SparkSession, path: str, pattern: str, ignore: list[str] | None = None, max_bytes: int = 1_000_000) -> DataFrame:
+    """path (relative), length and text of the files that match a glob and none of `ignore`; a folder that is ignored whole is never opened."""
+    connectors.register(spark)
+    return spark.read.format("source_tree").options(glob=pattern, ignore="\n".join(ignore or []), skip="", maxbytes=max_bytes).load(path)
 
 
-def glob_scan(spark: SparkSession, path: str, pattern: str, ignore: list[str] | None = None) -> DataFrame:
-    """path (relative) and text of the files that match a glob and none of `ignore`; others are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    below = F.element_at(F.split("path", re.escape(path.rstrip("/").rpartition("/")[2] + "/"), 2), 2)
-    kept = files.withColumn("path", below).filter(F.col("path").rlike(f"^{glob_regex(pattern)}$"))
-    for g in ignore or []:
-        kept = kept.filter(~F.col("path").rlike(f"^{glob_regex(g)}$"))
-    return kept.select("path", F.decode("content", "UTF-8").alias("text"))
+def paged_service(spark: SparkSession, path: str, high: int, cap: int, page_size: int, **options) -> DataFrame:
+    """Everything that a service with recorded answers holds, a task a range of sizes."""
+    connectors.register(spark)
+    return spark.read.format("paged_service").options(path=path, high=high, cap=cap, pagesize=page_size, **options).load()
 
 
 def replayed_pages(responses: DataFrame, item: str) -> DataFrame:
@@ -108,6 +105,29 @@ def local_or_remote(wanted: DataFrame, local: DataFrame, remote: DataFrame, key:
     return j.withColumn(value, F.coalesce("__l", "__r")).drop("__l", "__r")
 
 
+def resumable_scan(spark: SparkSession, path: str, out: str, progress: str, scan, schema: str = "value string", files_at_once: int = 100, **reader) -> DataFrame:
+    """Scans the files of a folder batch by batch and keeps its progress, so that a scan that was stopped goes on with the files it had not finished.
+
+    `scan` makes rows of a batch's files (columns value and path with the default text reader, a row a file). Which files
+    a batch holds is logged in `progress` before it is scanned; its rows overwrite the folder of that batch in
+    `out`, so a batch that is done twice counts once. New files are found by the next run. Returns all rows so far.
+    """
+    batches = spark.readStream.format(reader.pop("format", "text")).schema(schema).option("maxFilesPerTrigger", files_at_once).options(**({"wholetext": "true"} | reader)).load(path)
+
+    def keep(df: DataFrame, number: int) -> None:
+        scan(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    batches.withColumn("path", F.col("_metadata.file_path")).writeStream.foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back, so that rounds of a loop do not pile up in the plan."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_missing(df: DataFrame, path: str, key: str) -> int:
     """Append-and-resume: writes the rows whose key is not there yet and returns how many."""
     spark = df.sparkSession

@@ -27,6 +27,59 @@ def markdown_corpus(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.filter("repo <> ''")
 
 
+#: A heading's words without a number of the section or of what it lists.
+SECTION = r"^#{1,6}\s+(?:(?:Domain|Category)\s+\d+\s*(?:[—–:：-]\s*)?)?(.*?)\s*(?:\(\d+ repos\))?\s*#*$"
+#: A cell up to its pipe: escapes and code spans hide pipes.
+CELL = r"((?:\\.|`[^`]*`|[^|\\])*)(?:\||$)"
+LINK = r"https?://[^\s|)\]>]+"
+#: Column names of corpus tables, by what they hold.
+COLUMNS = {
+    "repo": ("repository", "repo", "name", "project"), "url": ("url", "link"), "stars": ("stars", "★"), "language": ("lang", "language", "type"), "notes": ("notes", "domain", "reason"),
+    "patterns": ("expected anti-patterns", "expected patterns", "patterns", "expected"),
+}
+
+
+def corpus_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Every listed repository of Markdown corpora, whatever their dialect: key, no, section, kind, index, repo, url, stars, language, notes, patterns.
+
+    Rows of tables and bullets that hold a link count; kind is `table` or `bullet`. Columns are found
+    by the header; without a header, or without a column of that name, the repository comes from the link,
+    the index from a first cell that is a number, and other columns are null. Pipes that are escaped or within code
+    spans divide no cells. Sections are carried down from headings, numbers of sections and of their entries left out.
+    """
+    w = W.partitionBy(key).orderBy("no")
+    rows = lines_of(docs, key, text)
+    heading = F.when(F.col("line").rlike(r"^#{1,6}\s"), F.regexp_extract("line", SECTION, 1))
+    is_table, is_rule = F.col("line").rlike(r"^\s*\|"), F.col("line").rlike(r"^\s*\|[\s:|-]*-[\s:|-]*$")
+    inner = F.regexp_replace(F.col("line"), r"^\s*\||\|?\s*$", "")
+    cells = F.transform(F.regexp_extract_all(inner, F.lit(CELL), 1), lambda c: F.trim(F.regexp_replace(c, r"\\\|", "|")))
+    cells = F.slice(cells, 1, F.greatest(F.lit(1), F.size(cells) - 1))  # the match behind the last cell
+    marked = rows.withColumns({
+        "section": F.last(heading, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "is_table": is_table, "is_rule": is_rule, "cells": F.when(is_table, cells),
+        "is_header": is_table & F.coalesce(F.lead(is_rule).over(w), F.lit(False)), "block": F.count_if(~is_table).over(w.rowsBetween(W.unboundedPreceding, 0)),
+    })
+    names = F.transform("cells", lambda c: F.lower(F.trim(c, F.lit("*` "))))
+    header = F.last(F.when(F.col("is_header"), F.struct("block", names.alias("names"))), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    found = marked.withColumn("header", header).withColumn("names", F.when(F.col("header.block") == F.col("block"), F.col("header.names")))
+    url = F.nullif(F.regexp_extract("line", LINK, 0), F.lit(""))
+    listed = found.filter((F.col("is_table") & ~F.col("is_rule") & ~F.col("is_header") | F.col("line").rlike(r"^\s*[-*+]\s")) & url.isNotNull())
+
+    def column(what: str):
+        place = F.coalesce(*[F.nullif(F.array_position("names", n), F.lit(0)) for n in COLUMNS[what]])
+        return F.nullif(F.get("cells", (place - 1).cast("int")), F.lit(""))
+
+    clean = F.regexp_replace(url, r"(\.git)?/?$", "")
+    of_link = F.nullif(F.regexp_extract(clean, r"^https?://[^/]+/([^/]+/[^/#?]+)", 1), F.lit(""))
+    # A name that is itself a link gives its words.
+    named = F.regexp_replace(column("repo"), r"^\[([^\]]*)\]\(.*\)$", "$1")
+    language = F.when(column("language") == "Py", "Python").otherwise(column("language"))
+    return listed.select(
+        key, "no", "section", F.when(F.col("is_table"), "table").otherwise("bullet").alias("kind"), F.get("cells", F.lit(0)).try_cast("int").alias("index"),
+        F.coalesce(F.when(~named.rlike(LINK), named), of_link).alias("repo"), clean.alias("url"), column("stars").alias("stars"), language.alias("language"), column("notes").alias("notes"),
+        F.filter(F.transform(F.split(column("patterns"), ","), lambda p: F.trim(p)), lambda p: p != "").alias("patterns"),
+    )
+
+
 def first_spelling(urls: DataFrame, url: str, order: str) -> DataFrame:
     """One row per address regardless of case; the first spelling stays."""
     return urls.groupBy(F.lower(url).alias("__k")).agg(F.min_by(F.struct(*urls.columns), F.col(order)).alias("__r")).select("__r.*")
