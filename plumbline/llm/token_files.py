@@ -30,6 +30,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ HEADER = "<QQQQI"
 #: Ids that a block holds before it is closed, about (a longer document is a block of its own).
 BLOCK_IDS = 1 << 18
 #: Words whose ids a worker remembers; the memory starts anew beyond it.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 1_000_000
 
 #: For each control byte the lengths of its four ranks.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -105,6 +106,9 @@ class WordEncoder:
         self.model = self.tokenizer.model
         plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.apart = bool(getattr(self.model, "end_of_word_suffix", None)) and plain("ab, \n cd.") == plain("ab") + plain(",") + plain("cd") + plain(".")
+        if self.apart:
+            self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.model.end_of_word_suffix)]] = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
@@ -115,7 +119,10 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. A special token's text is only looked for in words with `<`, which are left as they are."""
         odd = [w for w in words if not _LETTERS.fullmatch(w)]
-        made = dict(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+        whole = [w for w in odd if w.isalpha() and (low := w.lower()).isalpha() and unicodedata.is_normalized("NFC", w) and unicodedata.is_normalized("NFC", low)]
+        made = self._of_letters(whole)
+        odd = [w for w in odd if w not in made]
+        made.update(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
         ids = [made[w] if w in made else [t.id for t in self.model.tokenize(w.lower())] for w in words]
         new = np.fromiter((i for x in ids for i in x), dtype=self.dtype)
         if self.used + len(new) > len(self.flat):
@@ -127,6 +134,17 @@ class WordEncoder:
         self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
         self.used += len(new)
 
+    def _of_letters(self, words: list[str], at_once: int = 1000) -> dict[str, list[int]]:
+        """Ids of words of letters only, encoded as one text; each ends with the only id that ends a word."""
+        out: dict[str, list[int]] = {}
+        for a in range(0, len(words), at_once):
+            part = words[a : a + at_once]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                out.update(zip(part, (x.tolist() for x in np.split(ids, ends[:-1])), strict=True))
+        return out
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and each text's number of ids. Null is empty."""
         import pyarrow.compute as pc
