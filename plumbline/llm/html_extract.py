@@ -21,6 +21,7 @@ import functools
 import html as html_lib
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -62,7 +63,7 @@ GROUP_OF = {t: k for k, ts in enumerate(TAG_GROUPS) for t in ts}
 WORD_GROUPS = [
     ("ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "adbox", "adsense", "dfp"),
     ("nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "skip", "tabs"),
-    ("sidebar", "side", "aside", "rail", "widget", "widgets", "related", "recommended", "popular", "trending", "more", "complementary"),
+    ("sidebar", "side", "aside", "rail", "widget", "widgets", "related", "recommended", "popular", "trending", "complementary"),
     ("comment", "comments", "reply", "replies", "respond", "discussion", "disqus", "reviews"),
     ("cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "warning", "popup", "modal", "overlay", "dialog", "paywall"),
     ("header", "masthead", "topbar", "top", "logo", "brand", "site"),
@@ -82,13 +83,21 @@ TALK = re.compile(
     r"\W*(?:\d+\W+)?(?:leave a |post a |reader |user |write a )?(?:comments?|repl(?:y|ies)|responses?|discussion|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)\b.{0,24}\Z",
     re.I | re.S,
 )
+#: Headings of comments that count them or ask for some.
+COUNTED = re.compile(r"\d|\b(?:leave|post|write|add|reader|user)\b", re.I)
+#: What reader comments carry: when, by whom, and how to answer.
+MARK = re.compile(
+    r"\b\d+\s*(?:seconds?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?)\s+ago\b|\b(?:says|said|wrote|replied)\s*:?\s*\Z|\A\W*(?:reply|quote|report|permalink|upvote|like|antworten|répondre|responder)\W*\Z|"
+    r"\b\d{1,2}[.:]\d{2}\s*(?:am|pm|uhr)?\s*\Z|\b(?:posted|commented)\s+(?:by|on|at)\b|\bvor\s+\d+\s+\w+\s*\Z|\bil y a \d+|\bhace \d+",
+    re.I,
+)
 #: Words of notices, adverts and legal lines.
 NOTICE = re.compile(
     r"©|\b(?:copyright|all rights reserved|cookies?|advertisement|sponsored|subscribe|newsletter|sign (?:up|in)|log ?in|privacy policy|terms of (?:use|service)|share this|follow us|"
     r"related (?:posts|articles|stories)|read (?:more|also)|skip to|werbung|anzeige|publicité|publicidad|tous droits|alle rechte|todos los derechos)\b",
     re.I,
 )
-NUMBERS, CONTEXT = 8, 10
+NUMBERS, CONTEXT = 8, 13
 FEATURES = len(TAG_GROUPS) + len(WORD_GROUPS) + NUMBERS + CONTEXT + 2
 
 #: A tag up to its `>`; quoted values only follow `=`. Possessive throughout, so it never goes back over a character.
@@ -266,17 +275,21 @@ def features(tree: Tree) -> np.ndarray:
     while e >= 0:
         upward.add(e)
         e = parent[e]
-    in_top, talk = [False] * n, [False] * n
-    talked: set[int] = set()  # parents in which a heading of comments was met
+    in_top = [False] * n
+    marked = [0 < own[e] < 60 and bool(MARK.search(says[e].strip())) for e in range(n)]
+    mark_below = list(marked)
+    for e in range(n - 1, 0, -1):
+        mark_below[parent[e]] |= mark_below[e]
+    talk = talking(tree, own, says, mark_below, inside)
+    rows = Counter(parent[e] for e in range(1, n) if tag[e] == "a")
     for e in range(n):
         p = parent[e]
         in_top[e] = e == top or p >= 0 and in_top[p]
-        talk[e] = p >= 0 and (talk[p] or p in talked)
-        if p >= 0 and tag[e][0] == "h" and tag[e] in ("h2", "h3", "h4", "h5", "h6") and own[e] < 60 and TALK.match(says.get(e, "")):
-            talk[e] = True
-            talked.add(p)
-        if own[e] and own[e] < 200 and not inside[e] and NOTICE.search(says[e]):
-            f[e, c + 3] = 1  # in an article such words are its own
+        if 0 < own[e] < 400 and not inside[e] and NOTICE.search(says[e]):
+            f[e, c + (3 if own[e] < 50 else 10)] = 1  # in an article such words are its own
+        # One of a row of links without words of their own between them, not in a paragraph.
+        f[e, c + 12] = tag[e] == "a" and rows[p] > 1 and own[p] < 0.3 * (below[p] - own[p]) and tag[p] != "p" or rows[e] > 1 and own[e] < 0.3 * (below[e] - own[e]) and tag[e] != "p"
+        f[e, c + 11] = marked[e] and not amid_text(own, says, parent, e)
         t = tag[e]
         if p >= 0 and t not in BLOCKS and own[p] > below[e]:
             f[e, c + 7] = 1  # amid the text of its parent
@@ -304,6 +317,49 @@ def features(tree: Tree) -> np.ndarray:
     return f
 
 
+def amid_text(own: list[int], says: dict[int, str], parent: list[int], e: int) -> bool:
+    """Whether an element's words stand amid a longer text of its parent's own."""
+    return parent[e] >= 0 and own[parent[e]] > 3 * own[e]
+
+
+def talking(tree: Tree, own: list[int], says: dict[int, str], mark_below: list[bool], inside: list[bool]) -> list[bool]:
+    """Elements among reader comments: what follows a heading of comments up to a heading of its rank, if it looks like comments.
+
+    Comments carry marks (when, by whom, how to answer) or are several elements of one tag and class with parts of their own;
+    or their heading counts them, asks for them, or stands beside the article element. A heading alone, before paragraphs, is a heading of the article.
+    """
+    n = len(tree.tag)
+    children: dict[int, list[int]] = {}
+    for e in range(1, n):
+        children.setdefault(tree.parent[e], []).append(e)
+    begun = [False] * n
+    beside = any(tree.tag[e] in ("article", "main") for e in range(n))
+    for below in children.values():
+        rank, after = 0, []
+        groups: list[tuple[int, list[int]]] = []
+        for e in below:
+            t = tree.tag[e]
+            heading = int(t[1]) if len(t) == 2 and t[0] == "h" and t[1] in "123456" else 0
+            if rank and heading and heading <= rank:
+                rank = 0
+            if not rank and heading > 1 and own[e] < 60 and TALK.match(says.get(e, "")):
+                rank, after = heading, []
+                groups.append((e, after))
+            elif rank:
+                after.append(e)
+        for head, after in groups:
+            parts = [(tree.tag[e], tree.attrs[e]) for e in after if len(children.get(e, ())) > 1]
+            listed = [x for e in after if tree.tag[e] in ("ul", "ol", "div", "section") for x in children.get(e, ()) if len(children.get(x, ())) > 1]
+            parts += [(tree.tag[e], tree.attrs[e]) for e in listed]
+            if COUNTED.search(says[head]) or beside and not inside[head] or any(mark_below[e] for e in after) or any(parts.count(x) > 1 for x in set(parts[:50])):
+                for e in (head, *after):
+                    begun[e] = True
+    out = [False] * n
+    for e in range(n):
+        out[e] = begun[e] or tree.parent[e] >= 0 and out[tree.parent[e]]
+    return out
+
+
 @dataclass
 class Forest:
     """Several trees as one: rows, parents (-1 for roots), and rows by depth."""
@@ -364,7 +420,7 @@ class Model:
 @functools.cache
 def trained() -> Model:
     """The model of the rule's pages, made once a process."""
-    return train(labelled_pages())
+    return train(labelled_pages() + labelled_pages(400, 12, rich=True))
 
 
 def train(pages: list[tuple[str, list[bool]]], rounds: int = 200) -> Model:
@@ -403,11 +459,17 @@ NOTICES = (
     "\u00a9 2020", "Copyright", "All rights reserved", "Advertisement", "Sponsored", "Subscribe", "Newsletter", "Sign up", "Log in", "Privacy policy", "We use cookies", "Share this", "Follow us",
     "Related posts", "Read more", "Skip to",
 )
-TALKS = ("{} replies", "Comments", "{} comments", "Comments ({})", "Leave a reply", "Responses", "Kommentare", "{} Commentaires", "Comentarios", "Reader comments")
+#: What comments of labelled pages carry.
+MARKS = ("{1} hours ago", "{1} days ago", "{0} says:", "{0} wrote:", "Reply", "12 May 2021, {1}:30", "Posted by {0}", "Permalink")
+TALKS = ("Discussion", "{} replies", "Comments", "{} comments", "Comments ({})", "Leave a reply", "Responses", "Kommentare", "{} Commentaires", "Comentarios", "Reader comments")
+
 
+def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARKUPS, rich: bool = False) -> list[tuple[str, list[bool]]]:
+    """Pages from a rule, with the flag (on the way to content) of the root and every element in page order.
 
-def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARKUPS) -> list[tuple[str, list[bool]]]:
-    """Pages from a rule, with the flag (on the way to content) of the root and every element in page order."""
+    In `rich` ones articles have sections named like comments, links alone and in lists, linked headings and
+    notice words amid prose; comments carry marks or parts.
+    """
     r = random.Random(seed)
 
     def words(a: int, b: int) -> str:
@@ -430,7 +492,10 @@ def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARK
         return r.choice([f'class="{word}"', f'id="{word}"', f'class="{word} wide"', f'class="site-{word}"', f'class="{word}-box"'])
 
     def boilerplate(p: Page, where: str) -> None:
-        kind = r.choice(["nav", "ad", "side", "comments", "notice", "header", "footer", "share", "form", "script", "bare", "picture", "links"])
+        kinds = ["nav", "ad", "side", "comments", "notice", "header", "footer", "share", "form", "script", "bare", "picture", "links"]
+        if rich:
+            kinds = [k for k in [*kinds, "links", "links"] if where != "in" or k not in ("links", "bare") or r.random() < 0.3]
+        kind = r.choice(kinds)
         tag, attrs = "div", ""
         if kind == "nav":
             tag, attrs = r.choice([("nav", ""), ("nav", named("menu")), ("div", named("nav")), ("ul", named("menu")), ("div", named("breadcrumb"))])
@@ -449,7 +514,7 @@ def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARK
             return
         elif kind == "bare":
             said = r.choice(NOTICES)
-            text = words(2, 8) if where == "out" and r.random() < 0.5 else f"{words(0, 4)} {said} {words(0, 5)}"
+            text = words(2, 8) if where == "out" and r.random() < 0.5 else f"{words(0, 3 if rich else 4)} {said} {words(0, 3 if rich else 5)}"
             p.leaf("p" if where != "in" and r.random() < 0.3 else "div", False, text)
             return
         elif kind == "picture":
@@ -458,10 +523,14 @@ def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARK
             p.out.append("</svg>")
             return
         elif kind == "links":
-            p.open(r.choice(["div", "p", "ul", "center"]), False)
-            for _ in range(r.randint(3, 9)):
+            p.open(r.choice(["div", "div", "ul", "center"] if rich else ["div", "p", "ul", "center"]), False)
+            between = r.choice([" | ", " ", "", "br"]) if rich else None
+            for _ in range(r.randint(2 if rich else 3, 9)):
                 p.leaf("a", False, words(1, 3), 'href="/x"')
-                p.out.append(r.choice([" | ", " ", ""]))
+                if between == "br":
+                    p.open("br", False)
+                else:
+                    p.out.append(r.choice([" | ", " ", ""]) if between is None else between)
             p.out.append("</div></p></ul></center>")
             return
         else:
@@ -499,21 +568,59 @@ def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARK
         p.out.append(f"</{tag}>")
 
     def talk(p: Page) -> None:
-        """Comments under a heading, without a telling class; nothing but them follows in their parent."""
-        p.leaf(r.choice(["h2", "h3", "h3", "h4"]), False, r.choice(TALKS).format(r.randint(0, 40)))
-        for _ in range(r.randint(1, 5)):
-            if r.random() < 0.5:
-                p.leaf("p", False, words(1, 40))
-            else:
-                p.open("div", False)
-                p.leaf(r.choice(["b", "span", "h4"]), False, words(1, 2))
+        """Comments under a heading, without a telling class: several of one make, with marks or with parts."""
+        p.leaf(r.choice(["h2", "h3", "h3", "h4"]), False, r.choice(TALKS if rich else [t for t in TALKS if COUNTED.search(t.format(1))]).format(r.randint(0, 40)))
+        if not rich:
+            for _ in range(r.randint(1, 5)):
+                if r.random() < 0.5:
+                    p.leaf("p", False, words(1, 40))
+                else:
+                    p.open("div", False)
+                    p.leaf(r.choice(["b", "span", "h4"]), False, words(1, 2))
+                    p.leaf("p", False, words(1, 40))
+                    p.out.append("</div>")
+            return
+        make, listed = r.choice(["marks", "parts", "lines"]), r.random() < 0.3
+        if listed:
+            p.open("ul", False)
+        for _ in range(r.randint(2, 5)):
+            if make == "lines":
                 p.leaf("p", False, words(1, 40))
-                p.out.append("</div>")
+                p.leaf("p", False, r.choice(MARKS).format(words(1, 1), r.randint(1, 23)))
+                continue
+            tag = "li" if listed else "div"
+            p.open(tag, False)
+            p.leaf(r.choice(["b", "span", "h4", "strong"]), False, words(1, 2))
+            if make == "marks":
+                p.leaf(r.choice(["span", "small", "time", "a"]), False, r.choice(MARKS).format(words(1, 1), r.randint(1, 23)))
+            p.leaf("p", False, words(1, 40))
+            p.out.append(f"</{tag}>")
+        if listed:
+            p.out.append("</ul>")
+
+    def links(p: Page, good: bool, own: bool) -> None:
+        """Links of the text: a list of sources, a sentence of links, or one alone. Lists of nothing but links are the text's in containers that tell."""
+        kind = r.choice(["list", "sentence", "alone", "several"])
+        if kind == "list":
+            if not own or r.random() < 0.7:
+                p.leaf(r.choice(["h2", "h3"]), good, r.choice(["Sources", "References", "Links", words(1, 3)]))
+            p.open(r.choice(["ul", "ol"]), good)
+            for _ in range(r.randint(1, 6)):
+                p.open("li", good)
+                p.leaf("a", good, words(1, 8), 'href="/s"')
+                p.out.append((r.choice(["", ".", " " + words(1, 6)]) if own else " " + words(3, 9)) + "</li>")
+            p.out.append("</ul></ol>")
+            return
+        p.open("p", good)
+        for k in range(1 if kind == "alone" else r.randint(2, 4)):
+            p.out.append("" if kind == "alone" else "See " if not k else r.choice([" and ", ", "]))
+            p.leaf("a", good, words(1, 8), 'href="/s"')
+        p.out.append(r.choice(["", "."]) + "</p>")
 
     def blocks(p: Page, own: bool) -> None:
         """The article's text; in a container that tells (`own`) it may speak like a notice."""
         if r.random() < 0.8:
-            if r.random() < 0.15:
+            if r.random() < (0.15 if own or not rich else 0.04):
                 p.open("header", True)
                 p.leaf("h1", True, words(1, 9))
                 p.out.append("</header>")
@@ -521,7 +628,19 @@ def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARK
                 p.leaf(r.choice(["h1", "h1", "h2"]), True, words(1, 9) if not own or r.random() < 0.9 else r.choice(NOTICES))
         for _ in range(r.choice([1, 1, 2, 3, 5, 9])):
             x = r.random()
-            if x < 0.62:
+            if rich and r.random() < 0.1:
+                links(p, True, own)
+            elif rich and r.random() < 0.08:
+                p.leaf(r.choice(["h2", "h3"]), True, r.choice(["Discussion", "Comments", "Responses", "Replies", "Kommentare", "Comments on " + words(1, 3), "Discussion of " + words(1, 3)]))
+                for _ in range(r.randint(1, 3)):
+                    p.leaf("p", True, words(3, 60))
+            elif rich and r.random() < 0.06:
+                p.open("h2", True)
+                p.leaf("a", True, words(1, 7), 'href="/s"')
+                p.out.append("</h2>")
+            elif rich and r.random() < 0.14:
+                p.leaf("p", True, f"{words(4, 30)} {r.choice(NOTICES)} {words(4, 30)}")
+            elif x < 0.62:
                 p.open("p", True)
                 if r.random() < 0.25:
                     p.open("b", True)
@@ -570,7 +689,7 @@ def labelled_pages(n: int = 600, seed: int = 11, markups: tuple[str, ...] = MARK
 
     def article(p: Page, markup: str) -> None:
         """The article in one of MARKUPS, and what stands beside it in its container."""
-        talks = r.random() < 0.12
+        talks = r.random() < (0.3 if rich else 0.12)
         if markup == "named":
             tag, attrs = r.choice(
                 [("article", "")] * 4 + [("article", named("post")), ("main", ""), ("main", named("content")), ("div", named("content")), ("div", named("article")), ("div", named("entry")), ("section", named("story"))]
