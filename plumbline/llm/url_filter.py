@@ -7,11 +7,12 @@ confirms, and precedence (longest rule) decides. The host suffixes meet the
 hosts of rules first, in the same way; only a host that has rules is expanded,
 by the path lengths that its own rules have.
 
-Shape at scale: the expansion and the join run before any shuffle (rules are
-broadcast while their counted number stays within `broadcast_rules`; beyond it
-Spark shuffles both sides by prefix). Only matches are aggregated, by distinct
-(host, path), so a host with a third of all pages costs one row per distinct
-path. Decisions are joined back by (host, path) under adaptive skew handling.
+Shape at scale: rows are counted by distinct (host, path) first, on the map
+side, and only these are expanded and joined (rules are broadcast while their
+counted number stays within `broadcast_rules`; beyond it Spark shuffles both
+sides by prefix). So a host or URL with a third of all pages is decided once
+a path. Decisions go back to the rows by their counts: those of URLs with over a
+thousandth of all rows by broadcast, so these rows are not shuffled, the others by a plain join.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, discard, spread_join, written
 
 #: Rules are broadcast up to this counted number (about 200 bytes each).
 BROADCAST_RULES = 200_000
@@ -90,8 +91,9 @@ def filter_urls(
     small = digested.select("__prefix", "__digest", "__rule", "__verdict", "__hlen")
     if bound["n"] <= broadcast_rules:
         hosts, small = F.broadcast(hosts), F.broadcast(small)
+    urls = written(parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("__n")), "urls")
     expressions = (
-        parsed.where(F.col("host") != "")
+        urls.where(F.col("host") != "")
         .select("host", "path", F.explode(suffixes).alias("__s"))
         .withColumn("__host_full", F.sha2("__s", 256))
         .withColumn("__host_prefix", F.substring("__host_full", 1, 8))
@@ -109,6 +111,7 @@ def filter_urls(
         .agg(F.max_by(F.struct(F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict")), rank).alias("__d"))
         .select("host", "path", "__d.rule", "__d.verdict")
     )
-    return parsed.join(decisions, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in keep], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
-    )
+    facts = written(urls.join(decisions, ["host", "path"], "left"), "decisions")
+    discard(urls)
+    total = facts.agg(F.sum("__n")).first()[0] or 0
+    return spread_join(parsed, facts, ["host", "path"], total).select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

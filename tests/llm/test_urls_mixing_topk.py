@@ -47,6 +47,24 @@ def test_url_parts_and_precedence(spark):
     assert filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_a_url_of_half_of_all_rows_is_no_task(spark):
+    """Its rows stay where they are: they meet their decision by broadcast, whatever the size of the tables."""
+    rules = spark.createDataFrame([("com", "/en/", "block")], RULES)
+    pages = spark.range(60_000).selectExpr("id AS page_id", "if(id % 2 = 0, 'http://a.com/en/x', if(id % 7 = 0, null, concat('http://b', id % 20000, '.com/en'))) AS url").repartition(8)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = filter_urls(pages, rules, broadcast_rules=0)
+        sizes = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert max(r["count"] for r in sizes) < 12_000
+        assert {tuple(r) for r in got.groupBy("verdict").count().collect()} == {("block", 30_000), ("allow", 30_000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def water(sizes, weights, share=1.5, cap=2.0):
     """Share by weight; what stands above its cap is shared again among the others, until none is above."""
     left, open_ = share * sum(sizes.values()), set(sizes)
