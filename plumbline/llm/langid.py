@@ -38,6 +38,10 @@ WORST = -12.0
 SWITCH = 14.0
 #: Labelled rows that a bonus for the opening language must set right, net, before it is believed.
 EVIDENCE = 3
+#: Scores (words times languages) that texts in step hold at once, and looked-up values (letters times languages).
+CELLS, LETTERS = 1 << 23, 1 << 22
+#: Words from which on a text goes alone, in pieces of as many.
+LONG_WORDS = 20_000
 #: Share of a language's letters from which on it uses a script.
 USES_SCRIPT = 0.01
 
@@ -129,15 +133,79 @@ def train(labelled: list[tuple[str | None, str]]) -> Model:
 
 
 def shares_of(w: Words, m: Model, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: the share of letters in spans of each language, the opening language (0 without words), and per word its language."""
-    label = viterbi(word_scores(w, m), w.first)
+    """Per text: the share of letters in spans of each language, the opening language (0 without words), and per word its language.
+
+    Words in a script that no language uses count among all letters, but for no language.
+    """
+    label = labels_of(w, m)
     k = len(m.languages)
     text_of = np.repeat(np.arange(n), np.diff(w.first))
-    letters = np.bincount(text_of * k + label, weights=w.end - w.start, minlength=n * k).reshape(n, k)
+    size = w.end - w.start
+    known = m.uses.any(axis=1)[w.script]
+    letters = np.bincount(text_of * k + label, weights=size * known, minlength=n * k).reshape(n, k)
+    total = np.bincount(text_of, weights=size, minlength=n)
     opening = np.zeros(n, dtype=np.int64)
-    some = np.diff(w.first) > 0
-    opening[some] = label[w.first[:-1][some]]
-    return letters / np.maximum(letters.sum(axis=1), 1)[:, None], opening, label
+    first_known = np.searchsorted(np.flatnonzero(known), w.first[:-1])
+    at_known = np.append(np.flatnonzero(known), len(known))[first_known]
+    some = at_known < w.first[1:]
+    opening[some] = label[at_known[some]]
+    return letters / np.maximum(total, 1)[:, None], opening, label
+
+
+def labels_of(w: Words, m: Model, cells: int = CELLS, long_words: int = LONG_WORDS) -> np.ndarray:
+    """The language of every word. Texts go in step, as many at once as `cells` scores allow; a longer text goes piece by piece."""
+    label = np.zeros(len(w.start), dtype=np.int32)
+    length = np.diff(w.first)
+    for i in np.flatnonzero(length > long_words).tolist():
+        label[w.first[i] : w.first[i + 1]] = long_viterbi(w, m, int(w.first[i]), int(w.first[i + 1]), long_words)
+    begin = 0
+    while begin < len(length):  # runs of short texts
+        end, total = begin, 0
+        while end < len(length) and length[end] <= long_words and (end == begin or total + length[end] * len(m.languages) <= cells):
+            total += int(length[end]) * len(m.languages)
+            end += 1
+        if end > begin:
+            x, y = int(w.first[begin]), int(w.first[end])
+            label[x:y] = viterbi(word_scores(w, m, x, y), w.first[begin : end + 1] - x)
+        begin = max(end, begin + 1)
+    return label
+
+
+def long_viterbi(w: Words, m: Model, a: int, b: int, piece: int, penalty: float = SWITCH) -> np.ndarray:
+    """Labels of the words a to b of one text. The way there keeps the totals at the begin of each piece only; the way back makes a piece anew."""
+    label = np.zeros(b - a, dtype=np.int32)
+    k, saved = len(m.languages), []
+    v = np.zeros(k, dtype=np.float32)
+    for x in range(a, b, piece):
+        saved.append(v)
+        v = forward(word_scores(w, m, x, min(x + piece, b)), v, x == a, penalty)
+    state = int(v.argmax())
+    for n in range(len(saved) - 1, -1, -1):
+        x = a + n * piece
+        s = word_scores(w, m, x, min(x + piece, b))
+        best, stays = np.zeros(len(s), dtype=np.int32), np.zeros((len(s), k), dtype=bool)
+        forward(s, saved[n], n == 0, penalty, best, stays)
+        for t in range(len(s) - 1, -1, -1):
+            label[x - a + t] = state
+            if n or t:
+                state = state if stays[t, state] else int(best[t])
+    return label
+
+
+def forward(s: np.ndarray, v: np.ndarray, begins: bool, penalty: float, best: np.ndarray | None = None, stays: np.ndarray | None = None) -> np.ndarray:
+    """Totals after the words of `s`, from those before; `best` and `stays` take the way back of each word."""
+    penalty = np.float32(penalty)
+    for t in range(len(s)):
+        if begins and t == 0:
+            v = s[0]
+            continue
+        arg = int(v.argmax())
+        jump = v[arg] - penalty
+        if stays is not None:
+            best[t] = arg
+            np.greater_equal(v, jump, out=stays[t])
+        v = np.maximum(v, jump) + s[t]
+    return v
 
 
 def choose(shares: np.ndarray, opening: np.ndarray, bonus: float) -> np.ndarray:
@@ -164,17 +232,24 @@ def opening_bonus(labelled: list[tuple[str | None, str]], m: Model) -> float:
     return best if right[best] >= right[0.0] + EVIDENCE else 0.0
 
 
-def word_scores(w: Words, m: Model) -> np.ndarray:
-    """(words, languages): at most 0, the word's best language at 0; a language that does not use the word's script is at WORST."""
-    if not len(w.start):
-        return np.zeros((0, len(m.languages)), dtype=np.float32)
-    s = np.add.reduceat(m.logp[w.trigram], w.at, axis=0)
-    fits = m.uses[w.script]
+def word_scores(w: Words, m: Model, a: int = 0, b: int | None = None, letters: int = LETTERS) -> np.ndarray:
+    """(words a to b, languages): at most 0, the word's best language at 0; a language that does not use the word's script is at WORST.
+
+    A word in a script that no language uses speaks for none. Letters are looked up some at a time, whatever the number of languages.
+    """
+    b = len(w.start) if b is None else b
+    out = np.zeros((b - a, len(m.languages)), dtype=np.float32)
+    size = (w.end - w.start)[a:b]
+    for x, y in slices(size.tolist(), max(1, letters // max(1, len(m.languages)))):
+        at = w.at[a + x : a + y]
+        out[x:y] = np.add.reduceat(m.logp[w.trigram[at[0] : at[-1] + size[y - 1]]], at - at[0], axis=0)
+    fits = m.uses[w.script[a:b]]
     narrowed = fits.any(axis=1)
-    s[narrowed] = np.where(fits[narrowed], s[narrowed], -1e9)
-    s[~narrowed] = 0
-    s -= s.max(axis=1, keepdims=True)
-    return np.maximum(s, np.float32(WORST))
+    out[narrowed] = np.where(fits[narrowed], out[narrowed], np.float32(-1e9))
+    out[~narrowed] = 0
+    if len(out):
+        out -= out.max(axis=1, keepdims=True)
+    return np.maximum(out, np.float32(WORST))
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -269,7 +344,8 @@ def identify_languages(
 
     Learns from rows where `learn_from` holds and language and text are not
     null. Null texts and texts without letters are `und` with score 0; with nothing to learn from every text
-    is. The score is the share of the letters in spans of the predicted language. Of equal shares the opening language wins. Repeated rows stay; an empty table gives an empty result.
+    is. The score is the share of the letters in spans of the predicted language; letters of a script that
+    no learned language uses are in no span, so a text of such letters has a learned language with score 0. Of equal shares the opening language wins. Repeated rows stay; an empty table gives an empty result.
     """
     model = train(labelled_sample(docs, learn_from, per_language, lang, text, id_col))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
