@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, fold, read_table, written
+from plumbline.llm.common import discard, fold, read_table, side_tables, written
 from plumbline.llm.decontam import contamination
 from plumbline.llm.langid import identify_languages
 from plumbline.llm.mixing import mix
@@ -74,9 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written and read again as the next one's input."""
+    """All stages over `documents`; each one's result is written and read again as the next one's input.
+
+    Once a stage's result is written, what the stage wrote on the way and the stage before go. The last stage's
+    result reads its input, which stays in the shared folder with it.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard(before)
+        with side_tables() as made:
+            before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before, *(t for t in made if t is not docs))
     return STAGES[-1][1](spark, docs, sf_dir)

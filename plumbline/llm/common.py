@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,26 @@ def written(df: DataFrame, label: str, by: str | None = None, compression: str =
     (df.write.partitionBy(by) if by else df.write).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
+    for made in _WATCHED:
+        made.append(out)
     return out
 
 
+#: Lists that take every table written while they are watched.
+_WATCHED: list[list[DataFrame]] = []
+
+
+@contextmanager
+def side_tables() -> Iterator[list[DataFrame]]:
+    """The tables that are written inside, so that a caller can discard those it no longer reads."""
+    made: list[DataFrame] = []
+    _WATCHED.append(made)
+    try:
+        yield made
+    finally:
+        _WATCHED.remove(made)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that no result reads any more; others are left alone."""
     for t in tables:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
 
@@ -77,3 +78,13 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
     assert cp.ORACLE_SQL is None
     assert cp.run(spark, folder).where(F.col("target") < 0).count() == 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark, folder):
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/plumbline"
+    before = set(os.listdir(at))
+    got = cp.run(spark, folder)
+    left = {d.rpartition("-")[0] for d in set(os.listdir(at)) - before}
+    assert "stage-scan_secrets" in left
+    assert not left & {"stage-language_id", "stage-near_dedup", "stage-decontaminate", "links", "fingerprints", "groups", "stay", "candidates", "ownership", "hits", "numbered"}, left
+    assert got.count() > 0
