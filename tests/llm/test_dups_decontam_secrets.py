@@ -136,6 +136,30 @@ def plain_hits(text, items, window=13):
     return len(w), len(hit), sorted(str(i) for i in found if i is not None)
 
 
+def test_one_read_of_the_documents_for_a_large_benchmark(spark, sf):
+    """The joined way gives what the closure gives on whole tables, and reads each document once."""
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    seen = docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    key = lambda df: sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(tuple(s) for s in r["hit_spans"]), tuple(r["hit_items"]), r["contaminated"]) for r in df.collect())
+    got = key(decontam.contamination(seen, bench, ["doc_id"], max_words=50))
+    assert reads.value == docs.count()
+    assert got == key(decontam.contamination(docs, bench, ["doc_id"])) and any(r[2] for r in got)
+    # Items without words, and one item of far more words than a closure takes.
+    blank = spark.createDataFrame([(1, "... !"), (2, "-" * 400)], "item_id long, text string")
+    assert decontam.contamination(docs, blank, ["doc_id"], max_words=1).where("n_hit > 0").count() == 0
+    whole = docs.orderBy("doc_id").limit(1).select("doc_id", "text")
+    long = whole.select(F.lit(7).cast("bigint").alias("item_id"), F.repeat(F.concat("text", F.lit(" ")), 20).alias("text"))
+    one = decontam.contamination(whole, long, ["doc_id"], max_words=10).first()
+    assert one["n_hit"] == one["n_words"] and one["hit_items"] == ["7"]
+
+
 @pytest.mark.parametrize("max_words", [10**6, 20])
 def test_contamination_matches_brute_force(spark, odd_docs, max_words):
     r = random.Random(9)
