@@ -57,11 +57,27 @@ def bucket_of(key: Column, buckets: int, salt: str) -> Column:
     return F.coalesce((F.crc32(F.concat(F.lit(salt), key.cast("string"))) % buckets).cast("int"), F.lit(buckets + 1))
 
 
-def write_numbered(df: DataFrame, number: Column, folder: str, number_name: str) -> None:
-    """Starting files: one nonempty file a number, in a folder of its own, sorted by the columns of `df` (the join key first), nulls first."""
+def write_numbered(df: DataFrame, number: Column, folder: str, number_name: str) -> dict[int, str]:
+    """Starting files: one nonempty file a number, sorted by the columns of `df` (the join key first), nulls first. Returns the path of each number.
+
+    Files are named by their number alone: a folder `name=number` would be read as a column more.
+    """
+    spark = df.sparkSession
     df = df.withColumn(number_name, number)
     ordered = df.repartition(number_name).sortWithinPartitions(number_name, *[c for c in df.columns if c != number_name])
-    ordered.write.partitionBy(number_name).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(folder)
+    ordered.write.partitionBy(number_name).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/dealt")
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    fs, out = path(folder).getFileSystem(context._jsc.hadoopConfiguration()), {}
+    fs.mkdirs(path(f"{folder}/start"))
+    for d in fs.listStatus(path(f"{folder}/dealt")):
+        name, eq, n = d.getPath().getName().partition("=")
+        for f in fs.listStatus(d.getPath()) if eq else ():
+            if f.getPath().getName().endswith(".parquet"):
+                out[int(n)] = f"{folder}/start/{START.format(int(n))}"
+                fs.rename(f.getPath(), path(out[int(n)]))
+    fs.delete(path(f"{folder}/dealt"), True)
+    return out
 
 
 class RowKeys:
@@ -230,6 +246,9 @@ def chunks(rows: Iterator, size: int) -> Iterator[list]:
         yield out
 
 
+START = "file-{:05d}.parquet"
+
+
 def file_name(bucket: int) -> str:
     return f"bucket-{bucket:05d}.parquet"
 
@@ -354,21 +373,6 @@ def counted_parents(df: DataFrame, pair: Pair, key: str, bucket: str):
     return per_key.mapInArrow(pack, "packed binary").rdd.flatMap(lambda r: pickle.loads(bytes(r[0])))
 
 
-def only_files(spark: SparkSession, folder: str) -> dict[int, str]:
-    """Number of each starting file and its path."""
-    context = spark.sparkContext
-    at = context._jvm.org.apache.hadoop.fs.Path(folder)
-    fs, out = at.getFileSystem(context._jsc.hadoopConfiguration()), {}
-    if not fs.exists(at):
-        return out
-    for d in fs.listStatus(at):
-        if d.isDirectory() and "=" in d.getPath().getName():
-            for f in fs.listStatus(d.getPath()):
-                if f.getPath().getName().endswith(".parquet"):
-                    out[int(d.getPath().getName().rpartition("=")[2])] = f"{folder}/{d.getPath().getName()}/{f.getPath().getName()}"
-    return out
-
-
 def co_bucket(
     parents: DataFrame, children: DataFrame, key: str, folder: str, names: tuple[str, str], parent_start: Column, child_start: Column, buckets: int = 300, salt: str = "line", uneven: int = UNEVEN
 ) -> DataFrame:
@@ -389,13 +393,11 @@ def co_bucket(
         raise ValueError(f"{key} must be the first column")
     taken = {c.lower() for t in tables for c in t.columns}
     number, bucket = (next(n for n in (w + "_" * i for i in range(len(taken) + 1)) if n not in taken) for w in ("file", "bucket"))
-    for df, name, start in zip(tables, names, (parent_start, child_start), strict=True):
-        write_numbered(df, start.cast("int"), f"{folder}/{name}/start", number)
-    starts = [only_files(spark, f"{folder}/{n}/start") for n in names]
+    starts = [write_numbered(df, start.cast("int"), f"{folder}/{name}", number) for df, name, start in zip(tables, names, (parent_start, child_start), strict=True)]
+    of_name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.parquet$", 1).cast("int")
     again = [
-        spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in t.schema)}, `{number}` int").parquet(f"{folder}/{n}/start").withColumn(bucket, bucket_of(F.col(f"`{key}`"), buckets, salt)) if files
-        else t.limit(0).withColumn(number, F.lit(0)).withColumn(bucket, F.lit(0))
-        for t, n, files in zip(tables, names, starts, strict=True)
+        spark.read.schema(t.schema).parquet(f"{folder}/{n}/start").withColumn(number, of_name).withColumn(bucket, bucket_of(F.col(f"`{key}`"), buckets, salt))
+        for t, n in zip(tables, names, strict=True)
     ]
     # At most a row a start file and bucket.
     flows = [{(r[0], r[1]): r[2] for r in df.groupBy(number, bucket).count().collect()} for df in again]
@@ -458,7 +460,7 @@ def finish(spark: SparkSession, pair: Pair, facts: list[dict], flows: list[dict]
             out.append((name, path, columns, f["ids_sha256"], f["lineage_sha256"], b, f["n_rows"], of_bucket(b), not same))
         for path in starts[table - 1].values():
             if path not in keep:
-                delete_path(spark, path.rpartition("/")[0])
+                delete_path(spark, path)
     delete_path(spark, f"{pair.folder}/runs")
     final = {p for _, p, *_ in out}
     fs, at = file_system(pair.folder)

@@ -101,7 +101,8 @@ def check(result, sales, lines, buckets, start_sale, start_line, columns):
         w = want[r["table_name"], r["bucket"]]
         assert {k: r[k] for k in w if k != "rows"} == {k: v for k, v in w.items() if k != "rows"}, r
         assert r["columns"] == ",".join(columns[r["table_name"]])
-        table = pq.read_table(r["path"].removeprefix("file://"), partitioning=None)
+        assert "=" not in r["path"]  # readers would take it for a column
+        table = pq.read_table(r["path"].removeprefix("file://"))
         assert table.column_names == columns[r["table_name"]]
         got = [tuple(v.values()) for v in table.to_pylist()]
         assert [order(x) for x in got] == sorted(map(order, got))
