@@ -412,3 +412,55 @@ def call_signature(s: Script, c: Call) -> tuple[str, str] | None:
     if not c.member and c.name.startswith(PURE_PREFIXES) and items and all((x := argument(s, i)) != "<expr>" or is_text(s, i) for i in items):
         return "pure", signature("pure_compute", c.name, ", ".join(argument(s, i) for i in items))
     return None
+
+#: Packages whose whole import is large.
+MOMENT, LODASH = {"moment", "moment-timezone"}, {"lodash", "underscore"}
+BARRELS = set("@mui/material @mui/icons-material @mui/lab antd @ant-design/icons @chakra-ui/react @mantine/core @mantine/hooks @headlessui/react @heroicons/react react-bootstrap reactstrap semantic-ui-react".split())
+
+
+def imports(s: Script) -> Iterator[tuple[int, str, str]]:
+    """Token, what is imported, and the package of every import statement; one ends at its quoted package, a semicolon or the next import."""
+    n = len(s.kinds)
+    for i in range(n):
+        if s.kinds[i] != "name" or s.word(i) != "import" or not s.is_key_word(i) or s.word(i + 1) in ("(", "."):
+            continue
+        j = i + 1
+        while j < n and s.kinds[j] != "string" and s.word(j) not in (";", "import"):
+            j += 1
+        if j < n and s.kinds[j] == "string":
+            what = s.text[s.ends[i] : s.starts[j]].strip()
+            yield i, re.sub(r"^type\s+|\s*\bfrom\s*$", "", what).strip(), s.word(j)[1:-1]
+
+
+def import_rules(text: str) -> list[Finding]:
+    """Imports and requires of packages that bring more than is used."""
+    s, out = Script(text), []
+    for c in s.calls:
+        items = s.items(c.paren)
+        if c.name == "require" and not c.member and len(items) == 1 and is_text(s, items[0]) and s.text_of(*items[0]) in MOMENT | LODASH:
+            out.append((s.line_of(c), "cjs_require", "high", s.text_of(*items[0])))
+    for i, what, package in imports(s):
+        line = s.line(s.starts[i])
+        if package in MOMENT:
+            out.append((line, "moment_import", "high", package))
+        elif what.startswith("* as") and package in LODASH | BARRELS:
+            out.append((line, "namespace_import", "high", package))
+        elif package in LODASH:
+            out.append((line, "full_lodash_import", "high", package))
+        elif package in BARRELS and what.startswith("{"):
+            out.append((line, "barrel_import", "medium", package))
+    return sorted(out)
+
+
+def query_rules(text: str) -> list[Finding]:
+    """Fields of each query's where block: rule is the model, detail the fields."""
+    s, out = Script(text), []
+    for c in s.calls:
+        owner = s.owner(c).split(".") if c.member else []
+        if c.name not in ("findMany", "findFirst", "findUnique") or len(owner) < 2 or owner[-2] != "prisma":
+            continue
+        first = next(iter(s.items(c.paren)), None)
+        where = s.properties(first[0]).get("where") if first and s.is_object(first) else None
+        if where and s.is_object(where) and (fields := list(s.properties(where[0]))):
+            out.append((s.line_of(c), owner[-1][0].upper() + owner[-1][1:], "high", ",".join(fields)))
+    return sorted(out)

@@ -90,6 +90,23 @@ UI: list[Labelled] = [
     ("const s = `${setTimeout(f, 1)}`;\n// clearTimeout(s)", [(1, "missing_timer_cleanup")]),
 ]
 
+#: Imports stand at the top of a source, so they are put in these surroundings only.
+TOP = ("alone", "after a pattern", "after strings", "block comment", "template text", "markup text")
+IMPORTS: list[Labelled] = [
+    ("import moment from 'moment';", [(1, "moment_import")]), ("import _ from 'lodash';\nimport { Button } from '@mui/material';", [(1, "full_lodash_import"), (2, "barrel_import")]),
+    ("import get from 'lodash/get'; // import _ from 'lodash'", []), ("const _ = require('lodash');", [(1, "cjs_require")]), ("import * as _ from 'lodash';", [(1, "namespace_import")]),
+    ("import {\n  A,\n  B,\n} from \"antd\";\nimport type { C } from 'antd';", [(1, "barrel_import"), (5, "barrel_import")]), ("import Button from '@mui/material/Button';\nimport 'moment';", [(2, "moment_import")]),
+    ("const m = await import('moment');\nconst t = \"require('lodash')\";", []), ("if (x) { y = require(\n  'moment-timezone'\n); }", [(1, "cjs_require")]), ("import * as antd from 'antd'\nimport _, { map } from 'underscore'", [(1, "namespace_import"), (2, "full_lodash_import")]),
+    ("a.import\n'moment';\nrequire.resolve('lodash');", []), ("import React from 'react';\nconst re = /import _ from 'lodash'/;", []),
+]
+PYTHON: list[Labelled] = [
+    ("import re\nfor a in x:\n    for b in y:\n        re.match(a, b)\n", [(3, "nested-loops"), (4, "regex-in-loop")]), ("import json\nwhile x:\n    d = json.loads(s)\n    l = [i for i in d]\n", [(3, "json-parse-in-loop"), (4, "nested-comprehension")]),
+    ("import re\np = re.compile('a')\nfor a in x:\n    p.match(a)\n", []), ("async def f():\n    for a in x:\n        await g(a)\n", [(3, "sequential-await-in-loop")]), ("for in broken(:\n", []),
+    ('text = """\nfor a in b:\n    for c in d:\n        re.match(a)\n"""\n', []), ("for a in x:  # for b in y\n    pass\nelse:\n    re.sub('a', 'b', c)\n", [(4, "regex-in-loop")]),
+    ("for a in x:\n    def f():\n        return {k: v for k, v in a}\n", [(3, "nested-comprehension")]), ("while a:\n    while b:\n        while c:\n            json.load(f)\n", [(2, "nested-loops"), (3, "nested-loops"), (4, "json-parse-in-loop")]),
+    ("async def g():\n    async for a in b:\n        async for c in d:\n            x = [await h(c)]\n", [(3, "nested-loops"), (4, "sequential-await-in-loop")]), ("[x for y in z for x in y]\n", []), ("x = f'{re.match(a, b)}'\nfor c in d:\n    e = f'{re.match(c, b)}'\n", [(3, "regex-in-loop")]),
+]
+
 #: Source, then kind, signature and number of calls.
 CACHE: list[tuple[str, list[tuple[str, str, int]]]] = [
     ("a = fetch( url );\nb = fetch(url);\nc = fetch(other);", [("http", "fetch | <dynamic:url> | method=GET", 2)]),
@@ -119,10 +136,10 @@ PATTERNS: list[tuple[str, str, str]] = [
 ]
 
 
-def placed(snippets: list[Labelled], strings: bool = False) -> list[Labelled]:
+def placed(snippets: list[Labelled], strings: bool = False, only: tuple[str, ...] = tuple(AROUND)) -> list[Labelled]:
     """Every snippet in every surrounding. A snippet with a back quote cannot stand in a template's text, one with braces not in markup text; with `strings` templates' text is searched, so none is put there."""
     out = []
-    for name, (before, after, code) in AROUND.items():
+    for name, (before, after, code) in ((k, AROUND[k]) for k in only):
         for source, labels in snippets:
             if name == "template text" and ("`" in source or strings) or name == "markup text" and any(c in source for c in "{<") or name == "block comment" and "*/" in source:
                 continue

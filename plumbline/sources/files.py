@@ -15,15 +15,20 @@ from pyspark.sql import types as T
 from . import connectors
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder all executors share. Only a local master (one machine, as in tests) may go without spark.checkpoint.dir."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Only a local master (one machine, as in tests) may go without; it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plumbline-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/plumbline/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str], missing: str | None = "") -> DataFrame:
