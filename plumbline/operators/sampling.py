@@ -72,7 +72,12 @@ def replayed_ranks(size: int, n: int, seed: int, block: int = 1 << 16) -> list[i
     return out
 
 
-def replayed_draw(population: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+def replayed_draw(items: list, n: int, seed: int) -> list:
+    """The exact Fisher-Yates draw of an ordered list."""
+    return [items[r] for r in replayed_ranks(len(items), n, seed)]
+
+
+def replayed_sample(population: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The exact Fisher-Yates draw of a table in the order of `key` (unique, numeric), for replaying an older sample: its rows and `pos`.
 
     Only ranks are shuffled; rows get theirs by a running count over key ranges and meet the n drawn ranks by a join.

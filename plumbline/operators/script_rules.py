@@ -53,7 +53,9 @@ class Script(Source):
         return out
 
     def items(self, opener: int) -> list[tuple[int, int]]:
-        """First and last token of each item between a bracket and its partner, cut at commas."""
+        """First and last token of each item between a bracket and its partner, cut at commas; none if it is not closed."""
+        if opener not in self.partner:
+            return []
         end, out, i = self.after(opener) - 1, [], opener + 1
         a = i
         while i < end:
@@ -292,7 +294,11 @@ DISPOSABLE = {"WebSocket": "close", "EventSource": "close", "Worker": "terminate
 
 
 def resource_rules(text: str) -> list[Finding]:
-    """Acquiring calls and the releases of their kind within the same function (detail `function:acquire` or `function:release`; the function's position, -1: none)."""
+    """Acquiring and releasing calls with the function they are in (its position, -1: none).
+
+    Detail is `function:acquire:place` and `function:release`, and `function:release:place` beside for what releases the resource
+    acquired at a place: a call of its kind anywhere in that function, functions within it included.
+    """
     s = Script(text)
     places: dict[str, list[int]] = {}
     for c in s.calls:
@@ -313,8 +319,9 @@ def resource_rules(text: str) -> list[Finding]:
             taken.append((s.starts[c.at], f"resource_without_cleanup:{c.name}", "medium", s.line(s.starts[c.at])))
             given[f"resource_without_cleanup:{c.name}"] = sorted(places.get(DISPOSABLE[c.name], ()))
     ends = dict(s.functions)
-    inside = s.nearest([p for p, *_ in taken], s.functions)
-    out = set()
+    inside = s.nearest([*(p for p, *_ in taken), *(p for ps in given.values() for p in ps)], s.functions)
+    severity_of = {rule: severity for rule, severity, *_ in RESOURCES}
+    out = {(s.line(p), rule.split(":")[0], severity_of.get(rule, "medium"), f"{inside[p]}:release") for rule, ps in given.items() for p in ps}
     for p, rule, severity, line in taken:
         f = inside[p]
         kind = rule.split(":")[0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.prng import mulberry_sql
 from ..functions.rules import percent
 from ..operators.joins import multiset_difference
-from ..operators.sampling import cohens_kappa, precision_recall, ratio_estimate, replayed_draw, seeded_order, stratified_sample, stratified_total
+from ..operators.sampling import cohens_kappa, precision_recall, ratio_estimate, replayed_sample, seeded_order, stratified_sample, stratified_total
 from ..sources.tables import Tables
 from .registry import query
 
@@ -35,7 +35,7 @@ SELECT unnest(range(0, 10)) AS pos, unnest(l[1:10]) AS n_name FROM r WHERE i = 0
 @query(REPLAY)
 def smp_01_exact_replay(t: Tables) -> DataFrame:
     """The exact shuffle of an ordered table (here the 25 nations by name)."""
-    return replayed_draw(t.nation.select(F.row_number().over(W.orderBy("n_name")).alias("k"), "n_name"), "k", 10, 42).select("pos", "n_name")
+    return replayed_sample(t.nation.select(F.row_number().over(W.orderBy("n_name")).alias("k"), "n_name"), "k", 10, 42).select("pos", "n_name")
 
 
 def drawn_sql(n: int, seed: int) -> str:
@@ -55,7 +55,7 @@ def drawn_sql(n: int, seed: int) -> str:
 @query(drawn_sql(40, 7))
 def smp_01_replayed_orders(t: Tables) -> DataFrame:
     """Forty orders of an exact shuffle of all; nothing but ranks is drawn in the driver."""
-    return replayed_draw(t.orders.select("o_orderkey"), "o_orderkey", 40, 7).select("pos", "o_orderkey")
+    return replayed_sample(t.orders.select("o_orderkey"), "o_orderkey", 40, 7).select("pos", "o_orderkey")
 
 
 STRATA = {"F": 30, "O": 30, "P": None}

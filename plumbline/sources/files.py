@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import connectors
+from .connectors import glob_regex  # noqa: F401
 
 
 def shared_root(spark: SparkSession) -> str:

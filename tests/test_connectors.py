@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import gzip_length, in_locale
 from plumbline.operators.history import first_parents, last_before, reachable
-from plumbline.operators.sampling import replayed_draw, replayed_ranks
+from plumbline.operators.sampling import replayed_sample, replayed_ranks
 from plumbline.operators.windows import range_of
 from plumbline.sources import connectors, files, parsers
 
@@ -170,7 +170,7 @@ def plain_shuffle(size, seed):
 def test_replayed_ranks(spark):
     for size, n, seed, block in ((1, 1, 1, 8), (2, 2, 5, 8), (25, 10, 42, 8), (1000, 60, 9, 64), (1000, 1000, 9, 1 << 16), (5000, 3, 1, 100), (0, 4, 1, 8)):
         assert replayed_ranks(size, n, seed, block) == plain_shuffle(size, seed)[:n]
-    drawn = replayed_draw(spark.range(10, 5010).toDF("k"), "k", 20, 77).orderBy("pos").collect()
+    drawn = replayed_sample(spark.range(10, 5010).toDF("k"), "k", 20, 77).orderBy("pos").collect()
     assert [r["k"] for r in drawn] == [10 + x for x in plain_shuffle(5000, 77)[:20]]
 
 
