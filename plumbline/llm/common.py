@@ -9,7 +9,6 @@ slices of a batch for the vectorised kernels.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -21,23 +20,14 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_root
+
 #: Bytes of one Arrow batch that carries whole texts (a longer text is a batch of its own).
 TEXT_BYTES_PER_BATCH = 4 << 20
 #: UTF-8 bytes of text that one kernel call works on.
 TEXT_BYTES_PER_SLICE = 4 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local master (one machine, as in tests) may go without; it gets a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="plumbline-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: Name of the attribute that holds a written table's path.
 _PATH = "_plumbline_path"
 
