@@ -54,5 +54,8 @@ def test_null_texts_and_urls(spark, tmp_path):
     spark.createDataFrame([(None, None), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(None, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(None, None, None, None, None, None, None)], "sale_id long, client_id long, status string, total double, sold_at timestamp_ntz, arrived_at timestamp_ntz, priority int").write.parquet(f"{tmp_path}/sales.parquet")
+    spark.createDataFrame([(None, None, None, None)], "sale_id long, line_no int, item_id long, flag string").write.parquet(f"{tmp_path}/sale_lines.parquet")
+    spark.createDataFrame([(0, None, None, None), (None, None, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == (0 if name == "op10_topk" else 2), name
