@@ -236,3 +236,24 @@ def test_top_k_over_spark(spark):
         want = brute_topk([i for i, _ in four if i % 50 == 0], [e for i, e in four if i % 50 == 0], [i for i, _ in four], [e for _, e in four], 5)
         assert got == sorted([*want, (700, 1, 751, 128 * 128 + 64 * 128)])
     assert top_k(q.limit(0), v).count() == 0 and top_k(q, v.limit(0)).count() == 0
+
+
+def test_topk_counts_every_row(spark, tmp_path):
+    """Repeated rows, other vectors of the query's id and rows of null id are candidates; only the query's own row is not."""
+    from plumbline.llm.queries import op10_topk
+    from plumbline.llm.topk import top_k_of_rows
+
+    r = random.Random(8)
+    rows = [(i, [r.randrange(-40, 40) / 16 for _ in range(3)]) for i in range(1, 130)]
+    rows += [rows[6]] * 9 + [rows[49]] * 2 + [(100, [2.0, -1.0, 0.5]), (0, [0.25, 0.0, -0.75]), (-50, [-2.0, 1.0, 1.0])] + [(None, [2.5, 2.5, s]) for s in (-2.5, 2.5, 2.5)]
+    spark.createDataFrame([*rows, (150, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [[math.floor(256 * a) for a in e] for _, e in rows]
+    want = []
+    for n, (i, _) in enumerate(rows):
+        if i is not None and i % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(whole[n], v, strict=True)), j is None, j or 0) for m, (v, (j, _)) in enumerate(zip(whole, rows, strict=True)) if m != n)
+            want += [(i, at + 1, None if unnamed else j, -score) for at, (score, unnamed, j) in enumerate(s[:5])]
+    assert sorted(map(repr, (tuple(g) for g in op10_topk(spark, str(tmp_path)).collect()))) == sorted(map(repr, want))
+    v = integer_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), null_ids=True)
+    got = top_k_of_rows(v, F.col("id") % 50 == 0, block=4, shard_rows=5, query_rows=2).collect()  # heavy ids over several shards
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
