@@ -26,7 +26,7 @@ def range_of(value: Column, cuts: list[float]) -> Column:
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, range_rows: int = 100_000) -> DataFrame:
-    """Sum of `value` up to each row, by `order` (unique, numeric), over the whole table.
+    """Sum of `value` up to each row, by `order` (unique, numeric; null last), over the whole table.
 
     Rows fall into ranges of the order column; the ranges' totals (a small table) are
     summed first, then each range is summed alone from its offset.
@@ -35,11 +35,11 @@ def running_total(df: DataFrame, order: str, value: str, name: str, range_rows:
     ranges = min(max(1, -(-n // range_rows)), MAX_RANGES)
     # Cut at quantiles, so clustered keys do not fall into one range.
     cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    cut = df.withColumn("__r", range_of(F.col(order), cuts))
+    cut = df.withColumn("__r", F.when(F.col(order).isNull(), len(cuts)).otherwise(range_of(F.col(order), cuts)))
     totals = cut.groupBy("__r").agg(F.sum(value).alias("__s"))
     before = W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("__r", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
-    inside = W.partitionBy("__r").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("__r").orderBy(F.col(order).asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
     return cut.withColumn("__w", F.sum(value).over(inside)).join(offsets, "__r").withColumn(name, F.col("__w") + F.col("__o")).drop("__r", "__w", "__o")
 
 

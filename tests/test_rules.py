@@ -247,3 +247,18 @@ def test_latency_summary_of_any_order_and_nulls(spark, tmp_path):
     assert {k: got[k]["mean"] for k in ("b", "c", None)} == {"b": 2.375, "c": None, None: 2.5}
     far = spark.createDataFrame([("x", 1e25), ("x", 3e25), ("y", float("inf"))], "k string, v double").groupBy("k").agg(stats.exact_mean(F.col("v")).alias("m"))
     assert {r["k"]: r["m"] for r in far.collect()} == {"x": 2e25, "y": math.inf}
+
+
+def test_padded_ids_of_many_suppliers(spark, tmp_path):
+    """Over 999 rows and a null key give what the SQL gives, also when the total is made in ranges."""
+    import duckdb
+
+    from plumbline import plans
+
+    spark.createDataFrame([(None if k == 0 else k * 3,) for k in range(1205)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = [tuple(r) for r in plans.QUERIES["win_09_padded_ids"](spark, str(tmp_path)).select("s_suppkey", "id").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, db.sql(plans.ORACLE["win_09_padded_ids"]).fetchall()))
+    d = spark.createDataFrame([(None, 1), (5, 1), (7, 1), (-2, 1)], "k long, v int")
+    assert {r["k"]: r["s"] for r in running_total(d, "k", "v", "s", range_rows=2).collect()} == {-2: 1, 5: 2, 7: 3, None: 4}
