@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,6 +88,106 @@ def replayed_sample(population: DataFrame, key: str, n: int, seed: int) -> DataF
     return ranked.join(F.broadcast(drawn), F.col("__rank") == F.col("__rank0") + 1).drop("__rank", "__rank0")
 
 
+MERSENNE = 2**31 - 1
+
+
+def drawn_positions(module: int, i: int, low: int, high: int, c: int) -> np.ndarray:
+    """Positions in range(c) that draws low to high of resample i take: two squarings modulo 2^31 - 1, the same in every engine."""
+    j = np.arange(low, high, dtype=np.uint64)
+    p, bits = np.uint64(MERSENNE), np.uint64(31)
+    part = np.empty_like(j)
+
+    def fold(x: np.ndarray, times: int) -> None:
+        # Keeps the remainder: 2^31 counts as 1. Twice brings any 64 bits below 2^31 + 4.
+        for _ in range(times):
+            np.right_shift(x, bits, out=part)
+            np.bitwise_and(x, p, out=x)
+            np.add(x, part, out=x)
+
+    x = j * np.uint64(16807)
+    x += np.uint64((i * 48271 + module * 69621 + 12345) % MERSENNE)
+    fold(x, 2)
+    np.multiply(x, x, out=x)
+    fold(x, 2)
+    x *= np.uint64(48271)
+    x += np.uint64(i)
+    fold(x, 2)
+    np.multiply(x, x, out=x)
+    fold(x, 2)
+    x *= np.uint64(69621)
+    x += j
+    fold(x, 2)
+    np.subtract(x, p, out=x, where=x >= p)
+    np.floor_divide(x, np.uint64(c), out=part)
+    part *= np.uint64(c)
+    x -= part
+    return x.view(np.int64)
+
+
+#: Points that a task of a bootstrap holds; draws it makes, roughly, unless that takes more than MAX_BLOCKS tasks a module and chunk.
+CHUNK_POINTS, TASK_DRAWS, MAX_BLOCKS = 1 << 22, 1 << 27, 32
+#: Draws that are made at once: their arrays fit a core's cache.
+SLICE_DRAWS = 1 << 15
+
+
+def bootstrap_slopes(points: DataFrame, order: str, resamples: int, chunk: int = CHUNK_POINTS, draws: int = TASK_DRAWS, blocks: int = MAX_BLOCKS) -> DataFrame:
+    """Regression slopes of resamples of each module's points (module, `order`, x, y): module, i, b.
+
+    A resample has as many draws as the module has points; pairs with a null do not count, equal x give null.
+    A module's resamples are dealt over up to `blocks` tasks, each of which has the module's points and makes its own draws, so
+    only points are shuffled, and only sums come back. A module of over `chunk` points is cut: a task draws
+    whole resamples but looks up the points of its chunk alone, which bounds its memory.
+    """
+    all_of = W.partitionBy("module")
+    placed = points.where(F.col("module").isNotNull()).select(
+        F.col("module").cast("bigint").alias("module"),
+        (F.row_number().over(all_of.orderBy(order)) - 1).cast("bigint").alias("pos"),
+        # Sums of what is left of the mean keep their digits.
+        (F.col("x") - F.avg("x").over(all_of)).alias("x"),
+        (F.col("y") - F.avg("y").over(all_of)).alias("y"),
+        F.count(F.lit(1)).over(all_of).alias("c"),
+    )
+    n_blocks = F.least(F.lit(blocks), F.lit(resamples), F.ceil(F.col("c") * F.lit(resamples) / F.lit(draws)).cast("int"))
+    dealt = placed.withColumn("chunk", F.floor(F.col("pos") / chunk)).withColumn("blocks", n_blocks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def sums(key: tuple, table: pa.Table) -> pa.Table:
+        module, at, block = (k.as_py() for k in key)
+        c, step = table.column("c")[0].as_py(), table.column("blocks")[0].as_py()
+        column = lambda name: table.column(name).to_numpy()  # noqa: E731  null is NaN
+        pos = column("pos") - at * chunk
+        x, y = np.empty(len(pos)), np.empty(len(pos))
+        x[pos], y[pos] = column("x"), column("y")
+        whole, known = len(pos) == c, ~(np.isnan(x) | np.isnan(y))
+        all_known = bool(known.all())
+        rows = []
+        for i in range(block, resamples, step):
+            n, sx, sy, sxx, sxy, low, high = 0, 0.0, 0.0, 0.0, 0.0, np.inf, -np.inf
+            for begin in range(0, c, SLICE_DRAWS):
+                p = drawn_positions(module, i, begin, min(begin + SLICE_DRAWS, c), c)
+                if not whole:
+                    p = p - at * chunk
+                    p = p[(p >= 0) & (p < len(x))]
+                if not all_known:
+                    p = p[known[p]]
+                if len(p):
+                    a, b = x.take(p), y.take(p)
+                    n, sx, sy, sxx, sxy = n + len(p), sx + a.sum(), sy + b.sum(), sxx + a @ a, sxy + a @ b
+                    low, high = min(low, a.min()), max(high, a.max())
+            rows.append((module, i, n, float(sx), float(sy), float(sxx), float(sxy), float(low), float(high)))
+        names = ["module", "i", "n", "sx", "sy", "sxx", "sxy", "low", "high"]
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 6
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    # Few groups of much work: a number keeps adaptive execution from merging their tasks.
+    spark = points.sparkSession
+    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keys = ["module", "chunk", "block"]
+    found = dealt.repartition(parts, *keys).groupBy(*keys).applyInArrow(sums, "module bigint, i bigint, n bigint, sx double, sy double, sxx double, sxy double, low double, high double")
+    added = found.groupBy("module", "i").agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "sxy")], F.min("low").alias("low"), F.max("high").alias("high"))
+    slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
+    return added.select("module", "i", F.when(F.col("high") > F.col("low"), slope).alias("b"))
+
+
 def stratified_total(strata: DataFrame) -> DataFrame:
     """From (population, sampled, hits, unsure) per stratum: total, 95 % interval (floored at 0), and the bound that counts unsure as hits."""
     n, s = F.col("population").cast("double"), F.col("sampled").cast("double")

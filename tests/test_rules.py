@@ -262,3 +262,40 @@ def test_padded_ids_of_many_suppliers(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, db.sql(plans.ORACLE["win_09_padded_ids"]).fetchall()))
     d = spark.createDataFrame([(None, 1), (5, 1), (7, 1), (-2, 1)], "k long, v int")
     assert {r["k"]: r["s"] for r in running_total(d, "k", "v", "s", range_rows=2).collect()} == {-2: 1, 5: 2, 7: 3, None: 4}
+
+
+def test_bootstrap_in_chunks_and_blocks(spark):
+    """Slopes of resamples that are drawn in parts equal those of loops; nulls, equal x, negative modules."""
+    r = np.random.default_rng(5)
+    points = [(m, k * 2, float(r.integers(1, 9)), None if k % 7 == 3 and m == 1 else float(r.normal())) for m, c in ((-3, 23), (1, 17), (2, 1)) for k in range(c)] + [(4, k, 2.5, float(k)) for k in range(6)] + [(None, 1, 1.0, 1.0)]
+    cut = lambda v: int(math.fmod(v, 2147483647))
+    want = {}
+    for m in (-3, 1, 2, 4):
+        xy = [(x, y) for k, _, x, y in points if k == m]
+        for i in range(11):
+            drawn = []
+            for j in range(len(xy)):
+                h = cut(j * 16807 + i * 48271 + m * 69621 + 12345) ** 2 % 2147483647
+                drawn.append(xy[(((h * 48271 + i) % 2147483647) ** 2 % 2147483647 * 69621 + j) % 2147483647 % len(xy)])
+            drawn = [(x, y) for x, y in drawn if y is not None]
+            want[m, i] = np.polyfit(*zip(*drawn, strict=True), 1)[0] if len({x for x, _ in drawn}) > 1 else None
+    df = spark.createDataFrame(points, "module int, k long, x double, y double").repartition(3)
+    for chunk, draws, blocks in ((1 << 22, 1 << 27, 32), (5, 40, 32), (23, 1, 4)):
+        got = {(g["module"], g["i"]): g["b"] for g in sampling.bootstrap_slopes(df, "k", 11, chunk, draws, blocks).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] is None if b is None else got[k] == pytest.approx(b, abs=1e-9) for k, b in want.items())
+
+
+def test_bootstrap_of_few_points_matches_sql(spark, tmp_path):
+    """A module of one customer has no slope (null here, NaN in DuckDB) and keeps its row, as in the SQL; a null customer has no module."""
+    import duckdb
+
+    from plumbline import plans
+
+    rows = [(11, 5.0), (1, 2.0), (1, 3.0), (12, 4.0), (23, 9.5), (23, 1.5), (23, 2.5), (2, 7.0), (13, 8.0), (None, 1.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = [tuple(r) for r in plans.QUERIES["st_14_bootstrap"](spark, str(tmp_path)).select("module", "lo", "hi").collect()]
+    want = [tuple(None if v != v else v for v in r) for r in db.sql(plans.ORACLE["st_14_bootstrap"]).fetchall()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 3
